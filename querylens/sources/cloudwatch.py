@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylens.schemas import CLOUDWATCH_RESPONSE
-from querylens.sources.files import SPLIT, _row_in_task, split_table
-from querylens.session import broadcast_if_small
+from querylens.operators.parse import source_kind
+from querylens.sources.files import keep_lines, log_entries, row_in_task, split_table
 
 # Units of a relative start.
 UNITS = {"m": timedelta(minutes=1), "h": timedelta(hours=1), "d": timedelta(days=1)}
@@ -41,7 +41,8 @@ def time_bounds(
         now - int(relative[1]) * UNITS[relative[2]] if relative else _instant(since, "since")
     )
     end = _instant(until, "until") if until else now
-    start_ms, end_ms = (int(m.timestamp() * 1000) for m in (start, end))
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    start_ms, end_ms = ((m - epoch) // timedelta(milliseconds=1) for m in (start, end))
     if end_ms <= start_ms:
         raise ValueError("--until must be after --since")
     return start_ms, end_ms
@@ -69,14 +70,8 @@ def in_time_window(events: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     return events.where(F.col("timestamp").between(start_ms, end_ms))
 
 
-def response_lines(
-    responses: DataFrame, window: str = "target", sample_size: int | None = None
-) -> DataFrame:
-    """Lines of all messages in page, event and line order.
-
-    The sample is the first lines over ALL pages, unlike the per-file sample of
-    log files.
-    """
+def response_lines(responses: DataFrame, window: str = "target") -> DataFrame:
+    """Lines of all messages in page, event and line order."""
     text = F.regexp_replace("message", r"\n$", "")
     lines = responses.where(F.col("message").isNotNull() & (F.col("message") != "")).select(
         F.lit(window).alias("source_window"),
@@ -84,17 +79,31 @@ def response_lines(
         F.lit(0).cast("bigint").alias("block_start"),
         F.explode(F.split(text, "\n")).alias("value"),
     )
-    lines = lines.withColumn("_row", _row_in_task())
-    if sample_size is None:
-        return lines
-    if sample_size <= 0:
-        raise ValueError("Sample size must be greater than 0")
-    place = (
-        F.col("_row") - F.col("first_row") + F.col("before_split") + F.col("before_file")
-    )
-    pages = split_table(lines).where(F.col("before_file") < sample_size)
-    return (
-        lines.join(broadcast_if_small(pages), list(SPLIT))
-        .where(place < sample_size)
-        .select(*lines.columns)
+    return lines.withColumn("_row", row_in_task())
+
+
+def response_entries(
+    responses: DataFrame,
+    log_format: str = "auto",
+    sample_size: int | None = None,
+    window: str = "target",
+) -> DataFrame:
+    """Entries of exported responses.
+
+    The sample is the first lines over ALL pages, unlike the per-file sample of
+    log files; a line with an impossible timestamp fails the whole read.
+    """
+    lines, in_order = response_lines(responses, window), True
+    if sample_size is not None:
+        if sample_size <= 0:
+            raise ValueError("Sample size must be greater than 0")
+        pages = split_table(lines).where(F.col("before_file") < sample_size)
+        place = F.col("_row") - F.col("first_row") + F.col("before_file")
+        lines, in_order = keep_lines(lines, pages, place < sample_size)
+    return log_entries(
+        lines,
+        log_format,
+        on_bad_file="fail",
+        kind=source_kind(log_format, cloudwatch=True),
+        in_order=in_order,
     )

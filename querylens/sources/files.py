@@ -8,17 +8,18 @@ it.  Lines themselves are never shuffled or sorted to be numbered.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import broadcast_if_small, settled
+from querylens.session import MAX_BROADCAST_ROWS, broadcast_if_small, settled
 
 SPLIT = ("source_window", "file", "block_start")
 # What counts as a log file in a directory.
-LOG_FILE_NAME = r"(?i)^(?:.+\.(?:log|txt)|[^.]*(?:postgres|pg)[^.]*|\.[^.]*(?:postgres|pg)[^.]*)$"
+LOG_FILE_NAME = r"(?i)^(?:.+\.(?:log|txt)|\.?[^.]*(?:postgres|pg)[^.]*)$"
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -38,7 +39,7 @@ def path_kind(spark: SparkSession, path: str) -> str:
     return "file" if status.getLen() > 0 else "empty"
 
 
-def _row_in_task() -> Column:
+def row_in_task() -> Column:
     # The low 33 bits of the id count the rows of one task; the rest is the task.
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
@@ -55,7 +56,7 @@ def read_lines(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             "value",
-            _row_in_task().alias("_row"),
+            row_in_task().alias("_row"),
         )
     )
 
@@ -74,7 +75,7 @@ def directory_lines(spark: SparkSession, directory: str, window: str = "target")
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             "value",
-            _row_in_task().alias("_row"),
+            row_in_task().alias("_row"),
         )
     )
 
@@ -113,8 +114,12 @@ def file_lines(
     named = existing_files(spark, named)
     if directory is not None:
         inside = directory_lines(spark, directory, window)
-        held = {p.rsplit("/", 1)[-1] for p in named if p.rsplit("/", 1)[0] == directory.rstrip("/")}
-        named = [p for p in named if not (p.rsplit("/", 1)[-1] in held)]
+        folder = directory.rstrip("/")
+        named = [
+            p
+            for p in named
+            if p.rpartition("/")[0] != folder or not re.match(LOG_FILE_NAME, p.rpartition("/")[2])
+        ]
         return inside.unionByName(read_lines(spark, named, window)) if named else inside
     if not named:
         raise ValueError("No log files found to process")
@@ -171,24 +176,39 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
     )
 
 
-def head_sample(lines: DataFrame, size: int | None) -> DataFrame:
-    """First ``size`` lines of every file, counted before any parsing."""
+def _head(lines: DataFrame, size: int | None) -> tuple[DataFrame, bool]:
+    """Sampled lines, and whether tasks still hold them in file order."""
     if size is None:
-        return lines
+        return lines, True
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
-    line_no = F.col("_row") - F.col("first_row") + F.col("before_split")
     splits = split_table(lines).where(F.col("before_split") < size)
-    return (
-        lines.join(broadcast_if_small(splits), list(SPLIT))
-        .where(line_no < size)
-        .select(*lines.columns)
-    )
+    return keep_lines(lines, splits, _line_no() < size)
+
+
+def keep_lines(lines: DataFrame, splits: DataFrame, keep: Column) -> tuple[DataFrame, bool]:
+    """Lines of the given splits that satisfy ``keep``, and whether order survived.
+
+    A broadcast join leaves each task's lines in place; a shuffled one, used when
+    the table of splits is too long to broadcast, does not.
+    """
+    in_order = splits.count() <= MAX_BROADCAST_ROWS
+    side = F.broadcast(splits) if in_order else splits
+    return lines.join(side, list(SPLIT)).where(keep).select(*lines.columns), in_order
+
+
+def head_sample(lines: DataFrame, size: int | None) -> DataFrame:
+    """First ``size`` lines of every file, counted before any parsing."""
+    return _head(lines, size)[0]
+
+
+def _line_no() -> Column:
+    return F.col("_row") - F.col("first_row") + F.col("before_split")
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
     """Lines with ``line_no`` (0-based in the file) and ``position`` (over all files)."""
-    line_no = F.col("_row") - F.col("first_row") + F.col("before_split")
+    line_no = _line_no()
     return lines.join(broadcast_if_small(split_table(lines)), list(SPLIT)).select(
         "source_window",
         "file",
@@ -204,6 +224,7 @@ def log_entries(
     sample_size: int | None = None,
     on_bad_file: str = "skip",
     kind: str | None = None,
+    in_order: bool = True,
 ) -> DataFrame:
     """Entries of all files in path order, numbered by ``record_index``.
 
@@ -212,8 +233,13 @@ def log_entries(
     """
     if on_bad_file not in ("skip", "fail"):
         raise ValueError(f"unknown policy for bad files: {on_bad_file}")
-    sampled = head_sample(lines, sample_size).drop("_row")
-    entries = parse_lines(sampled, log_format, kind).withColumn("_entry", _row_in_task())
+    sampled, still_in_order = _head(lines, sample_size)
+    entries = parse_lines(sampled, log_format, kind)
+    if in_order and still_in_order:
+        place = row_in_task()
+    else:
+        place = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_row")).cast("bigint")
+    entries = entries.withColumn("_entry", place).drop("_row")
     broken = F.col("ts").isNull()
     if on_bad_file == "fail":
         bad = bad_files(entries).take(1)
