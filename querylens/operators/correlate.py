@@ -62,10 +62,9 @@ def hot_backend_lanes(paired: DataFrame, hot_rows: int) -> tuple[DataFrame, Data
             F.ceil(F.col("rows") / F.lit(hot_rows)).cast("bigint").alias("hot_slices"),
         )
     )
-    hot = settled(sizes)
-    if hot.isEmpty():
+    if sizes.isEmpty():
         return None
-    hot = broadcast_if_small(hot)
+    hot = broadcast_if_small(settled(sizes))
     busy = paired.join(hot, list(BACKEND)).select(
         *BACKEND, "record_index", "ts", "kind", slice_number().alias("slice")
     )

@@ -48,35 +48,53 @@ def time_bounds(
     return start_ms, end_ms
 
 
-def read_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per log event: its page file, place in the page, epoch ms and message.
+def read_responses(
+    spark: SparkSession, paths: str | Sequence[str], one_per_file: bool = True
+) -> DataFrame:
+    """One row per log event, in page order: epoch milliseconds and message.
 
-    Each response is one JSON document (a page of the API), so a page is a task's
-    unit of work and pages spread over tasks.
+    A response (a page of the API) is a JSON document: one per file, or one per
+    line, which lets large exports be split between tasks.
     """
     pages = (
         spark.read.schema(CLOUDWATCH_RESPONSE)
-        .option("multiLine", "true")
+        .option("multiLine", str(one_per_file).lower())
         .json(paths if isinstance(paths, str) else list(paths))
     )
     return pages.select(
         F.col("_metadata.file_path").alias("file"),
-        F.posexplode("events").alias("event_no", "event"),
-    ).select("file", "event_no", "event.timestamp", "event.message")
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.inline("events"),
+    )
 
 
 def in_time_window(events: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """Events of the window; a comparison on the bare column, so Parquet can prune."""
+    """Response events of the window, both ends included."""
     return events.where(F.col("timestamp").between(start_ms, end_ms))
 
 
+def entries_in_window(entries: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """The same window on the ``ts`` column of entries or other tables.
+
+    Compares the bare column with literals, so a Parquet scan prunes row groups.
+    """
+
+    def wall_clock(ms: int):
+        moment = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+        return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+    return entries.where(
+        (F.col("ts") >= wall_clock(start_ms)) & (F.col("ts") < wall_clock(end_ms + 1))
+    )
+
+
 def response_lines(responses: DataFrame, window: str = "target") -> DataFrame:
     """Lines of all messages in page, event and line order."""
     text = F.regexp_replace("message", r"\n$", "")
     lines = responses.where(F.col("message").isNotNull() & (F.col("message") != "")).select(
         F.lit(window).alias("source_window"),
         "file",
-        F.lit(0).cast("bigint").alias("block_start"),
+        "block_start",
         F.explode(F.split(text, "\n")).alias("value"),
     )
     return lines.withColumn("_row", row_in_task())
@@ -98,7 +116,9 @@ def response_entries(
         if sample_size <= 0:
             raise ValueError("Sample size must be greater than 0")
         pages = split_table(lines).where(F.col("before_file") < sample_size)
-        place = F.col("_row") - F.col("first_row") + F.col("before_file")
+        place = (
+            F.col("_row") - F.col("first_row") + F.col("before_split") + F.col("before_file")
+        )
         lines, in_order = keep_lines(lines, pages, place < sample_size)
     return log_entries(
         lines,

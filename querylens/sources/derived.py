@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylens.session import scratch_path
+
 TARGET_START = "2024-01-16 00:00:00"
 
 
@@ -144,3 +146,204 @@ def two_window_lines(spark: SparkSession, sf_dir: str, style: str = "default") -
         (F.col("event_id") - F.col("start")).alias("record_index"),
         line(style).alias("value"),
     )
+
+
+def varied_message() -> Column:
+    """Message shapes the parser tells apart, chosen by the row's ``k``."""
+    k, v = _k(), _value()
+    form = k.cast("int") % 10
+    lit, text = F.lit, F.concat
+    sql = text(lit("SELECT total FROM orders WHERE id = "), k)
+    forms = [
+        text(lit("LOG:  duration: "), v, lit(" ms  statement: "), sql),
+        text(lit("LOG:  duration: "), v, lit(" ms  execute <unnamed>: "), sql),
+        text(lit("LOG:  statement: "), sql),
+        text(lit("LOG:  execute fetch_"), k, lit(": "), sql),
+        text(lit("LOG:  duration: "), v, lit(" ms")),
+        text(lit("LOG:  duration: "), v, lit(" ms  parse <unnamed>: "), sql),
+        lit("LOG:  duration: 1.2.3 ms"),
+        text(lit("LOG:  duration: 1.2.3 ms  statement: "), sql),
+        text(lit("STATEMENT:  "), sql),
+        text(lit("duration:  slot "), k),
+    ]
+    picked = F.when(form == 0, forms[0])
+    for i, one in enumerate(forms[1:], start=1):
+        picked = picked.when(form == i, one)
+    return picked
+
+
+# Level words as servers print them, known and unknown.
+LEVEL_WORDS = ("ERROR", "warning", "INFO", "Debug", "NOTICE", "LOG", "FATAL", "PANIC", "HINT",
+               "detail")
+
+
+def levelled_message() -> Column:
+    words = F.array(*[F.lit(w) for w in LEVEL_WORDS])
+    return F.concat(
+        F.get(words, _k().cast("int") % len(LEVEL_WORDS)), F.lit(":  message "), _k()
+    )
+
+
+def odd_metadata_line() -> Column:
+    """Default prefix whose user, database or application is a placeholder."""
+    user = F.col("user_id")
+    return F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC ["), user.cast("string"),
+        F.lit("] "), F.when(user % 5 == 0, "[unknown]").otherwise(F.concat(F.lit("u"), (user % 5).cast("string"))),
+        F.lit("@"), F.when(user % 3 == 0, "-").otherwise(F.concat(F.lit("db"), (user % 3).cast("string"))),
+        F.lit(" "), F.when(user % 4 == 0, " ").otherwise(F.concat(F.lit("app "), (user % 4).cast("string"), F.lit(" "))),
+        F.lit(": "), message(),
+    )
+
+
+def odd_host_line() -> Column:
+    """RDS prefix with hosts with and without port, and placeholders."""
+    user, form = F.col("user_id"), F.col("event_id") % 6
+    name = F.concat(F.lit("host-"), user.cast("string"))
+    host = (
+        F.when(form == 0, F.concat(name, F.lit("(5432)")))
+        .when(form == 1, name)
+        .when(form == 2, "[unknown]")
+        .when(form == 3, "-")
+        .when(form == 4, F.concat(name, F.lit("(a)(b)")))
+        .otherwise("(5432)")
+    )
+    return F.concat(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), host, F.lit(":u"),
+        (user % 5).cast("string"), F.lit("@db"), (user % 3).cast("string"), F.lit(":["),
+        user.cast("string"), F.lit("]:"), message(),
+    )
+
+
+def custom_lines(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
+    return events_table(spark, sf_dir).select(
+        F.lit("target").alias("source_window"),
+        F.col("event_id").alias("record_index"),
+        value.alias("value"),
+    )
+
+
+def noisy_line() -> Column:
+    """The line, and for every tenth ``k`` a continuation line and a blank line."""
+    return F.concat(
+        line(), F.when(_k().cast("int") % 10 == 0, "\n    -- continued\n").otherwise("")
+    )
+
+
+def padded_line() -> Column:
+    """The line between blanks that only a Unicode trim removes."""
+    return F.concat(
+        F.when(_k().cast("int") % 7 == 0, "\u00a0\t ").otherwise(""),
+        line(),
+        F.when(_k().cast("int") % 3 == 0, " \r").otherwise(""),
+    )
+
+
+def _rows_per_file(count: int) -> int:
+    """Small logs still make several files; large ones get files of about 100 MB."""
+    return 2_500 if count < 1_000_000 else 1_000_000
+
+
+def file_name(number: int) -> str:
+    kind = number % 4
+    stem = f"{number:06d}"
+    return (f"pg_{stem}.log", f"pg_{stem}.TXT", f"postgres_{stem}", f"audit_{stem}.csv")[kind]
+
+
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
+    """Write an export once per application and remember where."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _written:
+        path = scratch_path(spark, what)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def log_directory(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of log files cut from the noisy log by ``event_id`` range.
+
+    Names cover what a directory scan must accept and refuse.
+    """
+
+    def write(path: str) -> None:
+        rows = events_table(spark, sf_dir)
+        per_file = _rows_per_file(rows.count())
+        number = F.expr(f"event_id div {per_file}")
+        (
+            rows.select(number.alias("number"), "event_id", noisy_line().alias("value"))
+            .repartition("number")
+            .sortWithinPartitions("number", "event_id")
+            .select("number", "value")
+            .write.partitionBy("number")
+            .text(f"{path}/parts")
+        )
+        jvm = spark.sparkContext._jvm
+        to_path = jvm.org.apache.hadoop.fs.Path
+        fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(to_path(f"{path}/logs"))
+        for part in fs.globStatus(to_path(f"{path}/parts/number=*/part-*")):
+            old = part.getPath()
+            number = int(old.getParent().getName().split("=")[1])
+            fs.rename(old, to_path(f"{path}/logs/{file_name(number)}"))
+
+    return _once(spark, sf_dir, "log-directory", write) + "/logs"
+
+
+EVENTS_PER_PAGE = 1000
+
+
+def response_directory(spark: SparkSession, sf_dir: str) -> str:
+    """Exported responses, one JSON document per line, pages in file order.
+
+    Every 25th ``k`` is followed by an event without a message.
+    """
+
+    def write(path: str) -> None:
+        event = F.struct(
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+            rds_noisy_line().alias("message"),
+        )
+        empty = F.struct(
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+            F.lit(None).cast("string").alias("message"),
+        )
+        slots = F.array(
+            F.struct(F.lit(0).alias("slot"), event.alias("event")),
+            F.when(_k().cast("int") % 25 == 0, F.struct(F.lit(1).alias("slot"), empty.alias("event"))),
+        )
+        pages = (
+            events_table(spark, sf_dir)
+            .select(
+                F.expr(f"event_id div {EVENTS_PER_PAGE}").alias("page"),
+                "event_id",
+                F.inline(F.array_compact(slots)),
+            )
+            # At most two slots for each of the page's EVENTS_PER_PAGE rows.
+            .groupBy("page")
+            .agg(F.array_sort(F.collect_list(F.struct("event_id", "slot", "event"))).alias("rows"))
+        )
+        document = F.to_json(
+            F.struct(
+                F.transform("rows", lambda r: r["event"]).alias("events"),
+                F.concat(F.lit("token-"), F.col("page").cast("string")).alias("nextToken"),
+            ),
+            {"ignoreNullFields": "false"},
+        )
+        (
+            pages.repartitionByRange("page")
+            .sortWithinPartitions("page")
+            .select(document.alias("value"))
+            .write.text(path)
+        )
+
+    return _once(spark, sf_dir, "responses", write)
+
+
+def rds_noisy_line() -> Column:
+    return F.concat(
+        line("rds"), F.when(_k().cast("int") % 10 == 0, "\n    -- continued\n").otherwise("")
+    )
