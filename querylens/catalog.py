@@ -25,7 +25,7 @@ from querylens.operators.correlate import correlate_by_process_order
 from querylens.operators.events import typed_events
 from querylens.operators.parse import candidate_lines, parse_lines
 from querylens.plans import documents
-from querylens.session import computed_once, scratch_path
+from querylens.session import computed_once, kept, scratch_path
 from querylens.sources import cloudwatch, derived, files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,7 +173,7 @@ def src_time_window(spark, sf):
     )
 
 
-def _flat_finding(findings: DataFrame) -> DataFrame:
+def _flat_finding(findings: DataFrame, *more: Column) -> DataFrame:
     family, metrics = F.col("query_family"), F.col("metrics")
     return findings.select(
         F.col("rank").cast("int").alias("rank"),
@@ -196,6 +196,7 @@ def _flat_finding(findings: DataFrame) -> DataFrame:
         references("evidence").alias("evidence"),
         "confidence",
         F.array_join("next_sql", "\n").alias("next_sql"),
+        *more,
     )
 
 
@@ -237,9 +238,10 @@ REPORT = (
 
 
 def _report(spark: SparkSession, sf: str, temporal: bool) -> DataFrame:
-    counted = entries(spark, sf).agg(F.count(F.lit(1)))
+    landed = kept(entries(spark, sf), "entries")
+    typed = typed_events(landed)
     document = documents.workload_document(
-        executions(spark, sf), events(spark, sf), counted, temporal
+        correlate_by_process_order(typed), typed, landed.agg(F.count(F.lit(1))), temporal
     )
     return document.select(F.from_json("value", REPORT).alias("r")).select("r.*")
 
@@ -577,18 +579,13 @@ def diff_flags(spark, sf):
 def slow_query_diff(spark, sf):
     found = diff.slow_query_diff(both_windows(spark, sf), DIFF_OPTIONS)
     b, t, d = F.col("baseline"), F.col("target"), F.col("delta")
-    return _flat_finding(found.withColumn("keep", F.struct("baseline", "target", "delta"))).join(
-        F.broadcast(
-            found.select(
-                F.col("rank").cast("int").alias("rank"),
-                b["execution_count"].alias("baseline_count"),
-                F.round(b["p95_duration_ms"], 6).alias("baseline_p95_ms"),
-                t["execution_count"].alias("target_count"),
-                F.round(t["p95_duration_ms"], 6).alias("target_p95_ms"),
-                F.round(d["total_duration_ms"], 6).alias("delta_total_ms"),
-            )
-        ),
-        "rank",
+    return _flat_finding(
+        found,
+        b["execution_count"].alias("baseline_count"),
+        F.round(b["p95_duration_ms"], 6).alias("baseline_p95_ms"),
+        t["execution_count"].alias("target_count"),
+        F.round(t["p95_duration_ms"], 6).alias("target_p95_ms"),
+        F.round(d["total_duration_ms"], 6).alias("delta_total_ms"),
     )
 
 

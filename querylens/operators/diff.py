@@ -20,6 +20,7 @@ from querylens.operators.families import (
     with_evidence,
 )
 from querylens.operators.percentiles import value_profile
+from querylens.session import computed_once
 
 FAMILY = (*IDENTITY, "normalized_sql")
 METRICS = ("execution_count", "total_duration_ms", "avg_duration_ms", "p95_duration_ms",
@@ -51,7 +52,7 @@ def window_family_metrics(executions: DataFrame, dictionary: DataFrame | None =
         ["source_window", *FAMILY],
         "duration_ms",
         {"p95": 0.95},
-        {"correlated": F.col("exact"), "uncorrelated": 1 - F.col("exact")},
+        ["exact"],
     )
 
     def or_zero(column: Column) -> Column:
@@ -66,8 +67,8 @@ def window_family_metrics(executions: DataFrame, dictionary: DataFrame | None =
         or_zero(F.try_divide("value_total", "value_count")).alias("avg_duration_ms"),
         or_zero(F.col("p95")).alias("p95_duration_ms"),
         or_zero(F.col("value_max")).alias("max_duration_ms"),
-        F.col("correlated").alias("correlated_execution_count"),
-        F.col("uncorrelated").alias("uncorrelated_execution_count"),
+        F.col("exact").alias("correlated_execution_count"),
+        (F.col("row_count") - F.col("exact")).alias("uncorrelated_execution_count"),
     )
 
 
@@ -168,7 +169,11 @@ def slow_query_diff(
     def side(name: str) -> Column:
         return F.struct(*[F.col(f"{name}_{m}").alias(m) for m in METRICS]).alias(name)
 
-    target = executions.where(F.col("source_window") == "target")
+    # Filtered behind a generator: pushed to the scan, the filter would give this
+    # branch an exchange of its own and the log a second reading.
+    target = computed_once(executions, _in_target=F.col("source_window") == "target").where(
+        "_in_target"
+    )
     return (
         with_evidence(best, target, options.limit)
         .select(

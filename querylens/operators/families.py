@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from querylens.functions.fingerprint import family_sql
 from querylens.operators.correlate import EXECUTION_ORDER
 from querylens.operators.next_sql import next_sql
-from querylens.session import MAX_BROADCAST_ROWS, computed_once, settled
+from querylens.session import computed_once, fits_broadcast, settled
 
 SCHEMA_VERSION = 1
 IDENTITY = ("database", "user", "application_name")
 EVIDENCE_LIMIT = 3
+MAX_BROADCAST_FINDINGS = 10_000
 
 
 def family_id(database: Column, user: Column, application: Column, sql: Column) -> Column:
@@ -58,7 +59,7 @@ def labelled(executions: DataFrame, dictionary: DataFrame | None = None) -> Data
     each row computes its own text, which needs no exchange either.
     """
     dictionary = shape_dictionary(executions) if dictionary is None else dictionary
-    if dictionary.count() > MAX_BROADCAST_ROWS:
+    if not fits_broadcast(dictionary):
         return computed_once(
             executions, normalized_sql=family_sql()
         )
@@ -157,7 +158,7 @@ def ranked(df: DataFrame, score: str, limit: int) -> DataFrame:
 
 def with_evidence(best: DataFrame, executions: DataFrame, limit: int) -> DataFrame:
     """Attach evidence to the ranked rows; there are at most ``limit`` of them."""
-    side = F.broadcast(best) if limit <= MAX_BROADCAST_ROWS else best
+    side = F.broadcast(best) if limit <= MAX_BROADCAST_FINDINGS else best
     return family_evidence(executions).join(side, "family_id")
 
 

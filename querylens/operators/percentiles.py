@@ -20,6 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querylens.session import computed_once
+
 BINS_PER_E_FOLD = 16384.0
 
 
@@ -40,32 +42,34 @@ def value_profile(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    sums: Mapping[str, Column] | None = None,
+    flags: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """Per group: value_count, value_total, value_min, value_max, one column per
-    named probability, and the given row ``sums``.
+    """Per group: row_count, value_count, value_total, value_min, value_max, one
+    column per named probability, and the number of rows with each 0/1 flag set.
 
-    Keys must not be NULL.  NULL values count for ``sums`` only.  With no keys
-    the result is one row, or none for an empty input.
+    Keys must not be NULL.  NULL values count for row_count and flags only.  With
+    no keys the result is one row, or none for an empty input.  ``weight`` names a column
+    that says how many rows a row stands for.  Flags take part in the first
+    grouping and bins pass a generator, so that both uses of the value counts
+    have the same plan below and read one exchange.
     """
     check_probabilities(probabilities)
-    sums = dict(sums or {})
-    keys = list(keys)
+    keys, flags = list(keys), list(flags)
     group = keys or ["_all"]
     if not keys:
         df = df.withColumn("_all", F.lit(0))
 
-    counted = (
-        df.groupBy(*group, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])
-        .withColumn("_bin", scale_bin(F.col("_value")))
-    )
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*group, F.col(value).alias("_value"), *flags).agg(rows.alias("_n"))
+    counted = computed_once(counted, _bin=scale_bin(F.col("_value")))
     bars = counted.groupBy(*group, "_bin").agg(
+        F.sum("_n").alias("_rows"),
         F.sum(F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(F.lit(0))).alias("_n"),
         F.sum(F.col("_value") * F.col("_n")).alias("_total"),
         F.min("_value").alias("_min"),
         F.max("_value").alias("_max"),
-        *[F.sum(n).alias(n) for n in sums],
+        *[F.sum(F.col(flag) * F.col("_n")).alias(flag) for flag in flags],
     )
     whole = Window.partitionBy(*group)
     upto = whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,11 +87,12 @@ def value_profile(
             F.max(F.when(here, rank - (F.col("_reached") - F.col("_n")))).alias(f"_skip_{name}"),
         ]
     heads = bars.groupBy(*group).agg(
+        F.sum("_rows").alias("row_count"),
         F.sum("_n").alias("value_count"),
         F.sum("_total").alias("value_total"),
         F.min("_min").alias("value_min"),
         F.max("_max").alias("value_max"),
-        *[F.sum(n).alias(n) for n in sums],
+        *[F.sum(flag).alias(flag) for flag in flags],
         *aims,
     )
     wanted = heads.select(
@@ -126,12 +131,12 @@ def value_profile(
             ]
         )
     )
-    return heads.join(picked, group, "left").select(
-        *keys,
-        "value_count",
-        "value_total",
-        "value_min",
-        "value_max",
-        *probabilities,
-        *sums,
+    named = [*keys, "row_count", "value_count", "value_total", "value_min", "value_max"]
+    named += [*probabilities, *flags]
+    return (
+        heads.select(*group, *[c for c in named if c in heads.columns and c not in group])
+        .unionByName(picked, allowMissingColumns=True)
+        .groupBy(*group)
+        .agg(*[F.max(c).alias(c) for c in named if c not in group])
+        .select(*named)
     )

@@ -77,7 +77,10 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame
     named = {f"point_{i}": float(p) for i, p in enumerate(points)}
     check_probabilities(named)
     profile = value_profile(df, [], value, named)
-    counted = profile.agg(*[F.max(name).alias(name) for name in named])
+    counted = profile.agg(
+        F.coalesce(F.max("value_count"), F.lit(0)).alias("value_count"),
+        *[F.max(name).alias(name) for name in named],
+    )
     rows = F.array(
         *[
             F.struct(F.lit(p).alias("percentile"), F.col(name).alias("value"))
@@ -85,7 +88,7 @@ def percentiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame
         ]
     )
     checked = F.when(
-        F.col("point_0").isNull(), F.raise_error(F.lit("No response times provided"))
+        F.col("value_count") == 0, F.raise_error(F.lit("No response times provided"))
     ).otherwise(rows)
     return counted.select(F.inline(checked))
 

@@ -10,7 +10,7 @@ from querylens.functions.fingerprint import canonical_sql, family_sql, split_sta
 from querylens.operators.correlate import EXECUTION_ORDER
 from querylens.operators.events import is_error, is_query, mentions_connection
 from querylens.operators.percentiles import value_profile
-from querylens.session import computed_once
+from querylens.session import beside, computed_once
 
 SLOW_MS = 1000.0
 MAX_SLOW = 10
@@ -27,9 +27,11 @@ def one_row(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.coalesce(F.max(name), value).alias(name) for name, value in defaults.items()])
 
 
-def duration_metrics(df: DataFrame, value: str = "duration_ms") -> DataFrame:
+def duration_metrics(
+    df: DataFrame, value: str = "duration_ms", weight: str | None = None
+) -> DataFrame:
     """One row: min, max (never below 0), average, p95, p99, count, total; zeros if empty."""
-    profile = value_profile(df, [], value, TAILS).select(
+    profile = value_profile(df, [], value, TAILS, weight=weight).select(
         F.col("value_min").alias("min_duration"),
         F.greatest(F.col("value_max"), F.lit(0.0)).alias("max_duration"),
         F.try_divide("value_total", "value_count").alias("average_duration"),
@@ -163,20 +165,13 @@ def nine_way_summary(queries: DataFrame, sql: str = "sql", value: str = "duratio
 
     ``queries`` holds one (sql, duration) pair per added query.
     """
-    rows = queries.select(nine_way_class(F.col(sql)).alias("query_type"), _zero(F.col(value)).alias("ms"))
-    overall = duration_metrics(rows, "ms")
-    return (
-        rows.groupBy("query_type")
-        .agg(F.count(F.lit(1)).alias("query_count"))
-        .withColumn("_all", F.lit(0))
-        .join(F.broadcast(overall.withColumn("_all", F.lit(0))), "_all")
-        .select(
-            "query_type",
-            "query_count",
-            "total_queries",
-            "total_duration",
-            "average_duration",
-            "p95_duration",
-            "p99_duration",
+    rows = (
+        queries.groupBy(
+            nine_way_class(F.col(sql)).alias("query_type"), _zero(F.col(value)).alias("ms")
         )
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    overall = duration_metrics(rows, "ms", "n").select(
+        "total_queries", "total_duration", "average_duration", "p95_duration", "p99_duration"
     )
+    return beside(rows.groupBy("query_type").agg(F.sum("n").alias("query_count")), overall)

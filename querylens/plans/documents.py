@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from querylens import __version__
 from querylens.operators import timing, workload
 from querylens.schemas import FINDINGS
+from querylens.session import beside, kept
 
 SIDES = ("baseline", "target", "delta")
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -60,7 +61,7 @@ def findings_document(findings: DataFrame, entry_count: DataFrame) -> DataFrame:
             ",",
         ).alias("findings")
     )
-    return _beside(texts, metadata(entry_count)).select(
+    return beside(texts, metadata(entry_count)).select(
         F.concat(
             F.lit('{"metadata":'), F.to_json("metadata"),
             F.lit(',"schema_version":1,"findings":['), F.col("findings"), F.lit("]}"),
@@ -102,14 +103,6 @@ def select_finding(
     return found
 
 
-def _beside(*single_rows: DataFrame) -> DataFrame:
-    """Columns of one-row frames side by side."""
-    first, *others = [df.withColumn("_one", F.lit(1)) for df in single_rows]
-    for other in others:
-        first = first.join(F.broadcast(other), "_one")
-    return first.drop("_one")
-
-
 def _gathered(rows: DataFrame, name: str, order: list[str], item: Column) -> DataFrame:
     """One row: the (bounded) rows as an ordered array of JSON items."""
     pairs = F.array_sort(F.collect_list(F.struct(*order, item.alias("_item"))))
@@ -118,7 +111,7 @@ def _gathered(rows: DataFrame, name: str, order: list[str], item: Column) -> Dat
 
 def workload_parts(executions: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
     """The report's tables: summary, by_type, slowest and most_frequent."""
-    summary = _beside(
+    summary = beside(
         workload.workload_summary(executions), workload.error_connection_counts(events)
     )
     frequent = workload.most_frequent_queries(executions)
@@ -133,9 +126,8 @@ def workload_parts(executions: DataFrame, events: DataFrame) -> dict[str, DataFr
         )
     )
     # Every row shows the overall average: there is no per-query distribution here.
-    average = summary.select(F.col("average_duration").alias("avg_duration_ms"), F.lit(1).alias("_one"))
-    frequent = (
-        frequent.withColumn("_one", F.lit(1)).join(F.broadcast(average), "_one").drop("_one")
+    frequent = beside(
+        frequent, summary.select(F.col("average_duration").alias("avg_duration_ms"))
     )
     return {
         "summary": summary,
@@ -151,7 +143,16 @@ def workload_document(
     entry_count: DataFrame,
     temporal: bool = False,
 ) -> DataFrame:
-    """Workload report as one JSON row, with hourly totals and tails on request."""
+    """Workload report as one JSON row, with hourly totals and tails on request.
+
+    The report has many sections over the same executions, so the columns they
+    share are paired once and kept; give it events over entries that were kept
+    too (``log_entries`` keeps them).
+    """
+    executions = kept(
+        executions.select("shape", "parsed", "duration_ms", *workload.EXECUTION_ORDER),
+        "executions",
+    )
     parts = workload_parts(executions, events)
     summary = parts["summary"].select(
         F.struct(
@@ -199,4 +200,4 @@ def workload_document(
                 "p99_response_time_ms",
             ).alias("temporal_analysis")
         )
-    return _beside(*rows).select(F.to_json(F.struct(*fields), KEEP_NULLS).alias("value"))
+    return beside(*rows).select(F.to_json(F.struct(*fields), KEEP_NULLS).alias("value"))

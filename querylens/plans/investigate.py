@@ -9,23 +9,9 @@ from querylens.operators.diff import DiffOptions, slow_query_diff
 from querylens.operators.events import typed_events
 from querylens.operators.families import top_query_families
 from querylens.operators.parse import parse_lines
-from querylens.schemas import LOG_ENTRIES
-from querylens.session import scratch_path
 from querylens.sources.files import log_entries, window_lines
 
 
-def land(entries: DataFrame, path: str | None = None) -> DataFrame:
-    """Write entries to Parquet once and read them back.
-
-    Findings take several passes over the entries (record positions, hot
-    backends, shapes, pairing).  Over landed entries each pass reads only the
-    columns it needs; over text each would parse every line again.
-    """
-    path = path or scratch_path(entries.sparkSession, "entries")
-    entries.select(*LOG_ENTRIES.fieldNames()).write.mode("errorifexists").parquet(path)
-    return entries.sparkSession.read.schema(LOG_ENTRIES).parquet(path)
-
-
 def executions_of(
     entries: DataFrame,
     correlator: Correlator | None = None,
@@ -59,9 +45,9 @@ def slow_query_changes(
     sample_size: int | None = None,
     options: DiffOptions = DiffOptions(),
 ) -> tuple[DataFrame, DataFrame]:
-    """(findings, landed entries of both windows); a bad file in either one fails."""
+    """(findings, entries of both windows); a bad file in either one fails."""
     lines = window_lines(spark, baseline, "baseline").unionByName(
         window_lines(spark, target, "target")
     )
-    entries = land(log_entries(lines, log_format, sample_size, on_bad_file="fail"))
+    entries = log_entries(lines, log_format, sample_size, on_bad_file="fail")
     return slow_query_diff(executions_of(entries), options), entries

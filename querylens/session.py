@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side table handed to ``broadcast``; at ~150 bytes a row this stays
-# below 300 MB.  Anything longer is left to a shuffled join.
+# Largest side table handed to ``broadcast``; anything beyond either bound is
+# left to a shuffled join.
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def local_session(cpus: str = "8", name: str = "querylens") -> SparkSession:
@@ -57,9 +58,30 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a settled side table when its row count allows it."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write a large intermediate to Parquet in the shared folder and read it back.
+
+    Later passes then read only the columns they need and never repeat the work
+    that produced it, also when executors are lost.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether a settled table is within the broadcast bounds, by measuring it."""
+    text = sum(
+        (F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in df.dtypes if kind == "string"),
+        F.lit(16 * len(df.columns)),
+    )
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(text).alias("bytes")).first()
+    return size.rows <= MAX_BROADCAST_ROWS and (size.bytes or 0) <= MAX_BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a settled side table when its measured size allows it."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -71,3 +93,13 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     fields = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select("*", F.inline(F.array(fields)))
+
+
+def beside(first: DataFrame, *single_rows: DataFrame) -> DataFrame:
+    """``first`` with the columns of one-row frames, as scalar subqueries."""
+    for i, other in enumerate(single_rows):
+        row = other.select(F.struct(*other.columns)).scalar()
+        first = first.select("*", row.alias(f"_row{i}")).select(
+            *first.columns, f"_row{i}.*"
+        )
+    return first

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import MAX_BROADCAST_ROWS, broadcast_if_small, settled
+from querylens.session import broadcast_if_small, fits_broadcast, kept, settled
 
 SPLIT = ("source_window", "file", "block_start")
 # What counts as a log file in a directory.
@@ -192,7 +192,7 @@ def keep_lines(lines: DataFrame, splits: DataFrame, keep: Column) -> tuple[DataF
     A broadcast join leaves each task's lines in place; a shuffled one, used when
     the table of splits is too long to broadcast, does not.
     """
-    in_order = splits.count() <= MAX_BROADCAST_ROWS
+    in_order = fits_broadcast(splits)
     side = F.broadcast(splits) if in_order else splits
     return lines.join(side, list(SPLIT)).where(keep).select(*lines.columns), in_order
 
@@ -228,7 +228,8 @@ def log_entries(
 ) -> DataFrame:
     """Entries of all files in path order, numbered by ``record_index``.
 
-    A line whose timestamp is no calendar date spoils its file: the file is
+    Text is read and parsed once, into Parquet in the shared folder; numbering
+    and every later pass read the columns they need from there.  A line whose timestamp is no calendar date spoils its file: the file is
     skipped, or with ``on_bad_file='fail'`` the whole read is refused.
     """
     if on_bad_file not in ("skip", "fail"):
@@ -239,7 +240,7 @@ def log_entries(
         place = row_in_task()
     else:
         place = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_row")).cast("bigint")
-    entries = entries.withColumn("_entry", place).drop("_row")
+    entries = kept(entries.withColumn("_entry", place).drop("_row"), "entries")
     broken = F.col("ts").isNull()
     if on_bad_file == "fail":
         bad = bad_files(entries).take(1)

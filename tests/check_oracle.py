@@ -42,6 +42,13 @@ def canonical(columns: list[str], rows) -> list[tuple[str, ...]]:
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+# Spark type -> DuckDB type.
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(spark, con, sf_dir: str, run, sql: str) -> str:
     """'' when rows and column names agree, else what differs."""
     df = run(spark, sf_dir)
@@ -51,6 +58,12 @@ def compare(spark, con, sf_dir: str, run, sql: str) -> str:
     want = canonical(columns, cursor.fetchall())
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
+    theirs = {c[0]: str(c[1]) for c in cursor.description}
+    types = [
+        (name, kind, theirs[name]) for name, kind in df.dtypes if SAME_TYPE[kind] != theirs[name]
+    ]
+    if types:
+        return f"types {types}"
     if got != want:
         diff = [(g, w) for g, w in zip(got, want) if g != w][:2]
         return f"rows {len(got)} != {len(want)}; {diff}"
