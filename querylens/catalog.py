@@ -21,10 +21,10 @@ from querylens.functions.fingerprint import (
     split_statements,
 )
 from querylens.operators import diff, families, timing, workload
-from querylens.operators.correlate import correlate_by_process_order
 from querylens.operators.events import typed_events
 from querylens.operators.parse import candidate_lines, parse_lines
 from querylens.plans import documents
+from querylens.plans.investigate import executions_from_lines, executions_of
 from querylens.session import computed_once, kept, scratch_path
 from querylens.sources import cloudwatch, derived, files
 
@@ -46,12 +46,16 @@ def events(spark: SparkSession, sf: str, style: str = "default") -> DataFrame:
 
 
 def executions(spark: SparkSession, sf: str, style: str = "default") -> DataFrame:
-    return correlate_by_process_order(events(spark, sf, style))
+    return executions_from_lines(
+        derived.log_lines(spark, sf, style),
+        "rds" if style == "rds" else "auto",
+        line_count=derived.line_count(spark, sf),
+    )
 
 
 def both_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return correlate_by_process_order(
-        typed_events(parse_lines(derived.two_window_lines(spark, sf)))
+    return executions_from_lines(
+        derived.two_window_lines(spark, sf), line_count=derived.line_count(spark, sf)
     )
 
 
@@ -241,7 +245,7 @@ def _report(spark: SparkSession, sf: str, temporal: bool) -> DataFrame:
     landed = kept(entries(spark, sf), "entries")
     typed = typed_events(landed)
     document = documents.workload_document(
-        correlate_by_process_order(typed), typed, landed.agg(F.count(F.lit(1))), temporal
+        executions_of(landed), typed, landed.agg(F.count(F.lit(1))), temporal
     )
     return document.select(F.from_json("value", REPORT).alias("r")).select("r.*")
 

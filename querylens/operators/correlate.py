@@ -9,8 +9,10 @@ The plan is one exchange on the backend, one sort by record and two windows that
 share it, then a filter to the statement rows; nothing is aggregated.
 
 A backend with very many records would make that one task.  Such backends are
-cut into lanes at statement boundaries, where no wait can cross, see
-:func:`hot_backend_lanes`.
+cut into lanes at statement boundaries, where no wait can cross: the records of
+a backend are sliced evenly, a lane runs from the first statement of one slice to
+the first statement of the next slice that has any.  The side tables have about
+(all records / ``HOT_ROWS``) rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.session import broadcast_if_small, settled
+from querylens.session import broadcast_if_small, kept, settled
 
 BACKEND = ("source_window", "process_id")
 HOT_ROWS = 4_000_000
@@ -32,22 +34,9 @@ def _is_statement() -> Column:
     return F.col("kind") == "Statement"
 
 
-def hot_backend_lanes(paired: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame] | None:
-    """Side tables that cut hot backends into lanes, or None when none is hot.
-
-    Three narrow passes (backend, record, kind, timestamp), the last two over
-    the hot backends only:
-
-    1. backends above ``hot_rows`` records and how many slices each needs;
-    2. per slice the first statement (the cut), the timestamp of the statement
-       still open when the slice begins, and the next cut;
-    3. per slice the one duration ahead of its first statement that could close
-       that open statement; all other durations there can never pair, so a run
-       of millions of durations without a statement adds one row per slice.
-
-    Both tables hold about total records / ``hot_rows`` rows.
-    """
-    sizes = (
+def hot_backends(paired: DataFrame, hot_rows: int) -> DataFrame:
+    """Backends above ``hot_rows`` records and how many slices each is cut into."""
+    return (
         paired.groupBy(*BACKEND)
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -62,26 +51,35 @@ def hot_backend_lanes(paired: DataFrame, hot_rows: int) -> tuple[DataFrame, Data
             F.ceil(F.col("rows") / F.lit(hot_rows)).cast("bigint").alias("hot_slices"),
         )
     )
-    if sizes.isEmpty():
-        return None
-    hot = broadcast_if_small(settled(sizes))
+
+
+def lane_table(paired: DataFrame, hot: DataFrame) -> DataFrame:
+    """How the slices of hot backends make lanes; one row per slice.
+
+    Two narrow passes over the records of the hot backends:
+
+    1. per slice the first statement (the cut), the timestamp of the statement
+       still open when the slice begins, and the next cut;
+    2. per slice the one duration ahead of its first statement that could close
+       that open statement; all other durations there can never pair, so a run
+       of millions of durations without a statement adds one row per slice.
+    """
     busy = paired.join(hot, list(BACKEND)).select(
         *BACKEND, "record_index", "ts", "kind", slice_number().alias("slice")
     )
-    cuts = busy.groupBy(*BACKEND, "slice").agg(
+    slices = busy.groupBy(*BACKEND, "slice").agg(
         F.min(F.when(_is_statement(), F.col("record_index"))).alias("first_statement"),
         F.max_by("ts", F.when(_is_statement(), F.col("record_index"))).alias("last_ts"),
     )
     backend = Window.partitionBy(*BACKEND).orderBy("slice")
     earlier = backend.rowsBetween(Window.unboundedPreceding, -1)
+    with_statement = F.when(F.col("first_statement").isNotNull(), F.col("slice"))
     cuts = settled(
-        cuts.select(
+        slices.select(
             *BACKEND,
             "slice",
             "first_statement",
-            F.last(
-                F.when(F.col("first_statement").isNotNull(), F.col("slice")), ignorenulls=True
-            ).over(earlier).alias("open_slice"),
+            F.last(with_statement, ignorenulls=True).over(earlier).alias("open_slice"),
             F.last("last_ts", ignorenulls=True).over(earlier).alias("open_ts"),
             F.expr(
                 "lead(first_statement) IGNORE NULLS OVER "
@@ -91,19 +89,18 @@ def hot_backend_lanes(paired: DataFrame, hot_rows: int) -> tuple[DataFrame, Data
     )
     closers = (
         busy.join(broadcast_if_small(cuts), [*BACKEND, "slice"])
-        .where(
-            ~_is_statement()
-            & (F.col("ts") >= F.col("open_ts"))
-            & (
-                F.col("first_statement").isNull()
-                | (F.col("record_index") < F.col("first_statement"))
-            )
-        )
+        .where(~_is_statement() & (F.col("ts") >= F.col("open_ts")) & _in_front())
         .groupBy(*BACKEND, "slice")
         .agg(F.min("record_index").alias("closer"))
     )
-    lanes = settled(cuts.join(closers, [*BACKEND, "slice"], "left").drop("open_ts"))
-    return hot, broadcast_if_small(lanes)
+    return settled(cuts.join(closers, [*BACKEND, "slice"], "left").drop("open_ts"))
+
+
+def _in_front() -> Column:
+    """Ahead of the first statement of its slice."""
+    return F.col("first_statement").isNull() | (
+        F.col("record_index") < F.col("first_statement")
+    )
 
 
 def slice_number() -> Column:
@@ -115,26 +112,27 @@ def slice_number() -> Column:
 
 
 def _with_lane(paired: DataFrame, hot_rows: int | None) -> DataFrame:
-    tables = hot_backend_lanes(paired, hot_rows) if hot_rows else None
-    if tables is None:
-        return paired.withColumn("lane", F.lit(0).cast("bigint")).withColumn(
-            "next_cut", F.lit(None).cast("bigint")
+    """Records with the lane they are paired in; lane -1 is a whole backend."""
+    sizes = hot_backends(paired, hot_rows) if hot_rows else None
+    if sizes is None or sizes.isEmpty():
+        return paired.withColumns(
+            {"lane": F.lit(-1).cast("bigint"), "next_cut": F.lit(None).cast("bigint")}
         )
-    hot, lanes = tables
-    in_front = F.col("first_statement").isNull() | (
-        F.col("record_index") < F.col("first_statement")
-    )
+    # Three more passes follow, so the records are parsed once and kept.
+    paired = kept(paired, "paired-records")
+    hot = broadcast_if_small(settled(hot_backends(paired, hot_rows)))
+    lanes = broadcast_if_small(lane_table(paired, hot))
     return (
         paired.join(hot, list(BACKEND), "left")
         .withColumn("slice", slice_number())
         .join(lanes, [*BACKEND, "slice"], "left")
         .where(
-            F.col("slice").isNull() | ~in_front | (F.col("record_index") == F.col("closer"))
+            F.col("slice").isNull() | ~_in_front() | (F.col("record_index") == F.col("closer"))
         )
         .withColumn(
             "lane",
             F.when(F.col("slice").isNull(), F.lit(-1))
-            .when(in_front, F.col("open_slice"))
+            .when(_in_front(), F.col("open_slice"))
             .otherwise(F.col("slice")),
         )
         .select(*paired.columns, "lane", "next_cut")
@@ -148,7 +146,10 @@ def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROW
     ``emit_part`` order executions with equal timestamps the way a pass over
     the records would finish them.
     """
-    paired = _with_lane(events.where(F.col("kind").isin("Statement", "Duration")), hot_rows)
+    paired = events.where(F.col("kind").isin("Statement", "Duration")).drop(
+        "level", "entry_message", "text"
+    )
+    paired = _with_lane(paired, hot_rows)
     backend = Window.partitionBy(*BACKEND, "lane").orderBy("record_index")
     so_far = backend.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = f"OVER (PARTITION BY {', '.join(BACKEND)}, lane ORDER BY record_index)"

@@ -37,8 +37,10 @@ def line_pieces(lines: DataFrame, log_format: str = "auto") -> DataFrame:
     """
     if log_format not in logline.FORMATS:
         raise ValueError(f"unknown log format: {log_format}")
-    keep = [F.col(c) for c in lines.columns]
-    cut = candidate_lines(lines)
+    keep = [F.col(c) for c in lines.columns if c != "value"]
+    # Both prefixes start with digits, so the patterns themselves turn away what
+    # candidate_lines drops, at their first character.
+    cut = lines.withColumn("line", strip(F.col("value")))
     if log_format == "rds":
         cut = cut.withColumn("_default", F.array().cast("array<string>"))
     else:

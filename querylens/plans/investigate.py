@@ -25,10 +25,19 @@ def executions_of(
 
 
 def executions_from_lines(
-    lines: DataFrame, log_format: str = "auto", hot_rows: int | None = HOT_ROWS
+    lines: DataFrame,
+    log_format: str = "auto",
+    hot_rows: int = HOT_ROWS,
+    line_count: int | None = None,
 ) -> DataFrame:
-    """Executions of lines that already carry ``record_index``."""
-    return executions_of(parse_lines(lines, log_format), hot_rows=hot_rows)
+    """Executions of lines that already carry ``record_index``.
+
+    A log of at most ``hot_rows`` lines cannot hold a hot backend; counting lines
+    parses nothing, so that is settled before looking at backends.
+    """
+    line_count = lines.count() if line_count is None else line_count
+    entries = parse_lines(lines, log_format)
+    return executions_of(entries, hot_rows=hot_rows if line_count > hot_rows else None)
 
 
 def top_families(

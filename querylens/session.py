@@ -22,7 +22,11 @@ def local_session(cpus: str = "8", name: str = "querylens") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small logs: keep all cores busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", "8g")
+        # Recording the call site of every Column call doubles plan building time.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -84,6 +88,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a source's rows out when it comes in fewer splits than there are cores.
+
+    Parsing is CPU work, and a small or unsplittable file would keep it on one
+    core.  A source with enough splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that no optimizer rule can copy their expressions.
 

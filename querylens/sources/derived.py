@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.session import scratch_path
+from querylens.session import scratch_path, spread
 
 TARGET_START = "2024-01-16 00:00:00"
 
@@ -21,6 +21,11 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_count(spark: SparkSession, sf_dir: str) -> int:
+    """Lines of the log, from the row counts in the Parquet footers."""
+    return events_table(spark, sf_dir).count()
+
+
 def _k() -> Column:
     return F.regexp_extract("props", r"\d+", 0)
 
@@ -86,7 +91,7 @@ def varied_statement() -> Column:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, form, sql): a statement of varied form for every event."""
-    return events_table(spark, sf_dir).select(
+    return spread(events_table(spark, sf_dir)).select(
         "event_id",
         "user_id",
         "ts",
@@ -124,7 +129,7 @@ def log_lines(
     spark: SparkSession, sf_dir: str, style: str = "default", body: Column | None = None
 ) -> DataFrame:
     """Lines of one window holding the whole table."""
-    return events_table(spark, sf_dir).select(
+    return spread(events_table(spark, sf_dir)).select(
         F.lit("target").alias("source_window"),
         F.col("event_id").alias("record_index"),
         line(style, body).alias("value"),
@@ -141,7 +146,7 @@ def two_window_lines(spark: SparkSession, sf_dir: str, style: str = "default") -
     )
     # Two rows: where each window starts.
     starts = rows.groupBy("source_window").agg(F.min("event_id").alias("start"))
-    return rows.join(F.broadcast(starts), "source_window").select(
+    return spread(rows).join(F.broadcast(starts), "source_window").select(
         "source_window",
         (F.col("event_id") - F.col("start")).alias("record_index"),
         line(style).alias("value"),
@@ -216,7 +221,7 @@ def odd_host_line() -> Column:
 
 
 def custom_lines(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
-    return events_table(spark, sf_dir).select(
+    return spread(events_table(spark, sf_dir)).select(
         F.lit("target").alias("source_window"),
         F.col("event_id").alias("record_index"),
         value.alias("value"),

@@ -6,7 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from querylens.operators.correlate import correlate_by_process_order
+from querylens.operators.correlate import (
+    correlate_by_process_order,
+    hot_backends,
+    lane_table,
+)
 from querylens.operators.events import typed_events
 
 START = datetime(2024, 8, 15, 10, 30)
@@ -141,12 +145,14 @@ def test_hot_backend_that_rarely_logs_statements(parse, hot_rows):
     assert pair(parse, rendered(events), hot_rows) == machine(events)
 
 
-def test_lanes_split_the_hot_backend(parse, spark):
-    from querylens.operators.correlate import hot_backend_lanes
-
+def test_lanes_split_the_hot_backend(parse):
     events = typed_events(parse(rendered(stream(5, 600)))).where(
         F.col("kind").isin("Statement", "Duration")
     )
-    hot, lanes = hot_backend_lanes(events, 60)
-    assert [r.process_id for r in hot.collect()][:1] == ["1"]
-    assert lanes.where("process_id = '1'").count() >= 3
+    hot = hot_backends(events, 60)
+    assert "1" in {r.process_id for r in hot.collect()}
+    lanes = lane_table(events, hot).where("process_id = '1'").orderBy("slice").collect()
+    assert len(lanes) >= 3
+    firsts = [r.first_statement for r in lanes if r.first_statement is not None]
+    assert firsts == sorted(firsts)
+    assert [r.next_cut for r in lanes if r.first_statement is not None] == firsts[1:] + [None]
