@@ -38,13 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session that names none (tests, local runs) gets a temporary one.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if folder:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(folder)
+        return folder
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -144,35 +144,41 @@ def _file_order() -> Column:
     return F.split(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "/")
 
 
-def _earlier(total: str, *keys: str, order: Column | str) -> Column:
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(total).over(window), F.lit(0))
-
-
 def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None) -> DataFrame:
-    """One row per split: rows, first place, rows before it in the file and in all files.
+    """One row per split: first place, rows before it in the file and in earlier files.
 
-    Files with a broken row are left out.  The window over whole files has one
-    row per input file, a list the file index keeps on the driver anyway.
+    Files with a broken row are left out.  The last window runs over all splits
+    of a log in one task: a row per split of 128 MB or so, as many as the driver
+    schedules tasks for anyway.
     """
     broken = F.lit(False) if broken is None else broken
-    splits = settled(
-        rows.groupBy(*SPLIT).agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min(row).alias("first_row"),
-            F.max(broken.cast("int")).alias("broken"),
-        )
+    splits = rows.groupBy(*SPLIT).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(row).alias("first_row"),
+        F.max(broken.cast("int")).alias("broken"),
     )
-    files = (
-        splits.groupBy("source_window", "file")
-        .agg(F.sum("rows").alias("file_rows"), F.max("broken").alias("file_broken"))
-        .where(F.col("file_broken") == 0)
-        .withColumn("before_file", _earlier("file_rows", "source_window", order=_file_order()))
+    file = Window.partitionBy("source_window", "file")
+    log = Window.partitionBy("source_window").orderBy("file_order", "block_start")
+    before = (Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "*",
+        F.max("broken").over(file).alias("file_broken"),
+        F.sum("rows").over(file.orderBy("block_start").rowsBetween(*before)).alias("in_file"),
+        _file_order().alias("file_order"),
+    ).where(F.col("file_broken") == 0)
+    placed = splits.select(
+        *SPLIT,
+        "first_row",
+        F.coalesce("in_file", F.lit(0)).alias("before_split"),
+        F.coalesce(F.sum("rows").over(log.rowsBetween(*before)), F.lit(0)).alias("in_log"),
     )
     return settled(
-        splits.join(files, ["source_window", "file"])
-        .withColumn("before_split", _earlier("rows", "source_window", "file", order="block_start"))
-        .select(*SPLIT, "first_row", "before_split", "before_file")
+        placed.select(
+            *SPLIT,
+            "first_row",
+            "before_split",
+            (F.col("in_log") - F.col("before_split")).alias("before_file"),
+        )
     )
 
 
