@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from check_oracle import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from querylens.catalog import QUERIES
+from querylens.oracle import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,12 +18,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    verdict = compare(spark, con, SF, queries()[name], oracle_sql()[name])
+    verdict = compare(spark, con, SF, QUERIES[name], ORACLES[name])
     # The one log file of this size holds the broken lines, so all of it is skipped.
     assert verdict == ("EMPTY" if name == "src_quarantine_files" else "")
 
