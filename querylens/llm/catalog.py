@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from querylens.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from querylens.llm.sentence_pieces import op5_sentencepiece
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 ORACLES = {"op10_exact_dedup": OP10_SQL}

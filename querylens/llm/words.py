@@ -23,7 +23,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -70,4 +70,4 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     """Hash, start and end of every word of one block, and the number of words before each row."""
     starts, ends, counts = word_spans(data, offsets)
-    return spans_hashed(_BYTE[_LOWER[data] if lower else data], starts, ends), starts, ends, counts
+    return spans_hashed(BYTE_VALUES[_LOWER[data] if lower else data], starts, ends), starts, ends, counts
