@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from querylens.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from querylens.llm.quality import op2_quality
 from querylens.llm.sentence_pieces import op5_sentencepiece
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op5_sentencepiece": op5_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
