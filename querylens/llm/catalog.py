@@ -7,12 +7,14 @@ from querylens.llm.fingerprints import op3_fingerprints
 from querylens.llm.mixing import OP1_SQL, op1_mixing
 from querylens.llm.quality import op2_quality
 from querylens.llm.sentence_pieces import op5_sentencepiece
+from querylens.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op5_sentencepiece": op5_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL}

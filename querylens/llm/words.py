@@ -54,9 +54,9 @@ def blocks(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         row = min(end, rows)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each row (and in all)."""
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -67,7 +67,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
     """Hash, start and end of every word of one block, and the number of words before each row."""
     starts, ends, counts = word_spans(data, offsets)
-    return spans_hashed(BYTE_VALUES[_LOWER[data] if lower else data], starts, ends), starts, ends, counts
+    return spans_hashed(BYTE_VALUES[lowered(data) if lower else data], starts, ends), starts, ends, counts
