@@ -5,6 +5,7 @@ from __future__ import annotations
 from querylens.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from querylens.llm.fingerprints import op3_fingerprints
 from querylens.llm.mixing import OP1_SQL, op1_mixing
+from querylens.llm.near_dedup import op7_minhash
 from querylens.llm.quality import op2_quality
 from querylens.llm.sentence_pieces import op5_sentencepiece
 from querylens.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
