@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Rows without doc_id are scored and deduplicated like others; they pass near-dedup, which needs ids, untouched.
+Rows that repeat a doc_id with the same text are decided alike by every stage.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +13,49 @@ from pyspark.sql import functions as F
 
 from querylens.llm.common import documents, kept
 from querylens.llm.exact_dedup import exact_groups
+from querylens.llm.mixing import sampled
+from querylens.llm.near_dedup import near_classes
+from querylens.llm.quality import accepted, fit_quality
+from querylens.llm.sentence_pieces import encoded, model_bytes
+
+
+def _only(docs: DataFrame, decided: DataFrame, column: str) -> DataFrame:
+    """Rows whose id was decided for."""
+    ids = decided.where(column).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject."""
+    return accepted(docs, fit_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    stays = exact_groups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id").select(*docs.columns)
+    return _only(docs, exact_groups(docs), "kept")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts alike by four fifths of their five-word shingles."""
+    return _only(docs, near_classes(docs), "kept")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet target shares of sources, languages and topics."""
+    return _only(docs, sampled(docs), "sampled")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encoded(docs, model_bytes(), spans=False).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("encoding", encoding),
 ]
 # Learnt scores and near-duplicate classes have no SQL form.
 ORACLE_SQL = None

@@ -183,6 +183,13 @@ def quality_scores(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """The rows, with all their columns, that the model scores 0.5 or more."""
+    rows = docs.select(F.struct("*").alias("_row"), whole_text().alias("_text"))
+    stats = F.struct(*[c.cast("double").alias(n) for n, c in statistics().items()])
+    return computed_once(rows, _stats=stats).where(model.score("_stats") >= 0.5).select("_row.*")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_scores(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -451,26 +451,44 @@ def loaded(blob: bytes) -> Model:
     return _models[key]
 
 
-def encoded(docs: DataFrame, model: bytes) -> DataFrame:
-    """Per row: doc_id, ids, begins and ends (original byte spans of the pieces, without begin and end ids)."""
+def texts_encoded(m: Model, array: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """For each text its ids, the original byte offsets between its pieces, and whether the fast way was taken."""
+    data, offsets = text_buffers(array)
+    fast = m.batch
+    for low, high in blocks(offsets):
+        at = offsets[low : high + 1] - offsets[low]
+        part = data[offsets[low] : offsets[high]]
+        raw = part.tobytes()
+        if fast is None or SPACE_MARK.encode() in raw:
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                yield *m.encode(raw[a:b].decode()), False
+            continue
+        flat, begins = fast.encode(part, at)
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+            ids = flat[a:b]
+            # The mark put in front of a text has no source byte.
+            yield ids, np.concatenate([[0], np.cumsum(fast.in_source[ids]) - 1]) if b > a else np.zeros(1, np.int64), True
+
+
+def encoded(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
+    """Per row: its columns but text, ids (with begin and end), and each piece's original byte span."""
 
     def run(batches):
         m = loaded(model)
         for batch in batches:
-            rows = [m.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([[m.begin, *ids.tolist(), m.end] for ids, _ in rows], pa.list_(pa.int32())),
-                    pa.array([at[:-1].tolist() for _, at in rows], pa.list_(pa.int64())),
-                    pa.array([at[1:].tolist() for _, at in rows], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "ids", "begins", "ends"],
-            )
+            rows = list(texts_encoded(m, batch.column("_text")))
+            ids = [np.concatenate([[m.begin], i, [m.end]]).astype(np.int32) for i, _, _ in rows]
+            columns = [batch.column("_row"), pa.array(ids, pa.list_(pa.int32()))]
+            if spans:
+                columns += [pa.array([e[:-1] for _, e, _ in rows], pa.list_(pa.int64())), pa.array([e[1:] for _, e, _ in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(
-        run, "doc_id bigint, ids array<int>, begins array<bigint>, ends array<bigint>"
-    )
+    names = ["_row", "ids", "begins", "ends"][: 4 if spans else 2]
+    others = [c for c in docs.columns if c not in ("text", *names)]
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("_row"), whole_text().alias("_text"))
+    kinds = rows.schema["_row"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"_row {kinds}, ids array<int>" + ", begins array<bigint>, ends array<bigint>" * spans)
+    return out.select("_row.*", *names[1:])
 
 
 def digests(docs: DataFrame, model: bytes) -> DataFrame:
@@ -478,34 +496,16 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         m = loaded(model)
-        fast = m.batch
         control = np.array(sorted(m.control))
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
             counts, id_digests, text_digests, spans = [], [], [], []
-
-            def add(ids: np.ndarray, edges: np.ndarray, text: bytes) -> None:
+            for ids, edges, fast in texts_encoded(m, batch.column("text")):
+                ids = np.concatenate([[m.begin], ids, [m.end]])
+                text = m.batch.decode(ids[~np.isin(ids, control)])[1:] if fast else m.decode(ids.tolist()).encode()
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_digests.append(hashlib.sha256(text).hexdigest())
                 spans.append(hashlib.sha256(edges.astype("<i8").tobytes()).hexdigest())
-
-            for low, high in blocks(offsets):
-                at = offsets[low : high + 1] - offsets[low]
-                part = data[offsets[low] : offsets[high]]
-                raw = part.tobytes()
-                if fast is None or SPACE_MARK.encode() in raw:
-                    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                        ids, edges = m.encode(raw[a:b].decode())
-                        ids = np.array([m.begin, *ids.tolist(), m.end])
-                        add(ids, edges, m.decode(ids.tolist()).encode())
-                    continue
-                flat, begins = fast.encode(part, at)
-                for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
-                    ids = np.concatenate([[m.begin], flat[a:b], [m.end]])
-                    edges = np.concatenate([[0], np.cumsum(fast.in_source[flat[a:b]]) - 1]) if b > a else np.zeros(1, np.int64)
-                    text = fast.decode(ids[~np.isin(ids, control)])
-                    add(ids, edges, text[1:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(x, pa.string()) for x in (id_digests, text_digests, spans))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
