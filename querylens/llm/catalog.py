@@ -6,6 +6,7 @@ from querylens.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from querylens.llm.fingerprints import op3_fingerprints
 from querylens.llm.mixing import OP1_SQL, op1_mixing
 from querylens.llm.near_dedup import op7_minhash
+from querylens.llm.phrases import op9_phrases
 from querylens.llm.quality import op2_quality
 from querylens.llm.sentence_pieces import op5_sentencepiece
 from querylens.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
+    "op9_phrases": op9_phrases,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL}
