@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from querylens.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from querylens.llm.fingerprints import op3_fingerprints
+from querylens.llm.language_model import op6_language_model
 from querylens.llm.mixing import OP1_SQL, op1_mixing
 from querylens.llm.near_dedup import op7_minhash
 from querylens.llm.phrases import op9_phrases
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_language_model": op6_language_model,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_phrases": op9_phrases,
