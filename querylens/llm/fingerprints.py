@@ -26,6 +26,7 @@ from querylens.session import computed_once
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 HASH_LANES, COUNT_HASHES = 4, 2
 _LOW = (1 << 32) - 1
+NO_ID = -(1 << 63)
 _TWO = (1 << 32) | 1
 
 
@@ -150,26 +151,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts, of texts edited with the next document's beginning, and their likenesses."""
-    bare = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("_text"))
+    # Both joins take texts by this key, which is never null, so that they share one shuffle of the texts.
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_key")
+    bare = docs.select(key, F.col("doc_id").cast("bigint"), whole_text().alias("_text"))
     links, repeated = next_documents(docs)
-    links = kept(links, "links")
-    source = bare.groupBy("doc_id").agg(F.max("_text").alias("_text")) if repeated else bare
-    heads = with_vector(source.join(links, "doc_id"), "_text", "next_vector").select(
-        F.col("previous_id").alias("doc_id"), F.substring("_text", F.lit(1), F.col("need").cast("int")).alias("_head"), "next_vector"
+    links = kept(links, "links").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), "previous_id", "need")
+    source = bare.groupBy("_key").agg(F.max("_text").alias("_text")) if repeated else bare
+    heads = with_vector(source.join(links, "_key"), "_text", "next_vector").select(
+        F.coalesce("previous_id", F.lit(NO_ID)).alias("_key"),
+        F.substring("_text", F.lit(1), F.col("need").cast("int")).alias("_head"),
+        "next_vector",
     )
-    own = with_vector(bare, "_text", "vector")
     half = F.floor(F.length("_text") / 2)
     kept_part = F.substring("_text", F.lit(1), (F.length("_text") - half).cast("int"))
-    own = own.select(
-        "doc_id", F.length("_text").cast("bigint").alias("n_chars"), half.alias("_half"), kept_part.alias("_kept"), "vector"
-    )
-    nothing = F.lit("")
-    joined = own.join(heads, "doc_id", "left").select(
-        "doc_id",
-        "n_chars",
-        "vector",
-        "next_vector",
-        F.concat("_kept", F.coalesce(F.substring("_head", F.lit(1), F.col("_half").cast("int")), nothing)).alias("_edited"),
+    head = F.coalesce(F.substring("_head", F.lit(1), half.cast("int")), F.lit(""))
+    joined = with_vector(bare.join(heads, "_key", "left"), "_text", "vector").select(
+        "doc_id", F.length("_text").cast("bigint").alias("n_chars"), "vector", "next_vector", F.concat(kept_part, head).alias("_edited")
     )
     both = with_vector(joined, "_edited", "edited_vector")
     return both.select(
