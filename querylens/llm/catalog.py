@@ -10,12 +10,14 @@ from querylens.llm.near_dedup import op7_minhash
 from querylens.llm.phrases import op9_phrases
 from querylens.llm.quality import op2_quality
 from querylens.llm.sentence_pieces import op5_sentencepiece
+from querylens.llm.substrings import op4_suffix_array
 from querylens.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
+    "op4_suffix_array": op4_suffix_array,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_language_model": op6_language_model,
     "op7_minhash": op7_minhash,
