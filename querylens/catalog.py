@@ -122,20 +122,20 @@ SAMPLE_LINES = 40
 
 @query
 def src_sample_lines(spark, sf):
-    lines = files.directory_lines(spark, derived.log_directory(spark, sf))
-    sample = files.numbered_lines(files.head_sample(lines, SAMPLE_LINES))
+    lines = files.read_lines(spark, derived.log_directory(spark, sf))
+    sample = files.numbered_lines(files.head_sample(lines, SAMPLE_LINES), landed=True)
     return sample.select(base_name().alias("file_name"), "line_no", "value")
 
 
 @query
 def src_record_index(spark, sf):
-    lines = files.directory_lines(spark, derived.log_directory(spark, sf))
+    lines = files.read_lines(spark, derived.log_directory(spark, sf))
     return files.log_entries(lines).select("record_index", "ts", "process_id", "level")
 
 
 @query
 def src_quarantine_files(spark, sf):
-    lines = files.directory_lines(spark, derived.log_directory(spark, sf)).withColumn(
+    lines = files.read_lines(spark, derived.log_directory(spark, sf)).withColumn(
         "value", F.regexp_replace("value", "^2024-01-17", "2024-13-17")
     )
     kept = files.log_entries(lines, on_bad_file="skip")

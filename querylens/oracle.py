@@ -246,9 +246,7 @@ ln AS (
 """
 
 FILES = LINES + """,
-sized AS (SELECT *, CASE WHEN (SELECT count(*) FROM events) < 1000000
-                         THEN 2500 ELSE 1000000 END AS per_file FROM ln),
-placed AS (SELECT *, event_id // per_file AS number FROM sized),
+placed AS (SELECT *, event_id // 2500 AS number FROM ln),
 named AS (
   SELECT *, CASE number % 4
     WHEN 0 THEN printf('pg_%06d.log', number) WHEN 1 THEN printf('pg_%06d.TXT', number)
@@ -356,7 +354,7 @@ ORACLES: dict[str, str] = {
   CAST(sum(line_count) AS BIGINT) AS line_count FROM named WHERE number % 2 = 0 GROUP BY 1""",
     "src_sample_lines": f"""WITH {FILES},
 started AS (SELECT *, CAST(sum(line_count) OVER (PARTITION BY file_name ORDER BY event_id)
-  - line_count AS BIGINT) AS start FROM logs),
+  - line_count AS BIGINT) AS start FROM named),
 every AS (
   SELECT file_name, start AS line_no, prefix || body AS value FROM started
   UNION ALL SELECT file_name, start + 1, '    -- continued' FROM started WHERE line_count = 3
@@ -364,10 +362,10 @@ every AS (
 SELECT * FROM every WHERE line_no < {SAMPLE_LINES}""",
     "src_record_index": f"""WITH {FILES} SELECT
   row_number() OVER (ORDER BY file_name, event_id) - 1 AS record_index, ts,
-  CAST(user_id AS VARCHAR) AS process_id, level FROM logs""",
+  CAST(user_id AS VARCHAR) AS process_id, level FROM named""",
     "src_quarantine_files": f"""WITH {FILES},
-kept AS (SELECT * FROM logs WHERE file_name NOT IN (
-  SELECT file_name FROM logs WHERE CAST(ts AS DATE) = DATE '2024-01-17')),
+kept AS (SELECT * FROM named WHERE file_name NOT IN (
+  SELECT file_name FROM named WHERE CAST(ts AS DATE) = DATE '2024-01-17')),
 numbered AS (SELECT file_name, row_number() OVER (ORDER BY file_name, event_id) - 1 AS i FROM kept)
 SELECT file_name, count(*) AS entry_count, min(i) AS first_record, max(i) AS last_record
 FROM numbered GROUP BY 1""",

@@ -36,7 +36,8 @@ def local_session(cpus: str = "8", name: str = "querylens") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, local runs) gets a temporary one.
+    A local master, where driver and executors are one process, may go without
+    and gets a temporary folder; on a cluster that would scatter the data.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,10 +46,26 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(folder)
         return folder
     if not context.getCheckpointDir():
+        if not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a ``kept`` table that nothing reads any more."""
+    folder = shared_dir(spark).rstrip("/").removeprefix("file:")
+    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        if folder in path:
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            conf = spark.sparkContext._jsc.hadoopConfiguration()
+            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

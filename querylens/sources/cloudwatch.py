@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from querylens.schemas import CLOUDWATCH_RESPONSE
 from querylens.operators.parse import source_kind
-from querylens.sources.files import keep_lines, log_entries, row_in_task, split_table
+from querylens.sources.files import landed_heads, log_entries, placed, row_in_task, split_table
 
 # Units of a relative start.
 UNITS = {"m": timedelta(minutes=1), "h": timedelta(hours=1), "d": timedelta(days=1)}
@@ -111,19 +111,17 @@ def response_entries(
     The sample is the first lines over ALL pages, unlike the per-file sample of
     log files; a line with an impossible timestamp fails the whole read.
     """
-    lines, in_order = response_lines(responses, window), True
+    lines = response_lines(responses, window)
     if sample_size is not None:
-        if sample_size <= 0:
-            raise ValueError("Sample size must be greater than 0")
-        pages = split_table(lines).where(F.col("before_file") < sample_size)
+        heads = landed_heads(lines, sample_size)
         place = (
             F.col("_row") - F.col("first_row") + F.col("before_split") + F.col("before_file")
         )
-        lines, in_order = keep_lines(lines, pages, place < sample_size)
+        lines = placed(heads, split_table(heads)).where(place < sample_size).select(*lines.columns)
     return log_entries(
         lines,
         log_format,
         on_bad_file="fail",
         kind=source_kind(log_format, cloudwatch=True),
-        in_order=in_order,
+        in_order=sample_size is None,
     )

@@ -244,9 +244,8 @@ def padded_line() -> Column:
     )
 
 
-def _rows_per_file(count: int) -> int:
-    """Small logs still make several files; large ones get files of about 100 MB."""
-    return 2_500 if count < 1_000_000 else 1_000_000
+# Lines of one file, at every size.
+ROWS_PER_FILE = 2_500
 
 
 def file_name(number: int) -> str:
@@ -275,11 +274,10 @@ def log_directory(spark: SparkSession, sf_dir: str) -> str:
     """
 
     def write(path: str) -> None:
-        rows = events_table(spark, sf_dir)
-        per_file = _rows_per_file(rows.count())
-        number = F.expr(f"event_id div {per_file}")
+        number = F.expr(f"event_id div {ROWS_PER_FILE}")
         (
-            rows.select(number.alias("number"), "event_id", noisy_line().alias("value"))
+            events_table(spark, sf_dir)
+            .select(number.alias("number"), "event_id", noisy_line().alias("value"))
             .repartition("number")
             .sortWithinPartitions("number", "event_id")
             .select("number", "value")
@@ -293,7 +291,8 @@ def log_directory(spark: SparkSession, sf_dir: str) -> str:
         for part in fs.globStatus(to_path(f"{path}/parts/number=*/part-*")):
             old = part.getPath()
             number = int(old.getParent().getName().split("=")[1])
-            fs.rename(old, to_path(f"{path}/logs/{file_name(number)}"))
+            if not fs.rename(old, to_path(f"{path}/logs/{file_name(number)}")):
+                raise OSError(f"{old} could not be renamed: a second file for number {number}?")
 
     return _once(spark, sf_dir, "log-directory", write) + "/logs"
 

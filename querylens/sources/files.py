@@ -4,20 +4,30 @@ Order inside a text scan is known without sorting: a split delivers its lines in
 file order, and a split is named by (file, block start).  So positions come from
 one small table with a row per split: how many lines it has and how many precede
 it.  Lines themselves are never shuffled or sorted to be numbered.
+
+Another scan may cut files into other splits, so places are written down with the
+lines (or entries) by the scan that saw them, and numbers are worked out from what
+was written.  A line whose split has no place is an error, never a lost row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import broadcast_if_small, fits_broadcast, kept, settled
+from querylens.session import broadcast_if_small, kept, settled
 
 SPLIT = ("source_window", "file", "block_start")
+# Paths in a list file, and how many are looked up at once.
+MAX_LISTED = 1_000_000
+STATUS_THREADS = 32
 # What counts as a log file in a directory.
 LOG_FILE_NAME = r"(?i)^(?:.+\.(?:log|txt)|\.?[^.]*(?:postgres|pg)[^.]*)$"
 
@@ -81,23 +91,34 @@ def directory_lines(spark: SparkSession, directory: str, window: str = "target")
 
 
 def listed_paths(spark: SparkSession, list_file: str) -> list[str]:
-    """Paths named in a list file; blank lines and # comments are skipped.
+    """Distinct paths named in a list file; blank lines and # comments are skipped.
 
-    The list is the argument of the next scan, so it is held on the driver.
+    The next scan takes its files as an argument, so the driver holds as many
+    paths as it will plan splits for, and no list of more than MAX_LISTED.
     """
     text = F.btrim("value")
     rows = (
         spark.read.text(list_file)
         .select(text.alias("path"))
         .where((F.col("path") != "") & ~F.col("path").startswith("#"))
+        .distinct()
+        .limit(MAX_LISTED + 1)
         .collect()
     )
+    if len(rows) > MAX_LISTED:
+        raise ValueError(f"{list_file} names more than {MAX_LISTED} files; read their folder instead")
     return [row.path for row in rows]
 
 
 def existing_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Distinct non-empty files among the paths, sorted; others are ignored."""
-    return sorted({p for p in paths if path_kind(spark, p) == "file"}, key=lambda p: p.split("/"))
+    """Distinct non-empty files among the paths, sorted; others are ignored.
+
+    The file system is asked about many paths at a time.
+    """
+    distinct = sorted(set(paths), key=lambda p: p.split("/"))
+    with ThreadPoolExecutor(STATUS_THREADS) as pool:
+        kinds = pool.map(lambda p: path_kind(spark, p), distinct)
+        return [p for p, kind in zip(distinct, kinds) if kind == "file"]
 
 
 def file_lines(
@@ -182,40 +203,77 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
     )
 
 
-def _head(lines: DataFrame, size: int | None) -> tuple[DataFrame, bool]:
-    """Sampled lines, and whether tasks still hold them in file order."""
-    if size is None:
-        return lines, True
+@contextmanager
+def _split_per_task(spark: SparkSession):
+    """Plan scans with whole files (up to a terabyte) as splits, one split to a task."""
+    ours = {
+        "spark.sql.files.maxPartitionBytes": str(1 << 40),
+        "spark.sql.files.openCostInBytes": str(1 << 40),
+        "spark.sql.files.maxPartitionNum": None,
+    }
+    before = {key: spark.conf.get(key, None) for key in ours}
+    try:
+        for key, value in ours.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def landed_heads(lines: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` lines of every split, written to the shared folder.
+
+    A task has one split and stops reading it after ``size`` lines, so what is
+    read is bounded by the heads, not by the files.
+    """
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
-    splits = split_table(lines).where(F.col("before_split") < size)
-    return keep_lines(lines, splits, _line_no() < size)
 
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = size
+        for batch in batches:
+            yield batch.slice(0, left)
+            left -= min(left, batch.num_rows)
+            if not left:
+                return
 
-def keep_lines(lines: DataFrame, splits: DataFrame, keep: Column) -> tuple[DataFrame, bool]:
-    """Lines of the given splits that satisfy ``keep``, and whether order survived.
-
-    A broadcast join leaves each task's lines in place; a shuffled one, used when
-    the table of splits is too long to broadcast, does not.
-    """
-    in_order = fits_broadcast(splits)
-    side = F.broadcast(splits) if in_order else splits
-    return lines.join(side, list(SPLIT)).where(keep).select(*lines.columns), in_order
+    with _split_per_task(lines.sparkSession):
+        return kept(lines.mapInArrow(head, lines.schema), "heads")
 
 
 def head_sample(lines: DataFrame, size: int | None) -> DataFrame:
     """First ``size`` lines of every file, counted before any parsing."""
-    return _head(lines, size)[0]
+    if size is None:
+        return lines
+    first = Window.partitionBy("source_window", "file").orderBy("block_start", "_row")
+    heads = landed_heads(lines, size).withColumn("_n", F.row_number().over(first))
+    return heads.where(F.col("_n") <= size).select(*lines.columns)
+
+
+def placed(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Lines with the places of their splits; a split without a place is an error."""
+    marked = broadcast_if_small(splits.withColumn("_placed", F.lit(True)))
+    joined = lines.join(marked, list(SPLIT), "left")
+    place = F.when(F.col("_placed"), F.col("first_row")).otherwise(
+        F.raise_error(F.concat(F.lit("no place for a split of "), F.col("file"))).cast("bigint")
+    )
+    return joined.withColumn("first_row", place).drop("_placed")
 
 
 def _line_no() -> Column:
     return F.col("_row") - F.col("first_row") + F.col("before_split")
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Lines with ``line_no`` (0-based in the file) and ``position`` (over all files)."""
+def numbered_lines(lines: DataFrame, landed: bool = False) -> DataFrame:
+    """Lines with ``line_no`` (0-based in the file) and ``position`` (over all files).
+
+    ``landed``: the lines are read from a table that holds their places, such as a
+    head sample; others are written to one first.
+    """
+    lines = lines if landed else kept(lines, "lines")
     line_no = _line_no()
-    return lines.join(broadcast_if_small(split_table(lines)), list(SPLIT)).select(
+    return placed(lines, split_table(lines)).select(
         "source_window",
         "file",
         "value",
@@ -240,9 +298,8 @@ def log_entries(
     """
     if on_bad_file not in ("skip", "fail"):
         raise ValueError(f"unknown policy for bad files: {on_bad_file}")
-    sampled, still_in_order = _head(lines, sample_size)
-    entries = parse_lines(sampled, log_format, kind)
-    if in_order and still_in_order:
+    entries = parse_lines(head_sample(lines, sample_size), log_format, kind)
+    if in_order and sample_size is None:
         place = row_in_task()
     else:
         place = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("_row")).cast("bigint")
@@ -252,11 +309,12 @@ def log_entries(
         bad = bad_files(entries).take(1)
         if bad:
             raise ValueError(f"Failed to parse {bad[0].bad_lines} lines in {bad[0].file}")
-    table = broadcast_if_small(split_table(entries, "_entry", broken))
+    table = split_table(entries, "_entry", broken)
     record_index = (
         F.col("_entry") - F.col("first_row") + F.col("before_split") + F.col("before_file")
     )
-    return entries.join(table, list(SPLIT)).select(
+    # Files with a broken line have no place and are left out here.
+    return entries.join(broadcast_if_small(table), list(SPLIT)).select(
         record_index.alias("record_index"),
         *[c for c in entries.columns if c not in ("_entry", "block_start")],
     )
