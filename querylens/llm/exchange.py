@@ -138,7 +138,8 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     out, have = values.copy(), 1
     while have < width:
         step = min(have, width - have)
-        out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])
+        ahead = out[step:]
+        out[: len(ahead)] = np.minimum(out[: len(ahead)], ahead)
         have += step
     return out
 

@@ -484,7 +484,7 @@ def encoded(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["_row", "ids", "begins", "ends"][: 4 if spans else 2]
-    others = [c for c in docs.columns if c not in ("text", *names)]
+    others = [c for c in docs.columns if c not in ("text", *names[1:])]
     rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("_row"), whole_text().alias("_text"))
     kinds = rows.schema["_row"].dataType.simpleString()
     out = rows.mapInArrow(run, f"_row {kinds}, ids array<int>" + ", begins array<bigint>, ends array<bigint>" * spans)

@@ -215,7 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, si
                 ["doc_id", "lang", "label", "bytes", "words"],
             )
 
-    texts = docs.join(F.broadcast(sample), "doc_id").select(
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(
         "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "label",
         F.octet_length(whole_text()).cast("bigint").alias("bytes"), whole_text().alias("text"),
     )
