@@ -12,9 +12,12 @@ Links are confirmed on full sets, without comparing all pairs of a bucket:
 * in every bucket all members are compared with its hub, the member with most company in all buckets. Members
   are dealt to sites of bounded size and the hub's set is copied to each site;
 * linked members share the hub's component. Jaccard distance is a metric, so a member at distance over twice
-  the limit is linked with none of them. What is still open between different components goes on: buckets of
-  at most ``SMALL`` members compare all their pairs in one task, larger ones take their next hub, and so on
-  until nothing is open. No link between different texts is lost, and no cap applies.
+  the limit is linked with none of them. Members in between that are not yet in the component are its
+  outliers: all outliers of a component are compared with all its members, in a grid of bounded tasks;
+* members that are not linked with the hub may still be linked with each other. They make a bucket again:
+  one of at most ``SMALL`` members compares all its pairs in one task, a larger one takes its next hub, and so
+  on until no bucket has members of different components. No link between different texts is lost, and no cap
+  applies.
 
 Components are then labelled by their smallest doc_id. Null and empty texts have the empty set and are linked
 with nothing. Rows repeated with the same doc_id and text are alike. A row without doc_id takes no part:
@@ -36,6 +39,8 @@ SMALL = 400
 # Shingles sent to one site, and distinct shared shingles of a small bucket handled at a time.
 SITE_SHINGLES = 1_000_000
 COLUMNS = 1 << 14
+# Outliers compared in one task of the grid.
+OUTLIERS = 256
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -194,6 +199,18 @@ def all_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             same += m @ m.T
         union = sizes[:, None] + sizes[None, :] - same
         i, j = np.nonzero(np.triu(100 * same >= percent * union, 1))
+        root = list(range(len(sets)))
+        tree = []
+        for a, b in zip(i.tolist(), j.tolist()):  # links that join members not yet joined are enough
+            x, y = a, b
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[y] = x
+                tree.append((a, b))
+        i, j = np.array(tree, np.int64).reshape(-1, 2).T
         return pa.table({"hub": pa.array(ids[i], pa.int64()), "id": pa.array(ids[j], pa.int64())})
 
     return buckets.join(sets.select("id", "shingles"), "id").select("key", "id", "shingles").groupBy("key").applyInArrow(
@@ -201,6 +218,54 @@ def all_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def outlying_links(outliers: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (hub, id) of each component's outliers with its members; both are (component, id), distinct.
+
+    Members are dealt to sites by their total size, outliers to groups by number, and every site meets every group.
+    One link of an outlier at a site is enough.
+    """
+    sized = kept(members.join(sets.select("id", "size"), "id"), "sized")
+    sites = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / SITE_SHINGLES).alias("sites"))
+    groups = outliers.groupBy("component").agg(F.count(F.lit(1)).alias("n_out"), F.ceil(F.count(F.lit(1)) / OUTLIERS).alias("groups"))
+    grid = kept(sites.join(groups, "component"), "grid")
+    n_members, n_outliers = grid.agg(F.sum("n"), F.sum("n_out")).first()
+    none = F.lit(0).cast("bigint")
+
+    def dealt(rows: DataFrame, size: str, total: int, mine: str, other: str) -> DataFrame:
+        to = F.pmod(F.xxhash64("id"), F.col(mine)).alias(mine)
+        placed = join_groups(rows.select("component", "id"), grid, ["component"], size, total or 0)
+        copies = placed.select("component", "id", to, F.explode(F.sequence(none, F.col(other) - 1)).alias(other))
+        return copies.join(sets.select("id", "shingles"), "id").select("component", "sites", "groups", "id", "shingles")
+
+    left = dealt(sized, "n", n_members, "sites", "groups")
+    right = dealt(outliers, "n_out", n_outliers, "groups", "sites").toDF("component", "sites", "groups", "out_id", "out_shingles")
+
+    def run(near: pa.Table, out: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if near.num_rows and out.num_rows:
+            near_ids, out_ids = near.column("id").to_pylist(), out.column("out_id").to_pylist()
+            near_sets = [np.frombuffer(x, np.uint64) for x in near.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in near_sets])
+            flat = np.concatenate(near_sets)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            out_sets = [np.frombuffer(x, np.uint64) for x in out.column("out_shingles").to_pylist()]
+            known = np.unique(np.concatenate(out_sets))
+            place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            place[known[place] != flat] = len(known)  # a place that no outlier has
+            for ident, mine in zip(out_ids, out_sets):
+                has = np.zeros(len(known) + 1, bool)
+                has[np.searchsorted(known, mine)] = True
+                same = np.add.reduceat(has[place], starts, dtype=np.int64)
+                linked = np.flatnonzero(100 * same >= percent * (sizes + len(mine) - same))
+                if len(linked):
+                    links.append((ident, near_ids[linked[0]]))
+        columns = list(zip(*links)) or [[], []]
+        return pa.table({"hub": pa.array(columns[0], pa.int64()), "id": pa.array(columns[1], pa.int64())})
+
+    by = ["component", "sites", "groups"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "hub bigint, id bigint")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, label) of all nodes with links: the smallest id that each can reach, by label spreading and jumping."""
     both = links.select("hub", "id").union(links.select(F.col("id").alias("hub"), F.col("hub").alias("id"))).where("hub != id").distinct()
@@ -251,40 +316,44 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n_rows: int, k: int, percent:
         return None
     sets = kept(full_sets(docs, company.select("id"), k), "sets")
     found: list[DataFrame] = []
-    labels = None
-    first = True
-    while True:
-        # Small buckets are finished at once, except that in the first round hubs do most of the work.
-        large = active if first else active.where(F.col("n_in") > SMALL)
-        if not first:
-            small = active.where(F.col("n_in") <= SMALL)
-            found.append(kept(all_pairs(small, sets, percent).distinct(), "pairs"))
-        first = False
-        more = not large.isEmpty()
-        if more:
-            hubs = kept(
-                large.groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("n_in")),
-                "hub_of",
-            )
-            total = hubs.agg(F.sum("n_in")).first()[0]
-            starred = kept(join_groups(large.drop("n_in"), hubs, ["key"], "n_in", total).where("id != hub"), "starred")
-            told = kept(verified(starred.select("hub", "id").distinct(), sets, percent), "verified")
-            found.append(told.where("linked").select("hub", "id"))
+
+    def joined() -> DataFrame:
         links = found[0]
-        for other in found[1:]:
-            links = links.union(other)
-        labels = connected(links)
-        if not more:
-            return labels
-        judged = _labelled(starred.join(told, ["hub", "id"]), labels)
-        doubtful = judged.where(~F.col("linked"))
-        # Linked members and those between once and twice the limit of distance may still be linked.
-        between = judged.where(~F.col("far"))
-        columns = ["key", "id", "company", "label"]
-        rest = doubtful.select(F.xxhash64("key", F.lit("apart")).alias("key"), *columns[1:]).unionByName(
-            between.select(F.xxhash64("key", F.lit("near")).alias("key"), *columns[1:])
+        for more in found[1:]:
+            links = links.union(more)
+        return connected(links)
+
+    while True:
+        hubs = kept(
+            active.groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("n_in")),
+            "hub_of",
         )
-        active = _open(rest)
+        total = hubs.agg(F.sum("n_in")).first()[0]
+        starred = kept(join_groups(active.drop("n_in"), hubs, ["key"], "n_in", total).where("id != hub"), "starred")
+        told = kept(verified(starred.select("hub", "id").distinct(), sets, percent), "verified")
+        found.append(told.where("linked").select("hub", "id"))
+        labels = joined()
+        judged = kept(_labelled(starred.join(told, ["hub", "id"]), labels), "judged")
+
+        # Between the limit and twice the limit of distance from a hub: outliers, unless in its component already.
+        homes = hubs.join(labels.select(F.col("id").alias("hub"), F.col("label").alias("component")), "hub", "left")
+        homes = homes.select("key", "n_in", F.coalesce("component", "hub").alias("component"))
+        near = join_groups(judged.where("NOT far").select("key", "id", "label"), homes, ["key"], "n_in", total)
+        outside = F.col("label") != F.col("component")
+        outliers = kept(near.where(outside).select("component", "id").distinct(), "outliers")
+        if not outliers.isEmpty():
+            with_outliers = outliers.select("component").distinct()
+            members = near.where(~outside).select("component", "id").distinct().join(with_outliers, "component", "left_semi")
+            found.append(kept(outlying_links(outliers, members, sets, percent), "outlying"))
+            labels = joined()
+
+        rest = judged.where("NOT linked").select(F.xxhash64("key", F.lit("apart")).alias("key"), "id", "company", "label")
+        active = _open(_labelled(rest, labels))
+        small = active.where(F.col("n_in") <= SMALL)
+        if not small.isEmpty():
+            found.append(kept(all_pairs(small, sets, percent).distinct(), "pairs"))
+            labels = joined()
+        active = kept(active.where(F.col("n_in") > SMALL), "active")
         if active.isEmpty():
             return labels
 
