@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from querylens.functions.classify import nine_way_class, prefix_class, statement_class
 from querylens.functions.fingerprint import (
     canonical_sql,
+    family_sql,
     literal_shape,
     parsed_queries,
     regex_fingerprint,
@@ -24,7 +25,7 @@ from querylens.operators import diff, families, timing, workload
 from querylens.operators.events import typed_events
 from querylens.operators.parse import candidate_lines, parse_lines
 from querylens.plans import documents
-from querylens.plans.investigate import executions_from_lines, executions_of
+from querylens.plans.investigate import executions_from_lines, executions_of, slow_query_changes
 from querylens.session import computed_once, kept, scratch_path
 from querylens.sources import cloudwatch, derived, files
 
@@ -169,9 +170,27 @@ def src_cloudwatch_sample(spark, sf):
     )
 
 
+WINDOW = ("2024-01-10T02:00:00+02:00", "2024-01-12T12:00:00Z")
+
+
+@query
+def src_response_window(spark, sf):
+    responses = cloudwatch.read_responses(
+        spark, derived.response_directory(spark, sf), one_per_file=False
+    )
+    inside = cloudwatch.in_time_window(responses, *cloudwatch.time_bounds(*WINDOW))
+    return cloudwatch.response_entries(inside).select("record_index", "process_id", "level")
+
+
+@query
+def src_window_paths(spark, sf):
+    """A folder against a file."""
+    return _flat_changes(slow_query_changes(spark, *derived.window_paths(spark, sf), options=DIFF_OPTIONS)[0])
+
+
 @query
 def src_time_window(spark, sf):
-    bounds = cloudwatch.time_bounds("2024-01-10T02:00:00+02:00", "2024-01-12T12:00:00Z")
+    bounds = cloudwatch.time_bounds(*WINDOW)
     return cloudwatch.entries_in_window(derived.events_table(spark, sf), *bounds).select(
         "event_id", "ts"
     )
@@ -579,9 +598,7 @@ def diff_flags(spark, sf):
     )
 
 
-@query
-def slow_query_diff(spark, sf):
-    found = diff.slow_query_diff(both_windows(spark, sf), DIFF_OPTIONS)
+def _flat_changes(found: DataFrame) -> DataFrame:
     b, t, d = F.col("baseline"), F.col("target"), F.col("delta")
     return _flat_finding(
         found,
@@ -593,6 +610,11 @@ def slow_query_diff(spark, sf):
     )
 
 
+@query
+def slow_query_diff(spark, sf):
+    return _flat_changes(diff.slow_query_diff(both_windows(spark, sf), DIFF_OPTIONS))
+
+
 # --- workload -------------------------------------------------------------
 
 
@@ -671,9 +693,37 @@ def nine_way_summary(spark, sf):
     )
 
 
+@query
+def accumulated_summary(spark, sf):
+    pairs = derived.statements(spark, sf).select("sql", F.col("value").alias("duration_ms"))
+    return workload.accumulated_summary(pairs, events(spark, sf)).select(
+        "query_type", "query_count", "total_queries", rounded("total_duration"), "error_count",
+        "connection_count",
+    )
+
+
+@query
+def slowest_queries_default(spark, sf):
+    return workload.slowest_queries(executions(spark, sf)).select("query", "duration_ms", "ts")
+
+
+@query
+def sql_unparsed_text(spark, sf):
+    """Truncated statements: kept raw, and told apart from what parses."""
+    lines = derived.log_lines(spark, sf, body=derived.truncated_message())
+    shaped = typed_events(parse_lines(lines)).groupBy("parsed", "shape").count()
+    named = computed_once(shaped, query=family_sql())
+    return named.groupBy("parsed", "query").agg(F.sum("count").alias("statement_count"))
+
+
 # --- timing ---------------------------------------------------------------
 
 
+@query
+def peak_hours_default(spark, sf):
+    return timing.peak_hours(events(spark, sf)).select("hour", rounded("total_duration_ms"))
+
+
 @query
 def timing_summary(spark, sf):
     s = timing.timing_summary(events(spark, sf))

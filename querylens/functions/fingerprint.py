@@ -49,13 +49,25 @@ TRUTH_WORDS = ("TRUE", "FALSE")
 PLAIN_STATEMENT_WORDS = ("SELECT", "WITH", "INSERT", "UPDATE", "DELETE")
 
 # Lexical shapes.
-STRING = r"[eEnNbBxX]?'(?:[^']|'')*+'"
-DOLLAR_STRING = r"\$(\w*)\$.*?\$\{ref}\$"
+STRING = r"'(?:[^']|'')*+'"
+# Escape, national, bit and dollar strings are part of the text, not literals to blank out.
+ESCAPE_STRING = r"[eE]'(?:[^'\\]|''|\\.)*+'"
+PREFIXED_STRING = r"[nNbBxX]'(?:[^']|'')*+'"
+DOLLAR_STRING = r"\$((?:[\p{L}_]\w*)?)\$.*?\$\{ref}\$"
 QUOTED_NAME = r'"(?:[^"]|"")*+"'
 NUMBER = r"(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?"
 NAME = r"[\p{L}_][\p{L}\p{N}_$]*+"
-BLOCK_COMMENT = r"/\*.*?\*/"
 LINE_COMMENT = r"--[^\n]*+"
+# Block comments nest; three levels are followed.
+COMMENT_DEPTH = 3
+
+
+def _block_comment(depth: int) -> str:
+    inner = f"|{_block_comment(depth - 1)}" if depth > 1 else ""
+    return rf"/\*(?:[^*/]|\*(?!/)|/(?!\*){inner})*+\*/"
+
+
+BLOCK_COMMENT = _block_comment(COMMENT_DEPTH)
 
 
 def _dollar(ref: int) -> str:
@@ -66,7 +78,10 @@ def _dollar(ref: int) -> str:
 NEUTRAL = "|".join(
     (
         r"(?i:date|time|timestamp)\s*+'(?:[^']|'')*+'",
-        r"(?![eEnNbBxX]')" + NAME,
+        ESCAPE_STRING,
+        PREFIXED_STRING,
+        _dollar(2),
+        NAME,
         QUOTED_NAME,
         LINE_COMMENT,
         BLOCK_COMMENT,
@@ -74,24 +89,37 @@ NEUTRAL = "|".join(
         r"/(?!\*)",
         r"-(?!-)",
         r"\.(?!\d)",
-        r"\$(?!\d|\w*+\$)",
+        r"\$(?!\d|(?:[\p{L}_]\w*+)?\$)",
     )
 )
 # ... and a literal: one match swallows both, starting where the last one ended.
 TO_NEXT_LITERAL = (
-    rf"(?s)\G((?:{NEUTRAL})*+)(?:{STRING}|\$\d++|{_dollar(2)}|{NUMBER})"
+    rf"(?s)\G((?:{NEUTRAL})*+)(?:{STRING}|\$\d++|{NUMBER})"
 )
 TOKEN = (
-    rf"(?s){LINE_COMMENT}|{BLOCK_COMMENT}|{STRING}|{_dollar(1)}|{QUOTED_NAME}"
+    rf"(?s){LINE_COMMENT}|{BLOCK_COMMENT}|{ESCAPE_STRING}|{PREFIXED_STRING}|{STRING}|{_dollar(1)}"
+    rf"|{QUOTED_NAME}"
     rf"|\$\d++|{NUMBER}|{NAME}"
     r"|::|<=|>=|<>|!=|\|\||->>|->|#>>|#>|@>|<@|&&|~\*|!~\*|!~|\S"
 )
 STATEMENT = (
-    rf"(?s)(?:[^;'\"$/-]++|{STRING}|{QUOTED_NAME}|{_dollar(1)}|\$"
+    rf"(?s)(?:(?:(?!(?<![\p{{L}}\p{{N}}_$])[eE]')[^;'\"$/-])++|{ESCAPE_STRING}|{STRING}|{QUOTED_NAME}|{_dollar(1)}|\$"
     rf"|{LINE_COMMENT}|{BLOCK_COMMENT}|[/-])++"
 )
 LITERAL = r"^(?:[eEnNbBxX]?'|\$|\.?[0-9]|\?$)"
+KEPT_STRING = r"^(?:[eEnNbBxX]'|\$(?!\d))"
 WORD = r"^[\p{L}_]"
+# Words that begin a statement, and words that cannot end one.
+FIRST_WORDS = (
+    "SELECT WITH VALUES TABLE INSERT UPDATE DELETE MERGE CREATE ALTER DROP TRUNCATE GRANT REVOKE BEGIN START COMMIT "
+    "ROLLBACK END ABORT SAVEPOINT RELEASE EXPLAIN ANALYZE VACUUM SET SHOW RESET COPY LOCK DECLARE FETCH MOVE CLOSE "
+    "PREPARE EXECUTE DEALLOCATE LISTEN NOTIFY UNLISTEN COMMENT CLUSTER REINDEX REFRESH CHECKPOINT CALL DO DISCARD "
+    "SECURITY REASSIGN IMPORT LOAD"
+).split()
+OPEN_WORDS = (
+    "WHERE AND OR NOT FROM JOIN ON BY SET INTO VALUES SELECT IN LIKE ILIKE BETWEEN HAVING UNION EXCEPT INTERSECT AS "
+    "WHEN THEN ELSE CASE USING LIMIT OFFSET RETURNING UPDATE INSERT GROUP ORDER LEFT RIGHT INNER FULL CROSS WITH"
+).split()
 
 
 def _text(value: str) -> str:
@@ -143,6 +171,8 @@ NEIGHBOURS = f"""
 """
 
 PRINTED_TEXT = f"""CASE
+  WHEN n.token.kind = 'value' AND rlike(n.token.raw, {_text(KEPT_STRING)})
+    THEN concat(upper(substr(n.token.raw, 1, 1)), substr(n.token.raw, 2))
   WHEN n.token.kind = 'value'
     AND NOT (n.prev.upper IN ({_words(TYPED_LITERAL_WORDS)}) AND startswith(n.token.raw, "'"))
     THEN '?'
@@ -236,9 +266,19 @@ def family_sql(shape: str = "shape", parsed: str = "parsed") -> Column:
     )
 
 
-def shape_of(statement: Column, parsed: Column) -> Column:
-    """Grouping text of a statement event; raw STATEMENT lines keep their text."""
-    return F.when(parsed, literal_shape(statement)).otherwise(statement)
+def plausible(shape: Column) -> Column:
+    """Whether a shape could be SQL: a truncated first line is the usual one that could not.
+
+    Closed quotes and brackets, a first word that begins statements, and no end
+    on an operator, a comma or a word that wants more.  This is no grammar: what
+    passes may still be wrong SQL.
+    """
+    opaque = rf"(?s){ESCAPE_STRING}|{PREFIXED_STRING}|{_dollar(1)}|{STRING}|{QUOTED_NAME}|{LINE_COMMENT}|{BLOCK_COMMENT}"
+    bare = F.regexp_replace(shape, opaque, " q ")
+    balanced = (F.regexp_count(bare, F.lit(r"\(")) == F.regexp_count(bare, F.lit(r"\)"))) & ~bare.rlike("['\"]|/\\*")
+    begins = bare.rlike(rf"(?i)^[\s(;]*+(?:q\s++)*+[(\s]*+(?:{'|'.join(FIRST_WORDS)})\b")
+    ends = bare.rlike(rf"(?i)(?:[,=<>+(|~!%^&@#]|(?<!\*)/|\b(?:{'|'.join(OPEN_WORDS)}))[\s;]*+$")
+    return balanced & begins & ~ends
 
 
 def regex_fingerprint(sql: Column) -> Column:

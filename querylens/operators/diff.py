@@ -12,15 +12,17 @@ from querylens.operators.families import (
     SCHEMA_VERSION,
     confidence,
     correlation_codes,
+    evidence_of,
     family_id,
     family_struct,
     follow_up,
     labelled,
+    landed,
     ranked,
-    with_evidence,
+    shape_dictionary,
 )
 from querylens.operators.percentiles import value_profile
-from querylens.session import computed_once
+from querylens.session import broadcast_if_small, settled
 
 FAMILY = (*IDENTITY, "normalized_sql")
 METRICS = ("execution_count", "total_duration_ms", "avg_duration_ms", "p95_duration_ms",
@@ -35,21 +37,37 @@ class DiffOptions:
     min_p95_delta_ms: float = 0.0
 
 
-def window_family_metrics(executions: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def window_family_metrics(executions: DataFrame) -> DataFrame:
     """Per window and family: metrics over the executions that have a duration,
     plus how many executions were paired and how many were not."""
-    named = labelled(executions, dictionary)
+    paired = landed(executions)
+    return landed_metrics(paired, shape_dictionary(paired))
+
+
+def landed_metrics(paired: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same over landed executions.
+
+    Families are told apart by a 128-bit key of identity and canonical text, which
+    is what the exchanges carry; the text joins the finished rows.
+    """
     # Absent identity fields are never '' themselves, so '' can stand for NULL in join keys.
+    identity = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY]
+    texts = dictionary.withColumns(
+        {"text_a": F.xxhash64("normalized_sql"), "text_b": F.xxhash64("normalized_sql", F.lit(1))}
+    )
+    named = labelled(paired, texts.drop("normalized_sql"))
     rows = named.select(
         "source_window",
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY],
-        "normalized_sql",
+        *identity,
+        "text_a",
+        "text_b",
         "duration_ms",
         (F.col("confidence") == "Exact").cast("bigint").alias("exact"),
     )
+    by_text = texts.groupBy("text_a", "text_b").agg(F.first("normalized_sql").alias("normalized_sql"))
     profile = value_profile(
         rows,
-        ["source_window", *FAMILY],
+        ["source_window", *IDENTITY, "text_a", "text_b"],
         "duration_ms",
         {"p95": 0.95},
         ["exact"],
@@ -58,7 +76,7 @@ def window_family_metrics(executions: DataFrame, dictionary: DataFrame | None =
     def or_zero(column: Column) -> Column:
         return F.coalesce(column, F.lit(0.0))
 
-    return profile.select(
+    return profile.join(by_text, ["text_a", "text_b"]).select(
         "source_window",
         *[F.nullif(F.col(c), F.lit("")).alias(c) for c in IDENTITY],
         "normalized_sql",
@@ -134,14 +152,15 @@ def flagged(deltas: DataFrame, options: DiffOptions) -> DataFrame:
     )
 
 
-def slow_query_diff(
-    executions: DataFrame,
-    options: DiffOptions = DiffOptions(),
-    dictionary: DataFrame | None = None,
-) -> DataFrame:
-    """Findings: families that regressed from the baseline to the target window."""
-    deltas = family_deltas(window_family_metrics(executions, dictionary))
-    best = ranked(flagged(deltas, options), "score", options.limit)
+def slow_query_diff(executions: DataFrame, options: DiffOptions = DiffOptions()) -> DataFrame:
+    """Findings: families that regressed from the baseline to the target window.
+
+    Executions are paired once and kept; metrics, dictionary and evidence read that table.
+    """
+    paired = landed(executions)
+    dictionary = shape_dictionary(paired)
+    deltas = family_deltas(landed_metrics(paired, dictionary))
+    best = settled(ranked(flagged(deltas, options), "score", options.limit))
     reason = F.concat_ws(
         "; ",
         F.when(F.col("absent_in_baseline"), "absent in baseline"),
@@ -169,13 +188,10 @@ def slow_query_diff(
     def side(name: str) -> Column:
         return F.struct(*[F.col(f"{name}_{m}").alias(m) for m in METRICS]).alias(name)
 
-    # Filtered behind a generator: pushed to the scan, the filter would give this
-    # branch an exchange of its own and the log a second reading.
-    target = computed_once(executions, _in_target=F.col("source_window") == "target").where(
-        "_in_target"
-    )
+    target = paired.where(F.col("source_window") == "target")
     return (
-        with_evidence(best, target, options.limit)
+        evidence_of(best, target, dictionary)
+        .join(broadcast_if_small(best), "family_id")
         .select(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             F.concat(F.lit("slow_query_diff:"), F.col("family_id")).alias("finding_id"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylens.functions.fingerprint import shape_of
+from querylens.functions.fingerprint import literal_shape, plausible
 from querylens.operators.parse import SOURCE_KINDS
+from querylens.session import computed_once
 
 
 def is_query() -> Column:
@@ -45,10 +46,15 @@ def typed_events(entries: DataFrame) -> DataFrame:
     ``text`` is what message searches see: the statement without its prefix,
     nothing for durations, the message otherwise.  A duration entry without a
     readable number counts as 0 ms.  ``parsed`` separates SQL statements from
-    STATEMENT-level context lines, whose text is kept as it is.
+    STATEMENT-level context lines and from text that cannot be SQL, which are kept
+    as they are.
     """
     statement = F.when(is_query(), F.coalesce(F.col("statement"), F.col("message")))
-    parsed = F.when(is_query(), F.col("statement").isNotNull())
+    blanked = F.when(is_query() & F.col("statement").isNotNull(), literal_shape(F.col("statement")))
+    entries = computed_once(entries, _blanked=blanked)
+    entries = computed_once(entries, _plausible=F.coalesce(plausible(F.col("_blanked")), F.lit(False)))
+    parsed = F.when(is_query(), F.col("_plausible"))
+    shape = F.when(F.col("_plausible"), F.col("_blanked")).otherwise(statement)
     return entries.select(
         "source_window",
         "record_index",
@@ -66,7 +72,7 @@ def typed_events(entries: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("queryid"),
         statement.alias("statement"),
         parsed.alias("parsed"),
-        F.when(is_query(), shape_of(statement, F.col("statement").isNotNull())).alias("shape"),
+        F.when(is_query(), shape).alias("shape"),
         F.when(is_query(), F.col("duration_ms"))
         .when(is_duration(), F.coalesce(F.col("duration_ms"), F.lit(0.0)))
         .alias("duration_ms"),

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from querylens.functions.fingerprint import family_sql
 from querylens.operators.correlate import EXECUTION_ORDER
 from querylens.operators.next_sql import next_sql
-from querylens.session import computed_once, fits_broadcast, settled
+from querylens.session import broadcast_if_small, computed_once, kept, settled
 
 SCHEMA_VERSION = 1
 IDENTITY = ("database", "user", "application_name")
 EVIDENCE_LIMIT = 3
-MAX_BROADCAST_FINDINGS = 10_000
 
 
 def family_id(database: Column, user: Column, application: Column, sql: Column) -> Column:
@@ -29,9 +28,12 @@ def family_id(database: Column, user: Column, application: Column, sql: Column)
 
 def with_family(shaped: DataFrame) -> DataFrame:
     """Add normalized_sql and family_id to rows that carry identity and shape."""
-    return computed_once(
-        shaped, normalized_sql=family_sql()
-    ).withColumn(
+    return with_id(computed_once(shaped, normalized_sql=family_sql()))
+
+
+def with_id(named: DataFrame) -> DataFrame:
+    """Add family_id to rows that carry identity and canonical text."""
+    return named.withColumn(
         "family_id",
         family_id(
             F.col("database"), F.col("user"), F.col("application_name"), F.col("normalized_sql")
@@ -39,48 +41,57 @@ def with_family(shaped: DataFrame) -> DataFrame:
     )
 
 
-def shape_dictionary(executions: DataFrame) -> DataFrame:
-    """Canonical text per distinct shape, computed once and kept.
+def shape_key() -> Column:
+    """128-bit stand-in for (parsed, shape) in exchanges over executions."""
+    return F.struct(
+        F.xxhash64("parsed", "shape").alias("a"), F.xxhash64("shape", "parsed", F.lit(1)).alias("b")
+    )
+
+
+def landed(executions: DataFrame) -> DataFrame:
+    """What findings need of the executions, paired once and kept, with their shape keys."""
+    columns = ("source_window", *IDENTITY, "parsed", "shape", "duration_ms", "confidence")
+    rows = executions.select(*columns, *EXECUTION_ORDER, "evidence")
+    return kept(rows.withColumn("shape_key", shape_key()), "paired")
+
+
+def shape_dictionary(paired: DataFrame) -> DataFrame:
+    """Canonical text per distinct shape of landed executions, computed once and kept.
 
-    The pairing columns are pruned, so this is a narrow pass without an exchange
-    on the backend.
+    Each task sends a shape once, however many executions have it.
     """
-    return settled(
-        executions.select("parsed", "shape")
-        .distinct()
-        .select("*", family_sql().alias("normalized_sql"))
-    )
+    shapes = paired.groupBy("shape_key").agg(F.first("parsed").alias("parsed"), F.first("shape").alias("shape"))
+    return settled(shapes.select("shape_key", family_sql().alias("normalized_sql")))
 
 
-def labelled(executions: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Add normalized_sql to every execution through the shape dictionary.
+def labelled(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Add normalized_sql through the shape dictionary.
 
-    The dictionary is broadcast while it is small; with more shapes than that
-    each row computes its own text, which needs no exchange either.
+    The dictionary is broadcast while it is small, else both sides are shuffled by
+    the key; rows carry no text there.
     """
-    dictionary = shape_dictionary(executions) if dictionary is None else dictionary
-    if not fits_broadcast(dictionary):
-        return computed_once(
-            executions, normalized_sql=family_sql()
-        )
-    return executions.join(F.broadcast(dictionary), ["parsed", "shape"])
+    return rows.join(broadcast_if_small(dictionary), "shape_key")
 
 
-def family_totals(executions: DataFrame) -> DataFrame:
+def family_totals(executions: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Counts and durations per family.
 
     Aggregated by shape first (combined before the exchange, so a family holding
-    most rows costs a few rows per task), then by canonical text.
+    most rows costs a few rows per task), then by canonical text.  With a
+    ``dictionary`` the executions are landed ones, and no text is exchanged but
+    that of the aggregated families.
     """
     exact = (F.col("confidence") == "Exact").cast("bigint")
-    shaped = executions.groupBy(*IDENTITY, "parsed", "shape").agg(
+    shape = ("parsed", "shape") if dictionary is None else ("shape_key",)
+    shaped = executions.groupBy(*IDENTITY, *shape).agg(
         F.count(F.lit(1)).alias("execution_count"),
         F.sum("duration_ms").alias("total_duration_ms"),
         F.max("duration_ms").alias("max_duration_ms"),
         F.sum(exact).alias("correlated_execution_count"),
     )
+    named = with_family(shaped) if dictionary is None else with_id(labelled(shaped, dictionary))
     return (
-        with_family(shaped)
+        named
         .groupBy("family_id", *IDENTITY, "normalized_sql")
         .agg(
             F.sum("execution_count").alias("execution_count"),
@@ -109,12 +120,7 @@ def family_evidence(executions: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataF
     shaped = executions.select(*IDENTITY, "parsed", "shape", *EXECUTION_ORDER, "evidence")
     early = first_by(shaped, (*IDENTITY, "parsed", "shape"), EXECUTION_ORDER, limit)
     early = first_by(with_family(early), ("family_id",), EXECUTION_ORDER, limit)
-    ordered = F.array_sort(F.collect_list(F.struct(*EXECUTION_ORDER, "evidence")))
-    return early.groupBy("family_id").agg(
-        F.slice(F.flatten(F.transform(ordered, lambda e: e["evidence"])), 1, limit).alias(
-            "evidence"
-        )
-    )
+    return gathered_evidence(early, limit)
 
 
 def confidence() -> Column:
@@ -156,15 +162,41 @@ def ranked(df: DataFrame, score: str, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(numbering))
 
 
-def with_evidence(best: DataFrame, executions: DataFrame, limit: int) -> DataFrame:
-    """Attach evidence to the ranked rows; there are at most ``limit`` of them."""
-    side = F.broadcast(best) if limit <= MAX_BROADCAST_FINDINGS else best
-    return family_evidence(executions).join(side, "family_id")
+def evidence_of(best: DataFrame, paired: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Evidence of the chosen families only.
+
+    Their shapes are found in the dictionary first, so executions of other
+    families are dropped where they are read.
+    """
+    null_safe = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in IDENTITY]
+    chosen = settled(
+        dictionary.join(broadcast_if_small(best.select("normalized_sql", "family_id", *null_safe)), "normalized_sql")
+        .select("shape_key", "family_id", *[f"_{c}" for c in IDENTITY])
+    )
+    rows = paired.select("shape_key", *null_safe, *EXECUTION_ORDER, "evidence").join(
+        broadcast_if_small(chosen), ["shape_key", *[f"_{c}" for c in IDENTITY]]
+    )
+    early = first_by(rows, ("family_id",), EXECUTION_ORDER, EVIDENCE_LIMIT)
+    return gathered_evidence(early, EVIDENCE_LIMIT)
+
+
+def gathered_evidence(early: DataFrame, limit: int) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(*EXECUTION_ORDER, "evidence")))
+    return early.groupBy("family_id").agg(
+        F.slice(F.flatten(F.transform(ordered, lambda e: e["evidence"])), 1, limit).alias(
+            "evidence"
+        )
+    )
 
 
 def top_query_families(executions: DataFrame, limit: int = 10) -> DataFrame:
-    """Findings: families ranked by total runtime."""
-    best = ranked(family_totals(executions), "total_duration_ms", limit)
+    """Findings: families ranked by total runtime.
+
+    Executions are paired once and kept; totals, dictionary and evidence read that table.
+    """
+    paired = landed(executions)
+    dictionary = shape_dictionary(paired)
+    best = settled(ranked(family_totals(paired, dictionary), "total_duration_ms", limit))
     total, peak = F.col("total_duration_ms"), F.col("max_duration_ms")
     reason = F.format_string(
         "%d executions contributed %.3f ms total runtime; max execution was %.3f ms",
@@ -178,7 +210,8 @@ def top_query_families(executions: DataFrame, limit: int = 10) -> DataFrame:
         "p95_duration_ms:double,max_duration_ms:double>"
     )
     return (
-        with_evidence(best, executions, limit)
+        evidence_of(best, paired, dictionary)
+        .join(broadcast_if_small(best), "family_id")
         .select(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             F.concat(F.lit("query_family:"), F.col("family_id")).alias("finding_id"),

@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.session import computed_once
+from querylens.session import beside, computed_once
 
 BINS_PER_E_FOLD = 16384.0
 
@@ -50,9 +50,12 @@ def value_profile(
 
     Keys must not be NULL.  NULL values count for row_count and flags only.  With
     no keys the result is one row, or none for an empty input.  ``weight`` names a column
-    that says how many rows a row stands for.  Flags take part in the first
-    grouping and bins pass a generator, so that both uses of the value counts
-    have the same plan below and read one exchange.
+    that says how many rows a row stands for.
+
+    Flags take part in the first grouping and bins pass a generator, so both uses
+    of the value counts have the same plan below.  Whether they then read one
+    exchange is up to the optimizer: with keys that a projection renames it plans
+    two, so callers with large inputs hand in rows that were kept.
     """
     check_probabilities(probabilities)
     keys, flags = list(keys), list(flags)
@@ -110,6 +113,9 @@ def value_profile(
             )
         ),
     ).where(F.col("_bin").isNotNull())
+    if not keys:
+        # One row for each probability.
+        wanted = F.broadcast(wanted)
     inside = (
         Window.partitionBy(*group, "_name")
         .orderBy("_value")
@@ -131,6 +137,11 @@ def value_profile(
             ]
         )
     )
+    if not keys:
+        # Both sides are one row: a scalar beside the other needs no regrouping.
+        one = picked.agg(*[F.max(name).alias(name) for name in probabilities])
+        columns = ["row_count", "value_count", "value_total", "value_min", "value_max"]
+        return beside(heads.drop("_all"), one).select(*columns, *probabilities, *flags)
     named = [*keys, "row_count", "value_count", "value_total", "value_min", "value_max"]
     named += [*probabilities, *flags]
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querylens.functions.classify import nine_way_class, statement_class
 from querylens.functions.fingerprint import canonical_sql, family_sql, split_statements
 from querylens.operators.correlate import EXECUTION_ORDER
-from querylens.operators.events import is_error, is_query, mentions_connection
+from querylens.operators.events import is_query, mentions_connection
 from querylens.operators.percentiles import value_profile
 from querylens.session import beside, computed_once
 
@@ -124,10 +124,6 @@ def slow_statement_entries(entries: DataFrame, threshold_ms: float = SLOW_MS) ->
     return entries.where(is_query() & (F.col("duration_ms") > threshold_ms))
 
 
-def error_entries(entries: DataFrame) -> DataFrame:
-    return entries.where(is_error())
-
-
 def rate_per_second(count: Column, first: Column, last: Column) -> Column:
     """Count over the whole seconds between first and last; 0 below one second."""
     seconds = F.timestamp_diff("SECOND", first, last)
@@ -175,3 +171,8 @@ def nine_way_summary(queries: DataFrame, sql: str = "sql", value: str = "duratio
         "total_queries", "total_duration", "average_duration", "p95_duration", "p99_duration"
     )
     return beside(rows.groupBy("query_type").agg(F.sum("n").alias("query_count")), overall)
+
+
+def accumulated_summary(queries: DataFrame, events: DataFrame, sql: str = "sql", value: str = "duration_ms") -> DataFrame:
+    """``nine_way_summary`` with the errors and connections that were added beside the queries."""
+    return beside(nine_way_summary(queries, sql, value), error_connection_counts(events))

@@ -280,6 +280,10 @@ FORMS = [
     ["SELECT count(*) FROM items", "DELETE FROM items WHERE id = ?"],
     ["EXPLAIN SELECT ?"],
     ["SELECT ? AS s, o.total FROM orders AS o WHERE o.id = ?"],
+    ["SELECT a::INT FROM t WHERE note = E'it\\'s' AND id = ?"],
+    ["SELECT id FROM t WHERE id = ?"],
+    ["SELECT $$x y$$ AS s, ?"],
+    ["SELECT X'1F' AS b FROM t WHERE id = ?"],
 ]
 REGEX_FORMS = [
     "SELECT * FROM items WHERE id=N",
@@ -298,14 +302,18 @@ REGEX_FORMS = [
     "SELECT count(*) FROM items; DELETE FROM items WHERE id = N",
     "EXPLAIN SELECT N",
     "SELECT S AS s, o.total FROM orders o WHERE o.id = N",
+    "SELECT a::int FROM t WHERE note = ESs' AND id = N",
+    "SELECT /* a /* b */ c */ id FROM t WHERE id = N",
+    "SELECT $$x y$$ AS s, N",
+    "SELECT XS AS b FROM t WHERE id = N -- done",
 ]
 STATEMENT_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "DDL", "DDL", "DDL", "DDL",
-                     "OTHER", "OTHER", "OTHER", "SELECT", "SELECT", "OTHER", "SELECT"]
+                     "OTHER", "OTHER", "OTHER", "SELECT", "SELECT", "OTHER", *["SELECT"] * 5]
 PREFIX_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "DDL", "DDL", "DDL", "DDL",
-                  "DDL", "OTHER", "OTHER", "OTHER", "SELECT", "OTHER", "SELECT"]
+                  "DDL", "OTHER", "OTHER", "OTHER", "SELECT", "OTHER", *["SELECT"] * 5]
 NINE_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER",
                 "OTHER", "OTHER", "TRANSACTION", "TRANSACTION", "OTHER", "SELECT", "OTHER",
-                "SELECT"]
+                *["SELECT"] * 5]
 
 
 def _quoted(text: str) -> str:
@@ -315,11 +323,11 @@ def _quoted(text: str) -> str:
 
 def _by_form(texts: list[str]) -> str:
     arms = " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(texts))
-    return f"CASE k % 16 {arms} END"
+    return f"CASE k % 20 {arms} END"
 
 
 def _class_sql(classes: list[str]) -> str:
-    return f"""WITH {EV} SELECT CAST(k % 16 AS INTEGER) AS form, {_by_form(classes)} AS query_type,
+    return f"""WITH {EV} SELECT CAST(k % 20 AS INTEGER) AS form, {_by_form(classes)} AS query_type,
   count(*) AS statement_count FROM ev GROUP BY ALL"""
 
 
@@ -330,7 +338,7 @@ _rows = [
 ]
 FORM_ROWS = " UNION ALL ".join(
     f"SELECT k, {size} AS pieces, {_quoted(text)} AS norm, '{kind}' AS query_type "
-    f"FROM ev WHERE k % 16 = {form}"
+    f"FROM ev WHERE k % 20 = {form}"
     for form, size, text, kind in _rows
 )
 
@@ -379,6 +387,27 @@ started AS (SELECT *, sum(CASE WHEN k % 10 = 0 THEN 2 ELSE 1 END) OVER (ORDER BY
   - CASE WHEN k % 10 = 0 THEN 2 ELSE 1 END AS start FROM ln)
 SELECT row_number() OVER (ORDER BY event_id) - 1 AS record_index,
   CAST(user_id AS VARCHAR) AS process_id, level FROM started WHERE start < {CLOUDWATCH_SAMPLE}""",
+    "src_window_paths": DIFF,
+    "src_response_window": f"""WITH {LINES} SELECT
+  row_number() OVER (ORDER BY event_id) - 1 AS record_index, CAST(user_id AS VARCHAR) AS process_id,
+  level FROM ln
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00.001'""",
+    "sql_unparsed_text": f"""WITH {EV} SELECT k % 3 <> 0 AS parsed,
+  'SELECT total FROM orders WHERE id =' || CASE WHEN k % 3 <> 0 THEN ' ?' ELSE '' END AS query,
+  count(*) AS statement_count FROM ev GROUP BY ALL""",
+    "slowest_queries_default": f"""WITH {DEFAULT}{EXECUTIONS} SELECT norm AS query,
+  ms AS duration_ms, ts FROM ex WHERE ms > 1000.0
+ORDER BY ms DESC, ts, emit_index, emit_part LIMIT 10""",
+    "peak_hours_default": f"""WITH {DEFAULT}, h AS (SELECT {HOUR} AS hour, sum(dur) AS total
+  FROM lg WHERE dur IS NOT NULL GROUP BY 1)
+SELECT hour, round(total, 6) AS total_duration_ms FROM h
+WHERE total > (SELECT avg(total) FROM h) * 1.5""",
+    "accumulated_summary": f"""WITH {DEFAULT}, q AS (SELECT *, {_by_form(NINE_CLASSES)} AS t FROM ev),
+s AS (SELECT count(*) AS n, sum(value) AS total FROM q),
+c AS (SELECT count(*) FILTER (WHERE kind = 'Error') AS e, count(*) FILTER (WHERE kind = 'Log') AS l FROM lg)
+SELECT t AS query_type, count(*) AS query_count, any_value(s.n) AS total_queries,
+  round(any_value(s.total), 6) AS total_duration, any_value(c.e) AS error_count,
+  any_value(c.l) AS connection_count FROM q, s, c GROUP BY 1""",
     "src_time_window": """SELECT event_id, ts FROM events
 WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00.001'""",
     "sink_findings_json": TOP,

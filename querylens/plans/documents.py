@@ -6,6 +6,8 @@ limit or the clock bounds: ranked findings, top lists, classes, hours.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from querylens import __version__
 from querylens.operators import timing, workload
 from querylens.schemas import FINDINGS
-from querylens.session import beside, kept
+from querylens.session import beside, broadcast_if_small, kept, settled
 
 SIDES = ("baseline", "target", "delta")
 KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -109,15 +111,26 @@ def _gathered(rows: DataFrame, name: str, order: list[str], item: Column) -> Dat
     return rows.agg(F.transform(pairs, lambda p: p["_item"]).alias(name))
 
 
-def workload_parts(executions: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+@dataclass(frozen=True)
+class ReportOptions:
+    """From which duration on an execution is slow, and how long the lists are."""
+
+    slow_ms: float = workload.SLOW_MS
+    max_slow: int = workload.MAX_SLOW
+    max_frequent: int = workload.MAX_FREQUENT
+
+
+def workload_parts(
+    executions: DataFrame, events: DataFrame, options: ReportOptions = ReportOptions()
+) -> dict[str, DataFrame]:
     """The report's tables: summary, by_type, slowest and most_frequent."""
     summary = beside(
         workload.workload_summary(executions), workload.error_connection_counts(events)
     )
-    frequent = workload.most_frequent_queries(executions)
+    frequent = workload.most_frequent_queries(executions, options.max_frequent)
     slowest = (
-        workload.slowest_queries(executions)
-        .join(F.broadcast(frequent), "query", "left")
+        workload.slowest_queries(executions, options.slow_ms, options.max_slow)
+        .join(broadcast_if_small(settled(frequent)), "query", "left")
         .select(
             "query",
             "duration_ms",
@@ -142,6 +155,7 @@ def workload_document(
     events: DataFrame,
     entry_count: DataFrame,
     temporal: bool = False,
+    options: ReportOptions = ReportOptions(),
 ) -> DataFrame:
     """Workload report as one JSON row, with hourly totals and tails on request.
 
@@ -153,7 +167,7 @@ def workload_document(
         executions.select("shape", "parsed", "duration_ms", *workload.EXECUTION_ORDER),
         "executions",
     )
-    parts = workload_parts(executions, events)
+    parts = workload_parts(executions, events, options)
     summary = parts["summary"].select(
         F.struct(
             "total_queries",

@@ -2,24 +2,6 @@
 
 from pyspark.sql import types as T
 
-LOG_ENTRIES = T.StructType(
-    [
-        T.StructField("source_window", T.StringType(), False),
-        T.StructField("record_index", T.LongType(), False),
-        T.StructField("source_kind", T.StringType(), False),
-        T.StructField("ts", T.TimestampNTZType(), False),
-        T.StructField("process_id", T.StringType(), False),
-        T.StructField("user", T.StringType()),
-        T.StructField("database", T.StringType()),
-        T.StructField("client_host", T.StringType()),
-        T.StructField("application_name", T.StringType()),
-        T.StructField("level", T.StringType(), False),
-        T.StructField("message", T.StringType(), False),
-        T.StructField("statement", T.StringType()),
-        T.StructField("duration_ms", T.DoubleType()),
-    ]
-)
-
 SOURCE_REFERENCE = T.StructType(
     [
         T.StructField("source_kind", T.StringType()),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from querylens.session import scratch_path, spread
 
+FORMS = 20
 TARGET_START = "2024-01-16 00:00:00"
 
 
@@ -60,9 +61,9 @@ def message() -> Column:
 
 
 def varied_statement() -> Column:
-    """One of sixteen statement forms, chosen by the row's ``k``."""
+    """One of twenty statement forms, chosen by the row's ``k``."""
     k, v = _k(), _value()
-    form = k.cast("int") % 16
+    form = k.cast("int") % FORMS
     lit, text = F.lit, F.concat
     forms = [
         text(lit("SELECT   *   FROM items   WHERE id="), k),
@@ -82,6 +83,10 @@ def varied_statement() -> Column:
         text(lit("SELECT count(*) FROM items; DELETE FROM items WHERE id = "), k),
         text(lit("EXPLAIN SELECT "), k),
         text(lit("SELECT 'a;b' AS s, o.total FROM orders o WHERE o.id = "), k),
+        text(lit("SELECT a::int FROM t WHERE note = E'it\\'s' AND id = "), k),
+        text(lit("SELECT /* a /* b */ c */ id FROM t WHERE id = "), k),
+        text(lit("SELECT $$x y$$ AS s, "), k),
+        text(lit("SELECT X'1F' AS b FROM t WHERE id = "), k, lit(" -- done")),
     ]
     picked = F.when(form == 0, forms[0])
     for i, one in enumerate(forms[1:], start=1):
@@ -96,11 +101,20 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id",
         "ts",
         "value",
-        (_k().cast("int") % 16).alias("form"),
+        (_k().cast("int") % FORMS).alias("form"),
         varied_statement().alias("sql"),
     )
 
 
+def truncated_message() -> Column:
+    """A statement whose first line ends early for every third ``k``."""
+    k = _k()
+    return F.concat(
+        F.lit("LOG:  statement: SELECT total FROM orders WHERE id = "),
+        F.when(k.cast("int") % 3 == 0, "").otherwise(k),
+    )
+
+
 def _default_prefix() -> Column:
     user = F.col("user_id")
     return F.concat(
@@ -297,6 +311,41 @@ def log_directory(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "log-directory", write) + "/logs"
 
 
+def window_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The two windows of ``two_window_lines`` as a folder of files and as one file."""
+
+    def write(path: str) -> None:
+        lines = two_window_lines(spark, sf_dir)
+        baseline = lines.where("source_window = 'baseline'")
+        number = F.expr(f"record_index div {ROWS_PER_FILE}")
+        (
+            baseline.select(number.alias("number"), "record_index", "value")
+            .repartitionByRange("number")
+            .sortWithinPartitions("number", "record_index")
+            .select("number", "value")
+            .write.partitionBy("number")
+            .text(f"{path}/parts")
+        )
+        target = lines.where("source_window = 'target'").select("record_index", "value")
+        # One file is what this window is about.
+        target.coalesce(1).sortWithinPartitions("record_index").select("value").write.text(f"{path}/one")
+        jvm = spark.sparkContext._jvm
+        to_path = jvm.org.apache.hadoop.fs.Path
+        fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(to_path(f"{path}/baseline"))
+        for part in fs.globStatus(to_path(f"{path}/parts/number=*/part-*")):
+            old = part.getPath()
+            new = f"{path}/baseline/pg_{int(old.getParent().getName().split('=')[1]):06d}.log"
+            if not fs.rename(old, to_path(new)):
+                raise OSError(f"{old} could not be renamed")
+        (only,) = fs.globStatus(to_path(f"{path}/one/part-*"))
+        if not fs.rename(only.getPath(), to_path(f"{path}/target.log")):
+            raise OSError(f"{only.getPath()} could not be renamed")
+
+    path = _once(spark, sf_dir, "windows", write)
+    return f"{path}/baseline", f"{path}/target.log"
+
+
 EVENTS_PER_PAGE = 1000
 
 
