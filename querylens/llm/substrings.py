@@ -40,6 +40,8 @@ REACH = LENGTH - ANCHOR
 UNIT_BYTES = 8 << 20
 ANCHOR_BYTES = 6
 SLICE = 1 << 20
+# Text sorted at a time, but an anchor's surroundings stay together.
+ARRAY_BYTES = 1 << 18
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 )
@@ -186,7 +188,31 @@ def answer_recurring(shard: int, rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def smaller_elsewhere(contexts: list[bytes], lefts: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _most_shared(sides: list[bytes]) -> list[int]:
+    """For each text the longest beginning that it has in common with another one."""
+    padded = [int.from_bytes(x.ljust(REACH, b"\0"), "big") for x in sides]
+    order = sorted(range(len(sides)), key=padded.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        same = REACH - ((padded[i] ^ padded[j]).bit_length() + 7) // 8
+        same = min(same, len(sides[i]), len(sides[j]))
+        out[i], out[j] = max(out[i], same), max(out[j], same)
+    return out
+
+
+def shared_parts(group: list[int], texts: list[bytes], left_of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from, to) of the parts of an anchor's surroundings that can hold a string of two of them.
+
+    To either side of the anchor no further than any other surrounding agrees.
+    """
+    lefts = [int(left_of[j]) for j in group]
+    left = _most_shared([texts[j][:n][::-1] for j, n in zip(group, lefts)])
+    right = _most_shared([texts[j][n + ANCHOR :] for j, n in zip(group, lefts)])
+    parts = [(j, n - a, n + ANCHOR + b) for j, n, a, b in zip(group, lefts, left, right)]
+    return [part for part in parts if part[2] - part[1] >= LENGTH]
+
+
+def smaller_elsewhere(contexts: list[bytes], least: np.ndarray) -> np.ndarray:
     """For each surrounding and each of its strings, the smallest id that has the string.
 
     A matrix with a column for each start, NO_ID past the last one.
@@ -223,7 +249,8 @@ def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
     raw = b"".join(r[5] for r in rows)
     ends = np.cumsum(sizes)
     known: dict[tuple[int, bytes], int] = {}
-    texts, least, left_of = [], [], []
+    texts: list[bytes] = []
+    least, left_of = [], []
     each = np.empty(len(ids), np.int64)
     for k, (i, left, b, size) in enumerate(zip(ids.tolist(), lefts.tolist(), ends.tolist(), sizes.tolist())):
         text = raw[b - size : b]
@@ -241,9 +268,15 @@ def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
     for j, (text, left) in enumerate(zip(texts, left_of.tolist())):
         groups.setdefault(text[left : left + ANCHOR], []).append(j)
     smallest = np.repeat(least[:, None], REACH + 1, 1)
-    several = np.array([j for g in groups.values() if len(g) > 1 for j in g], np.int64)
-    if len(several):
-        smallest[several] = smaller_elsewhere([texts[j] for j in several.tolist()], left_of[several], least[several])
+    part: list[tuple[int, int, int]] = []
+    # Anchors are sorted some at a time, which bounds the memory of a suffix array.
+    for group in [*(g for g in groups.values() if len(g) > 1), []]:
+        if part and (not group or (len(part) + len(group)) * (REACH + LENGTH) > ARRAY_BYTES):
+            found = smaller_elsewhere([texts[j][a:b] for j, a, b in part], least[[j for j, _, _ in part]])
+            for (j, a, b), row in zip(part, found):
+                smallest[j, a : b - LENGTH + 1] = row[: b - a - LENGTH + 1]
+            part = []
+        part += shared_parts(group, texts, left_of)
     bits = (smallest[each] < ids[:, None]) & (np.arange(REACH + 1) <= (sizes - LENGTH)[:, None])
     packed = (bits << np.arange(REACH + 1)).sum(1).astype(np.uint32)
     out, at = [], 0
