@@ -9,7 +9,7 @@ from querylens.operators.diff import DiffOptions, slow_query_diff
 from querylens.operators.events import typed_events
 from querylens.operators.families import top_query_families
 from querylens.operators.parse import parse_lines
-from querylens.sources.files import log_entries, window_lines
+from querylens.sources.files import head_sample, log_entries, window_lines
 
 
 def executions_of(
@@ -55,8 +55,12 @@ def slow_query_changes(
     options: DiffOptions = DiffOptions(),
 ) -> tuple[DataFrame, DataFrame]:
     """(findings, entries of both windows); a bad file in either one fails."""
-    lines = window_lines(spark, baseline, "baseline").unionByName(
-        window_lines(spark, target, "target")
+    # Each window is sampled by itself: a path may be in both.
+    before, after = (
+        head_sample(window_lines(spark, path, window), sample_size)
+        for path, window in ((baseline, "baseline"), (target, "target"))
+    )
+    entries = log_entries(
+        before.unionByName(after), log_format, on_bad_file="fail", in_order=sample_size is None
     )
-    entries = log_entries(lines, log_format, sample_size, on_bad_file="fail")
     return slow_query_diff(executions_of(entries), options), entries

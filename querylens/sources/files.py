@@ -13,11 +13,10 @@ was written.  A line whose split has no place is an error, never a lost row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +27,8 @@ SPLIT = ("source_window", "file", "block_start")
 # Paths in a list file, and how many are looked up at once.
 MAX_LISTED = 1_000_000
 STATUS_THREADS = 32
+# Files whose heads are read one by one.
+HEAD_FILES = 256
 # What counts as a log file in a directory.
 LOG_FILE_NAME = r"(?i)^(?:.+\.(?:log|txt)|\.?[^.]*(?:postgres|pg)[^.]*)$"
 
@@ -222,33 +223,38 @@ def _split_per_task(spark: SparkSession):
 
 
 def landed_heads(lines: DataFrame, size: int) -> DataFrame:
-    """The first ``size`` lines of every split, written to the shared folder.
+    """The first ``size`` lines of every file of one window, written to the shared folder.
 
-    A task has one split and stops reading it after ``size`` lines, so what is
-    read is bounded by the heads, not by the files.
+    Up to HEAD_FILES files each get a limit of their own, and a limit stops its task,
+    so what is read is bounded by the heads.  More files are read whole: then the
+    heads are no small part of them, or sampling does not pay.
     """
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
-
-    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = size
-        for batch in batches:
-            yield batch.slice(0, left)
-            left -= min(left, batch.num_rows)
-            if not left:
-                return
-
+    place = (F.col("block_start"), F.col("_row"))
     with _split_per_task(lines.sparkSession):
-        return kept(lines.mapInArrow(head, lines.schema), "heads")
+        # Spark lists files as file:///x and tells a row its file as file:/x.
+        names = sorted({re.sub("^([a-z0-9]+):///", r"\1:/", name) for name in lines.inputFiles()})
+        if len(names) > HEAD_FILES:
+            first = Window.partitionBy("source_window", "file").orderBy(*place)
+            ranked = lines.withColumn("_n", F.row_number().over(first))
+            return kept(ranked.where(F.col("_n") <= size).drop("_n"), "heads")
+        # Without the row number the file's name prunes the scan; it is given anew behind
+        # the limit, which keeps the order of the file's one split.
+        bare = lines.drop("_row")
+        heads = [
+            bare.where(F.col("file") == name).limit(size).withColumn("_row", row_in_task())
+            for name in names
+        ]
+        every = heads[0] if heads else lines.limit(0)
+        for more in heads[1:]:
+            every = every.union(more)
+        return kept(every.select(*lines.columns), "heads")
 
 
 def head_sample(lines: DataFrame, size: int | None) -> DataFrame:
     """First ``size`` lines of every file, counted before any parsing."""
-    if size is None:
-        return lines
-    first = Window.partitionBy("source_window", "file").orderBy("block_start", "_row")
-    heads = landed_heads(lines, size).withColumn("_n", F.row_number().over(first))
-    return heads.where(F.col("_n") <= size).select(*lines.columns)
+    return lines if size is None else landed_heads(lines, size)
 
 
 def placed(lines: DataFrame, splits: DataFrame) -> DataFrame:

@@ -80,9 +80,9 @@ def test_sample_log_report(parse):
     assert analysis["by_type"] == {"SELECT": 3, "UPDATE": 1}
     assert analysis["slowest_queries"] == []
     assert analysis["most_frequent"][0] == {
-        "query": "SELECT * FROM users WHERE id = ?", "count": 2, "avg_duration_ms": 17.75}
+        "query": "SELECT title, price FROM books WHERE isbn = ?", "count": 2, "avg_duration_ms": 17.75}
     assert report["temporal_analysis"] == {
-        "hourly_stats": [{"hour": 10, "total_duration_ms": 71.0}],
+        "hourly_stats": [{"hour": 7, "total_duration_ms": 71.0}],
         "average_response_time_ms": 17, "p95_response_time_ms": 24, "p99_response_time_ms": 24}
     assert workload.error_rate(events).first()[0] == pytest.approx(1 / 9)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,12 +34,28 @@ def test_filters_do_not_repeat_the_prefix_regex(spark):
     assert plan.count("\\[(\\d+)\\] ([^@]+)@([^ ]+) ([^:]+): ") == 1
 
 
-@pytest.mark.parametrize("name, scans", [("top_query_families", 1), ("workload_summary", 1)])
-def test_log_is_read_and_paired_once(spark, name, scans):
+def test_summary_reads_and_pairs_once(spark):
+    df = QUERIES["workload_summary"](spark, SF)
+    df.collect()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(mode).split("== Initial Plan ==")[0]
+    assert "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["top_query_families", "slow_query_diff"])
+def test_findings_pair_once_and_exchange_keys(spark, name, monkeypatch):
+    """The log is paired for one table; what follows exchanges hash keys, no statement text of executions."""
+    from querylens.operators import families
+
+    written = []
+    monkeypatch.setattr(families, "kept", lambda df, label: written.append(label) or families_kept(df, label))
+    from querylens.session import kept as families_kept
+
     plan = executed(QUERIES[name](spark, SF))
-    assert plan.count("FileScan") == scans
-    assert "ReusedExchange" in plan
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert written == ["paired"]
+    assert "events.parquet" not in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*shape#", plan)
+    assert "Cartesian" not in plan
 
 
 def test_evidence_is_pruned_before_the_exchange(spark):

@@ -75,6 +75,76 @@ def test_record_index_over_splits_and_files(spark, tmp_path, small_splits):
     assert [r.value for r in numbered] == big_log(700).split("\n")[:-1]
 
 
+@pytest.mark.parametrize("later", ["4096", "5000", "1000000"])
+def test_another_split_size_loses_nothing(spark, tmp_path, later):
+    folder = write(
+        tmp_path, a__log=big_log(700), b__log=big_log(5, 700), c__log=big_log(900, 705)
+    )
+    lines = files.directory_lines(spark, folder)
+    every = sum(len(big_log(n, s).split("\n")) - 1 for n, s in ((700, 0), (5, 700), (900, 705)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        numbered, sample = files.numbered_lines(lines), files.head_sample(lines, 400)
+        entries, picked = files.log_entries(lines), files.numbered_lines(sample, landed=True)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+        places = sorted(r.position for r in numbered.select("position").collect())
+        assert places == list(range(every))
+        assert sorted(r.record_index for r in entries.collect()) == list(range(1605))
+        assert sample.count() == picked.count() == 400 + 6 + 400
+        assert sorted(r.line_no for r in picked.where("file LIKE '%c.log'").collect()) == list(range(400))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_sample_reads_heads_only(spark, tmp_path):
+    folder = write(tmp_path, a__log=big_log(5_000) * 200)
+    before = {s.stageId() for s in stages(spark)}
+    assert files.head_sample(files.directory_lines(spark, folder), 50).count() == 50
+    read = sum(s.inputBytes() for s in stages(spark) if s.stageId() not in before)
+    assert read < (tmp_path / "a.log").stat().st_size / 4
+
+
+def stages(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_a_line_without_a_place_is_an_error(spark, tmp_path):
+    lines = files.directory_lines(spark, write(tmp_path, a__log=big_log(10)))
+    with pytest.raises(Exception, match="no place for a split"):
+        files.placed(lines, files.split_table(lines).limit(0)).collect()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from querylens.session import is_local, shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    assert is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
+
+
+def test_finished_scratch_can_be_dropped(spark):
+    from querylens.session import drop_scratch, kept
+
+    table = kept(spark.range(10).toDF("x"), "gone")
+    (folder,) = {f.rpartition("/")[0].removeprefix("file://") for f in table.inputFiles()}
+    drop_scratch(spark, table)
+    import os
+
+    assert not os.path.exists(folder)
+
+
 def test_paths_order_by_component(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a-b").mkdir()
@@ -102,11 +172,11 @@ def test_sample_leaves_a_statement_unpaired(spark, tmp_path):
     folder = write(tmp_path, a__log=SAMPLE_LOG)
     entries = files.log_entries(files.directory_lines(spark, folder), sample_size=5)
     rows = {r.query_family.application_name: r for r in top_families(entries).collect()}
-    assert rows["worker"].confidence == "low" and rows["api"].confidence == "high"
+    assert rows["jobs"].confidence == "low" and rows["web"].confidence == "high"
 
 
 def test_bad_timestamp_spoils_its_file(spark, tmp_path):
-    bad = SAMPLE_LOG.replace("2024-01-15 10:00:02.009", "2024-01-35 10:00:02.009")
+    bad = SAMPLE_LOG.replace("2025-03-02 07:15:32.009", "2025-03-42 07:15:32.009")
     folder = write(tmp_path, a__log=SAMPLE_LOG, b__log=bad, c__log=SAMPLE_LOG)
     lines = files.directory_lines(spark, folder)
     rows = files.log_entries(lines).orderBy("record_index").collect()
