@@ -37,7 +37,7 @@ from querylens.llm.words import blocks, mixed, word_hashes
 BANDS, ROWS = 32, 6
 SMALL = 400
 # Shingles sent to one site, and distinct shared shingles of a small bucket handled at a time.
-SITE_SHINGLES = 1_000_000
+SITE_SHINGLES = 150_000
 COLUMNS = 1 << 14
 # Outliers compared in one task of the grid.
 OUTLIERS = 256
