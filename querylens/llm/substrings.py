@@ -200,16 +200,24 @@ def _most_shared(sides: list[bytes]) -> list[int]:
     return out
 
 
-def shared_parts(group: list[int], texts: list[bytes], left_of: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, from, to) of the parts of an anchor's surroundings that can hold a string of two of them.
+Part = tuple[bytes, int, list[tuple[int, int]]]  # text, smallest id, and the (surrounding, place) that have it
+
+
+def shared_parts(group: list[int], texts: list[bytes], left_of: np.ndarray, least: np.ndarray) -> list[Part]:
+    """Distinct parts of an anchor's surroundings that can hold a string of two of them.
 
     To either side of the anchor no further than any other surrounding agrees.
     """
     lefts = [int(left_of[j]) for j in group]
     left = _most_shared([texts[j][:n][::-1] for j, n in zip(group, lefts)])
     right = _most_shared([texts[j][n + ANCHOR :] for j, n in zip(group, lefts)])
-    parts = [(j, n - a, n + ANCHOR + b) for j, n, a, b in zip(group, lefts, left, right)]
-    return [part for part in parts if part[2] - part[1] >= LENGTH]
+    found: dict[tuple[int, bytes], tuple[list[int], list[tuple[int, int]]]] = {}
+    for j, n, a, b in zip(group, lefts, left, right):
+        if a + ANCHOR + b >= LENGTH:
+            ids, owners = found.setdefault((a, texts[j][n - a : n + ANCHOR + b]), ([], []))
+            ids.append(int(least[j]))
+            owners.append((j, n - a))
+    return [(text, min(ids), owners) for (_, text), (ids, owners) in found.items()]
 
 
 def smaller_elsewhere(contexts: list[bytes], least: np.ndarray) -> np.ndarray:
@@ -268,15 +276,22 @@ def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
     for j, (text, left) in enumerate(zip(texts, left_of.tolist())):
         groups.setdefault(text[left : left + ANCHOR], []).append(j)
     smallest = np.repeat(least[:, None], REACH + 1, 1)
-    part: list[tuple[int, int, int]] = []
+    part: list[Part] = []
     # Anchors are sorted some at a time, which bounds the memory of a suffix array.
     for group in [*(g for g in groups.values() if len(g) > 1), []]:
         if part and (not group or (len(part) + len(group)) * (REACH + LENGTH) > ARRAY_BYTES):
-            found = smaller_elsewhere([texts[j][a:b] for j, a, b in part], least[[j for j, _, _ in part]])
-            for (j, a, b), row in zip(part, found):
-                smallest[j, a : b - LENGTH + 1] = row[: b - a - LENGTH + 1]
+            found = smaller_elsewhere([text for text, _, _ in part], np.array([i for _, i, _ in part]))
+            for (text, _, owners), row in zip(part, found):
+                for j, at in owners:
+                    smallest[j, at : at + len(text) - LENGTH + 1] = row[: len(text) - LENGTH + 1]
             part = []
-        part += shared_parts(group, texts, left_of)
+        shared = shared_parts(group, texts, left_of, least)
+        if len(shared) > 1:
+            part += shared
+        elif shared:  # all agree as far as they are shared
+            ((text, smallest_id, owners),) = shared
+            for j, at in owners:
+                smallest[j, at : at + len(text) - LENGTH + 1] = smallest_id
     bits = (smallest[each] < ids[:, None]) & (np.arange(REACH + 1) <= (sizes - LENGTH)[:, None])
     packed = (bits << np.arange(REACH + 1)).sum(1).astype(np.uint32)
     out, at = [], 0
