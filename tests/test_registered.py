@@ -24,9 +24,9 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     verdict = compare(spark, con, SF, QUERIES[name], ORACLES[name])
-    # The one log file of this size holds the broken lines, so all of it is skipped; nothing
-    # in it takes a second, and no hour stands out by half.
-    empty = ("src_quarantine_files", "slowest_queries_default", "peak_hours_default")
+    # The one log file of this size holds the broken lines, so all of it is skipped, and nothing
+    # in it takes a second.
+    empty = ("src_quarantine_files", "slowest_queries_default")
     assert verdict == ("EMPTY" if name in empty else "")
 
 
