@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from querylens.llm.common import text_buffers, whole_text
 
-PARTS = 5
+PARTS = 6
 ROWS = "shard bigint, unit bigint, " + ", ".join(f"p{i} binary" for i in range(PARTS))
 _SCHEMA = pa.schema([("shard", pa.int64()), ("unit", pa.int64()), *((f"p{i}", pa.binary()) for i in range(PARTS))])
 # A document without id comes after all others.

@@ -10,6 +10,9 @@ taken as UTF-8 and strings never cross documents. The work is in three steps:
    one once with the smallest id that has it. A shard joins equal surroundings, and where an anchor has different
    ones it sorts their suffixes (``suffix_array``): strings with equal beginnings become neighbours, and every
    run of neighbours gets its smallest id. It answers, for each string of a surrounding, whether a smaller id has it.
+   An anchor with more than ``SURROUNDINGS`` of them, counted in step 1, is hot: units send its strings themselves,
+   by the strings' own hash and each distinct one once with its smallest id, so they spread over all shards at one
+   entry per unit and string.
 3. Units mark the strings and cut the bytes.
 
 The suffix array is built by grouping: suffixes are grouped by their Lyndon prefix, the longest Lyndon word they
@@ -40,8 +43,11 @@ REACH = LENGTH - ANCHOR
 UNIT_BYTES = 8 << 20
 ANCHOR_BYTES = 6
 SLICE = 1 << 20
-# Text sorted at a time, but an anchor's surroundings stay together.
+# Text sorted at a time. An anchor's surroundings stay together, and those of one that is not hot always fit.
 ARRAY_BYTES = 1 << 18
+SURROUNDINGS = ARRAY_BYTES // (REACH + LENGTH)
+# Bytes of a count of surroundings in a unit.
+COUNT_BYTES = 4
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 )
@@ -152,18 +158,68 @@ class Strings:
         rank[order] = np.arange(len(order))
         return distinct[order], shard[order], several[order], rank[each]
 
-    def surroundings(self, chosen: np.ndarray, shards: int):
-        """Distinct surroundings of the chosen places in order of shard and anchor, with their first document."""
-        u = self.unit
-        place, document, anchor = self.place[chosen], self.document[chosen], self.anchor[chosen]
-        begin = np.maximum(place - REACH, u.offsets[document])
-        end = np.minimum(place + LENGTH, u.offsets[document + 1])
-        content = np.zeros(len(place), np.uint64)
-        for low in range(0, len(u.data), SLICE):
+    def around(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the surroundings of the chosen places begin and end."""
+        place, document = self.place[chosen], self.document[chosen]
+        return np.maximum(place - REACH, self.unit.offsets[document]), np.minimum(place + LENGTH, self.unit.offsets[document + 1])
+
+    def hashed(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans no longer than a surrounding."""
+        data = self.unit.data
+        content = np.zeros(len(begin), np.uint64)
+        for low in range(0, len(data), SLICE):
             mine = np.flatnonzero((begin >= low) & (begin < low + SLICE))
             if len(mine):
-                part = BYTE_VALUES[u.data[low : low + SLICE + REACH + LENGTH]]
+                part = BYTE_VALUES[data[low : low + SLICE + REACH + LENGTH]]
                 content[mine] = spans_hashed(part, begin[mine] - low, end[mine] - low)
+        return content
+
+    def varied(self, each: np.ndarray, count: int) -> np.ndarray:
+        """How many different surroundings each of the unit's ``count`` anchors has here; each: a place's anchor."""
+        often = np.flatnonzero(np.bincount(each, minlength=count)[each] > 1)
+        begin, end = self.around(often)
+        kind = (each[often] * (LENGTH + 1) + self.place[often] - begin).astype(np.uint64)
+        _, first = np.unique(mixed(kind) ^ self.hashed(begin, end), return_index=True)
+        return np.maximum(np.bincount(each[often[first]], minlength=count), 1)
+
+    def strings(self, hot: np.ndarray, shards: int):
+        """Starts of the strings whose anchor is at one of the hot places, and the distinct strings in order of shard.
+
+        Other strings around a hot place have another anchor, with a smaller hash, and are compared there.
+        """
+        u = self.unit
+        begin, end = self.around(hot)
+        low, high = begin, end - LENGTH
+        for step in range(1, REACH + 1):
+            near = np.zeros(len(hot), bool)
+            for other in (hot - step, hot + step):
+                there = (other >= 0) & (other < len(self.place))
+                other = np.where(there, other, hot)
+                away = self.place[other] - self.place[hot]
+                there &= np.abs(away) <= REACH
+                near |= there
+                less = there & (self.anchor[other] < self.anchor[hot])
+                low = np.where(less & (away < 0), np.maximum(low, self.place[other] + 1), low)
+                high = np.where(less & (away > 0), np.minimum(high, self.place[other] - REACH - 1), high)
+            if not near.any():
+                break
+        n = np.maximum(high - low + 1, 0)
+        start = np.unique(np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
+        content = self.hashed(start, start + LENGTH)
+        # Starts are in order of document, so the first of equal strings has the smallest id.
+        _, head, each = np.unique(content, return_index=True, return_inverse=True)
+        shard = (mixed(content[head]) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        document = np.searchsorted(u.offsets, start, "right") - 1
+        return start, document, head[order], shard[order], rank[each]
+
+    def surroundings(self, chosen: np.ndarray, shards: int):
+        """Distinct surroundings of the chosen places in order of shard and anchor, with their first document."""
+        place, document, anchor = self.place[chosen], self.document[chosen], self.anchor[chosen]
+        begin, end = self.around(chosen)
+        content = self.hashed(begin, end)
         shard = (mixed(anchor) % np.uint64(shards)).astype(np.int64)
         # Places are in order of document, so the first of equal surroundings has the smallest id.
         order = np.lexsort((content, place - begin, anchor, shard))
@@ -176,18 +232,35 @@ class Strings:
 
 
 def answer_recurring(shard: int, rows: list[tuple]) -> list[tuple]:
-    """Which of a unit's anchors are in several documents. Parts: hashes, flags."""
+    """Which of a unit's anchors are in several documents, and which are hot. Parts: hashes, flags, surroundings."""
     hashes = [from_planes(r[2], np.uint64, ANCHOR_BYTES) for r in rows]
     flags = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
     _, each, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     several = np.bincount(each, flags) + count > 1
+    varied = np.concatenate([from_planes(r[4], np.uint32, COUNT_BYTES) for r in rows])
+    hot = several & (np.bincount(each, varied) > SURROUNDINGS)
     out, at = [], 0
     for row, h in zip(rows, hashes):
-        out.append((shard, row[1], np.packbits(several[each[at : at + len(h)]]).tobytes()))
+        mine = each[at : at + len(h)]
+        out.append((shard, row[1], np.packbits(several[mine]).tobytes(), np.packbits(hot[mine]).tobytes()))
         at += len(h)
     return out
 
 
+def answer_hot(rows: list[tuple]) -> list[bytes]:
+    """For each string of a hot anchor whether a smaller id has it."""
+    least: dict[bytes, int] = {}
+    asked = []
+    for row in rows:
+        ids = from_planes(row[6], np.int64)
+        texts = [row[7][a : a + LENGTH] for a in range(0, len(row[7]), LENGTH)]
+        for text, i in zip(texts, ids.tolist()):
+            if i < least.setdefault(text, i):
+                least[text] = i
+        asked.append((ids, texts))
+    return [np.packbits(np.array([least[t] for t in texts], np.int64) < ids).tobytes() for ids, texts in asked]
+
+
 def _most_shared(sides: list[bytes]) -> list[int]:
     """For each text the longest beginning that it has in common with another one."""
     padded = [int.from_bytes(x.ljust(REACH, b"\0"), "big") for x in sides]
@@ -250,7 +323,10 @@ def smaller_elsewhere(contexts: list[bytes], least: np.ndarray) -> np.ndarray:
 
 
 def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
-    """For each surrounding a bit for each of its strings: a smaller id has it. Parts: ids, lefts, sizes, bytes."""
+    """For each surrounding a bit for each of its strings: a smaller id has it, and the same for strings of hot anchors.
+
+    Parts: ids, lefts, sizes and bytes of surroundings, ids and bytes of strings.
+    """
     ids = np.concatenate([from_planes(r[2], np.int64) for r in rows])
     lefts = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int64)
     sizes = np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows]).astype(np.int64)
@@ -270,7 +346,7 @@ def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
         elif i < least[j]:
             least[j] = i
         each[k] = j
-    least, left_of = np.array(least), np.array(left_of)
+    least, left_of = np.array(least, np.int64), np.array(left_of, np.int64)
     # Surroundings by anchor: an anchor with a single distinct one needs no comparison.
     groups: dict[bytes, list[int]] = {}
     for j, (text, left) in enumerate(zip(texts, left_of.tolist())):
@@ -295,9 +371,9 @@ def answer_strings(shard: int, rows: list[tuple]) -> list[tuple]:
     bits = (smallest[each] < ids[:, None]) & (np.arange(REACH + 1) <= (sizes - LENGTH)[:, None])
     packed = (bits << np.arange(REACH + 1)).sum(1).astype(np.uint32)
     out, at = [], 0
-    for row in rows:
+    for row, hot in zip(rows, answer_hot(rows)):
         n = len(row[3])
-        out.append((shard, row[1], planes(packed[at : at + n])))
+        out.append((shard, row[1], planes(packed[at : at + n]), hot))
         at += n
     return out
 
@@ -307,28 +383,37 @@ def cut(docs: DataFrame) -> DataFrame:
     dealt, shards = units(docs, UNIT_BYTES)
 
     def ask(unit: Unit):
-        hashes, shard, several, _ = Strings(unit).asked(shards)
+        strings = Strings(unit)
+        hashes, shard, several, each = strings.asked(shards)
+        varied = strings.varied(each, len(hashes)).astype(np.uint32)
         for s, a, b in runs(shard):
-            yield s, unit.number, planes(hashes[a:b], ANCHOR_BYTES), several[a:b].astype(np.uint8).tobytes()
+            yield s, unit.number, planes(hashes[a:b], ANCHOR_BYTES), several[a:b].astype(np.uint8).tobytes(), planes(varied[a:b], COUNT_BYTES)
 
     def ask_again(unit: Unit, answers: dict):
         strings = Strings(unit)
         _, shard, _, each = strings.asked(shards)
-        bits = [np.unpackbits(np.frombuffer(answers[s][0], np.uint8), count=b - a) for s, a, b in runs(shard)]
-        chosen = np.concatenate([np.zeros(0, np.uint8), *bits]).astype(bool)[each]
+        bits = [[np.unpackbits(np.frombuffer(answers[s][i], np.uint8), count=b - a) for s, a, b in runs(shard)] for i in range(2)]
+        chosen, hot = (np.concatenate([np.zeros(0, np.uint8), *x]).astype(bool)[each] for x in bits)
+        chosen &= ~hot
         begin, end, document, place, head, to, _ = strings.surroundings(np.flatnonzero(chosen), shards)
         raw = unit.data.tobytes()
-        rows = []
+        rows: dict[int, list[bytes]] = {}
         for s, a, b in runs(to):
             h = head[a:b]
             text = b"".join([raw[i:j] for i, j in zip(begin[h].tolist(), end[h].tolist())])
             left, size = (place[h] - begin[h]).astype(np.uint8), (end[h] - begin[h]).astype(np.uint8)
-            rows.append((s, unit.number, planes(unit.ids[document[h]]), left.tobytes(), size.tobytes(), text))
-        return rows, [np.packbits(chosen).tobytes()]
+            rows[s] = [planes(unit.ids[document[h]]), left.tobytes(), size.tobytes(), text, b"", b""]
+        start, document, head, to, _ = strings.strings(np.flatnonzero(hot), shards)
+        for s, a, b in runs(to):
+            h = head[a:b]
+            text = b"".join([raw[i : i + LENGTH] for i in start[h].tolist()])
+            rows[s] = [*rows.get(s, [b""] * 4)[:4], planes(unit.ids[document[h]]), text]
+        rows = [(s, unit.number, *parts) for s, parts in rows.items()]
+        return rows, [np.packbits(chosen).tobytes(), np.packbits(hot).tobytes()]
 
     def finish(unit: Unit, answers: dict, state: list[bytes]) -> pa.Table:
         strings = Strings(unit)
-        chosen = np.flatnonzero(np.unpackbits(np.frombuffer(state[0], np.uint8), count=len(strings.place)))
+        chosen, hot = (np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=len(strings.place))) for x in state[:2])
         begin, end, document, _, head, to, each = strings.surroundings(chosen, shards)
         packed = np.concatenate([np.zeros(0, np.uint32), *[from_planes(answers[s][0], np.uint32) for s, _, _ in runs(to)]])
         edges = np.zeros(len(unit.data) + 1, np.int32)
@@ -341,6 +426,12 @@ def cut(docs: DataFrame) -> DataFrame:
             hit = rest[(packed[each[rest]] >> np.uint32(k)) & np.uint32(1) > 0]
             np.add.at(edges, begin[hit] + k, 1)
             np.add.at(edges, begin[hit] + k + LENGTH, -1)
+        start, document, head, to, each = strings.strings(hot, shards)
+        if len(start):
+            bits = np.concatenate([np.unpackbits(np.frombuffer(answers[s][1], np.uint8), count=b - a) for s, a, b in runs(to)])
+            hit = start[(unit.ids[document] != unit.ids[document[head]][each]) | (bits[each] > 0)]
+            np.add.at(edges, hit, 1)
+            np.add.at(edges, hit + LENGTH, -1)
         gone = np.cumsum(edges)[:-1] > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]

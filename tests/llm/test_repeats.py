@@ -6,9 +6,10 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import canonical_rows
 
-from querylens.llm import phrases, substrings
+from querylens.llm import exchange, phrases, substrings
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LAST = float("inf")
@@ -95,3 +96,52 @@ def test_suffix_array():
     for _ in range(400):
         t = random.integers(0, random.integers(1, 5), random.integers(0, 60)).astype(np.int16)
         assert substrings.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_hot_anchor(spark, monkeypatch):
+    """Thousands of documents with their own text on both sides of one passage: no shard compares all of them."""
+    random = np.random.default_rng(6)
+    letters = np.array(list("abcdefgh "))
+    body = "".join(random.choice(letters, 150))
+    own = ["".join(random.choice(letters, 60)) for _ in range(9000)]
+    # A third have half of the text of another one beside the passage too.
+    rows = [(i, own[2 * i] + body + (own[2 * i + 1] if i % 3 else own[i] + own[i + 1])) for i in range(4200)]
+    rows += [(None, own[8] + body + own[9]), (7, own[0] + body)]
+    expected = brute_substrings(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert canonical_rows(substrings.cut(df).collect()) == expected
+
+    groups = [0]
+    parts = substrings.shared_parts
+    monkeypatch.setattr(substrings, "shared_parts", lambda group, *a: groups.append(len(group)) or parts(group, *a))
+    monkeypatch.setattr(substrings, "units", lambda docs, size: (docs, 16))
+    monkeypatch.setattr(substrings, "rounds", here)
+    tables = [
+        pa.table({"doc_id": pa.array([r[0] for r in rows[u::5]], pa.int64()), "text": [r[1] for r in rows[u::5]], "unit": [u] * len(rows[u::5])})
+        for u in range(5)
+    ]
+    found = pa.concat_tables(substrings.cut(tables))
+    assert canonical_rows(zip(*(found.column(c).to_pylist() for c in found.column_names))) == expected
+    assert max(groups) <= substrings.ARRAY_BYTES // 80
+
+
+def here(tables, ask, answer, ask_again, answer_again, finish, *_):
+    """Both rounds in this process."""
+    dealt = [exchange.Unit(t) for t in tables]
+
+    def answers(rows, answer):
+        shards, out = {}, {u.number: {} for u in dealt}
+        for row in rows:
+            shards.setdefault(row[0], []).append(row)
+        for s, asked in shards.items():
+            for _, unit, *parts in answer(s, asked):
+                out[unit][s] = parts
+        return out
+
+    first = answers([r for u in dealt for r in ask(u)], answer)
+    asked, state = [], {}
+    for u in dealt:
+        rows, state[u.number] = ask_again(u, first[u.number])
+        asked += rows
+    second = answers(asked, answer_again)
+    return [finish(u, second[u.number], state[u.number]) for u in dealt]
