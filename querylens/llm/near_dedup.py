@@ -14,10 +14,11 @@ Links are confirmed on full sets, without comparing all pairs of a bucket:
 * linked members share the hub's component. Jaccard distance is a metric, so a member at distance over twice
   the limit is linked with none of them. Members in between that are not yet in the component are its
   outliers: all outliers of a component are compared with all its members, in a grid of bounded tasks;
-* members that are not linked with the hub may still be linked with each other. They make a bucket again:
-  one of at most ``SMALL`` members compares all its pairs in one task, a larger one takes its next hub, and so
-  on until no bucket has members of different components. No link between different texts is lost, and no cap
-  applies.
+* members that are not linked with the hub may still be linked with each other. They make a bucket again, and one
+  of at most ``SMALL`` members compares all its pairs in one task. Members of larger ones meet anew by their
+  rarest shingles (``rare_buckets``): linked sets share one of so many that their sizes and the limit tell. These
+  buckets take a hub once more, and what is large even then compares all its pairs in a grid of tasks. So the
+  number of rounds is fixed. No link between different texts is lost, and no cap applies.
 
 Components are then labelled by their smallest doc_id. Null and empty texts have the empty set and are linked
 with nothing. Rows repeated with the same doc_id and text are alike. A row without doc_id takes no part:
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.llm.common import documents, join_groups, kept, text_buffers, whole_text
@@ -218,6 +219,41 @@ def all_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def rare_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id): members by each of their rarest shingles, so that any two linked members have a key in common.
+
+    Linked sets have at least percent / 100 of either's shingles in common, so when all sets are in one order, less
+    than the rest of each set comes before its first common shingle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            for ident, size, mine in zip(batch.column("id").to_pylist(), batch.column("size").to_pylist(), found):
+                n = len(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, ident)), pa.array(np.full(n, size)), pa.array(mine)], ["id", "size", "token"]
+                )
+
+    mine = sets.join(members, "id", "left_semi").select("id", "size", "shingles")
+    tokens = kept(mine.mapInArrow(run, "id bigint, size bigint, token bigint"), "tokens")
+    counted = kept(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_with")), "counted")
+    ranked = join_groups(tokens, counted, ["token"], "n_with", tokens.count())
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n_with", "token"))
+    least = F.floor((F.col("size") * percent + 99) / 100)
+    rare = ranked.withColumn("place", place).where((F.col("place") <= F.col("size") - least + 1) & (F.col("n_with") > 1))
+    return rare.select(F.xxhash64("token", F.lit("rare")).alias("key"), "id")
+
+
+def in_grid(buckets: DataFrame) -> DataFrame:
+    """(key, id) of buckets of about SMALL members in which all pairs of each larger bucket meet."""
+    parts = F.ceil(2 * F.col("n_in") / SMALL)
+    dealt = buckets.select("key", "id", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    dealt = dealt.select("key", "id", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other"))
+    cell = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    return dealt.where("part != other").select(cell.alias("key"), "id")
+
+
 def outlying_links(outliers: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (hub, id) of each component's outliers with its members; both are (component, id), distinct.
 
@@ -323,7 +359,7 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n_rows: int, k: int, percent:
             links = links.union(more)
         return connected(links)
 
-    while True:
+    for last in (False, True):
         hubs = kept(
             active.groupBy("key").agg(F.max_by("id", F.struct("company", -F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("n_in")),
             "hub_of",
@@ -353,7 +389,15 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n_rows: int, k: int, percent:
         if not small.isEmpty():
             found.append(kept(all_pairs(small, sets, percent).distinct(), "pairs"))
             labels = joined()
-        active = kept(active.where(F.col("n_in") > SMALL), "active")
+            active = _open(_labelled(active.where(F.col("n_in") > SMALL), labels))
+        large = kept(active.where(F.col("n_in") > SMALL), "large")
+        if large.isEmpty():
+            return labels
+        if last:
+            found.append(kept(all_pairs(in_grid(large), sets, percent).distinct(), "grid_pairs"))
+            return joined()
+        members = kept(large.select("id", "company", "label").distinct(), "members")
+        active = _open(rare_buckets(members.select("id"), sets, percent).join(members, "id"))
         if active.isEmpty():
             return labels
 

@@ -64,6 +64,43 @@ def test_chains_need_more_rounds(spark, monkeypatch, small):
     assert canonical_rows(n.near_classes(df, 3, 85).collect()) == brute(rows, 3, 85)
 
 
+def family(count, seed=2):
+    """Pages of one template that are alike by less than the limit, and a few pairs and chains that are linked."""
+    random = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(count):
+        own = [f"p{x}" for x in random.integers(0, 10**9, 16)]
+        rows.append((i, " ".join(template + own)))
+        if i % 90 == 0:
+            rows.append((count + i, " ".join(template + own[:-1] + [f"q{i}"])))
+            rows.append((count + i + 1, " ".join(template + own[:-3] + [f"r{i}", "s", f"q{i}"])))
+    return rows
+
+
+def test_many_unlinked_members(spark, monkeypatch):
+    """A thousand members of a bucket that are linked with nearly nobody: a fixed number of rounds."""
+    rows = family(1000)
+    rounds = [0]
+    verified = n.verified
+    monkeypatch.setattr(n, "verified", lambda *a: rounds.append(1) or verified(*a))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = n.full_sets(df, df.select(df.doc_id.alias("id")), 3)
+    labels = n.linked_nodes(df, sets.selectExpr("7L AS key", "id"), len(rows), 3, 85)
+    found = {r.id: r.label for r in labels.collect()}
+    expected = {i: c for i, _, c, _ in brute(rows, 3, 85)}
+    assert {i: found.get(i, i) for i in expected} == expected
+    assert len(set(expected.values())) < len(rows)
+    assert sum(rounds) <= 2
+
+
+def test_grid_compares_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(n, "SMALL", 4)
+    pairs = n.in_grid(spark.range(60).selectExpr("7L AS key", "id", "60L AS n_in")).groupBy("key").agg({"id": "collect_set"}).collect()
+    met = {p for r in pairs for p in combinations(sorted(r[1]), 2)}
+    assert met == set(combinations(range(60), 2))
+
+
 def test_signature_estimates_similarity():
     random = np.random.default_rng(5)
     x = random.integers(0, 2**63, 4000).astype(np.uint64)
