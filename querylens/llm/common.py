@@ -55,11 +55,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
 
     ``size`` names the number of rows of a group, ``total`` all rows. Groups with at least one row in
     HEAVY_SHARE are at most HEAVY_SHARE many, so they can be broadcast whatever the size of the input,
-    and their rows stay where they are. Every other group is small enough for one task.
+    and their rows stay where they are. Every other group is small enough for one task. Which way a row takes is
+    a condition on the hash of its key, the same on both sides, so rows are read for it but not joined.
     """
     keys = list(keys)
     heavy = F.col(size) * HEAVY_SHARE >= F.lit(max(int(total), 1))
-    few = F.broadcast(groups.where(heavy))
-    at_home = rows.join(few, keys)
-    moved = rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~heavy), keys)
+    place = F.xxhash64(*keys)
+    places = [r[0] for r in groups.where(heavy).select(place).collect()]  # at most HEAVY_SHARE numbers
+    if not places:
+        return rows.join(groups, keys)
+    few = place.isin(places)
+    at_home = rows.where(few).join(F.broadcast(groups.where(few)), keys)
+    moved = rows.where(~few).join(groups.where(~few), keys)
     return at_home.unionByName(moved.select(*at_home.columns))
