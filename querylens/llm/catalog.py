@@ -9,6 +9,7 @@ from querylens.llm.mixing import OP1_SQL, op1_mixing
 from querylens.llm.near_dedup import op7_minhash
 from querylens.llm.phrases import op9_phrases
 from querylens.llm.quality import op2_quality
+from querylens.llm.quality_rules import OP11_SQL, op11_quality_rules
 from querylens.llm.sentence_pieces import op5_sentencepiece
 from querylens.llm.substrings import op4_suffix_array
 from querylens.llm.toxicity import op8_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_phrases": op9_phrases,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_quality_rules": op11_quality_rules,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL}
