@@ -7,6 +7,7 @@ from querylens.llm.fingerprints import op3_fingerprints
 from querylens.llm.language_model import op6_language_model
 from querylens.llm.mixing import OP1_SQL, op1_mixing
 from querylens.llm.near_dedup import op7_minhash
+from querylens.llm.periodic_runs import op13_periodic_runs
 from querylens.llm.phrases import op9_phrases
 from querylens.llm.quality import op2_quality
 from querylens.llm.quality_rules import OP11_SQL, op11_quality_rules
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_phrases": op9_phrases,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL}
