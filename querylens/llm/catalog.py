@@ -12,6 +12,7 @@ from querylens.llm.phrases import op9_phrases
 from querylens.llm.quality import op2_quality
 from querylens.llm.quality_rules import OP11_SQL, op11_quality_rules
 from querylens.llm.sentence_pieces import op5_sentencepiece
+from querylens.llm.spelling import OP12_SQL, op12_spelling
 from querylens.llm.substrings import op4_suffix_array
 from querylens.llm.toxicity import op8_toxicity
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_phrases": op9_phrases,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_quality_rules": op11_quality_rules,
+    "op12_spelling": op12_spelling,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL}
+ORACLES = {"op1_mixing": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_quality_rules": OP11_SQL, "op12_spelling": OP12_SQL}
