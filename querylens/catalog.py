@@ -22,7 +22,7 @@ from querylens.functions.fingerprint import (
     split_statements,
 )
 from querylens.operators import diff, families, timing, workload
-from querylens.operators.events import typed_events
+from querylens.operators.events import typed_events, with_shapes
 from querylens.operators.parse import candidate_lines, parse_lines
 from querylens.plans import documents
 from querylens.plans.investigate import executions_from_lines, executions_of, slow_query_changes
@@ -702,16 +702,31 @@ def accumulated_summary(spark, sf):
     )
 
 
+def _busy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.log_lines(spark, sf, body=derived.busy_message())
+
+
 @query
 def slowest_queries_default(spark, sf):
-    return workload.slowest_queries(executions(spark, sf)).select("query", "duration_ms", "ts")
+    busy = executions_from_lines(_busy_lines(spark, sf), line_count=derived.line_count(spark, sf))
+    return workload.slowest_queries(busy).select("query", "duration_ms", "ts")
+
+
+@query
+def sql_parsed_forms(spark, sf):
+    """Which of the varied statements count as SQL, as statements of a log."""
+    body = F.concat(F.lit("LOG:  statement: "), derived.varied_statement())
+    lines = derived.log_lines(spark, sf, body=body)
+    shaped = with_shapes(typed_events(parse_lines(lines))).groupBy("parsed", "shape").count()
+    named = computed_once(shaped, query=family_sql())
+    return named.groupBy("parsed", "query").agg(F.sum("count").alias("statement_count"))
 
 
 @query
 def sql_unparsed_text(spark, sf):
     """Truncated statements: kept raw, and told apart from what parses."""
     lines = derived.log_lines(spark, sf, body=derived.truncated_message())
-    shaped = typed_events(parse_lines(lines)).groupBy("parsed", "shape").count()
+    shaped = with_shapes(typed_events(parse_lines(lines))).groupBy("parsed", "shape").count()
     named = computed_once(shaped, query=family_sql())
     return named.groupBy("parsed", "query").agg(F.sum("count").alias("statement_count"))
 
@@ -721,7 +736,8 @@ def sql_unparsed_text(spark, sf):
 
 @query
 def peak_hours_default(spark, sf):
-    return timing.peak_hours(events(spark, sf)).select("hour", rounded("total_duration_ms"))
+    busy = typed_events(parse_lines(_busy_lines(spark, sf)))
+    return timing.peak_hours(busy).select("hour", rounded("total_duration_ms"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querylens.functions.text import strip
+from querylens.functions.text import BLOCK_COMMENT, LINE_COMMENT, strip
 
 # Leading words per class.
 QUERY_WORDS = ("SELECT", "WITH", "VALUES", "TABLE")
@@ -28,8 +28,8 @@ def _any_prefix(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def statement_class(sql: Column) -> Column:
-    """Class by statement form: WITH and VALUES are queries, GRANT is not DDL."""
-    head = F.upper(F.regexp_replace(sql, r"^[\s(]+", ""))
+    """Class by statement form, behind comments: WITH and VALUES are queries, GRANT is not DDL."""
+    head = F.upper(F.regexp_replace(sql, rf"^(?:[\s(]|{LINE_COMMENT}|{BLOCK_COMMENT})++", ""))
     word = F.regexp_extract(head, r"^[A-Z]+", 0)
     by_word = F.when(word.isin(*QUERY_WORDS), "SELECT")
     for write in WRITE_WORDS:

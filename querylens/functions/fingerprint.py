@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from querylens.functions.classify import statement_class
-from querylens.functions.text import WHITE_SPACE, strip
+from querylens.functions.text import BLOCK_COMMENT, LINE_COMMENT, WHITE_SPACE, strip
 
 # Words printed in upper case and followed by a blank before "(".
 KEYWORDS = frozenset(
@@ -57,17 +57,6 @@ DOLLAR_STRING = r"\$((?:[\p{L}_]\w*)?)\$.*?\$\{ref}\$"
 QUOTED_NAME = r'"(?:[^"]|"")*+"'
 NUMBER = r"(?:\d++\.?\d*+|\.\d++)(?:[eE][+-]?\d++)?"
 NAME = r"[\p{L}_][\p{L}\p{N}_$]*+"
-LINE_COMMENT = r"--[^\n]*+"
-# Block comments nest; three levels are followed.
-COMMENT_DEPTH = 3
-
-
-def _block_comment(depth: int) -> str:
-    inner = f"|{_block_comment(depth - 1)}" if depth > 1 else ""
-    return rf"/\*(?:[^*/]|\*(?!/)|/(?!\*){inner})*+\*/"
-
-
-BLOCK_COMMENT = _block_comment(COMMENT_DEPTH)
 
 
 def _dollar(ref: int) -> str:
@@ -120,6 +109,8 @@ OPEN_WORDS = (
     "WHERE AND OR NOT FROM JOIN ON BY SET INTO VALUES SELECT IN LIKE ILIKE BETWEEN HAVING UNION EXCEPT INTERSECT AS "
     "WHEN THEN ELSE CASE USING LIMIT OFFSET RETURNING UPDATE INSERT GROUP ORDER LEFT RIGHT INNER FULL CROSS WITH"
 ).split()
+# Ends on such a word that are whole all the same.
+WHOLE_ENDS = r"FOR\s+(?:NO\s+KEY\s+)?UPDATE|DEFAULT\s+VALUES|(?:VACUUM|IDENTITY)(?:\s+[A-Z]+)*?\s+FULL|(?:TO|=)\s*ON"
 
 
 def _text(value: str) -> str:
@@ -180,6 +171,7 @@ PRINTED_TEXT = f"""CASE
     AND NOT (n.prev.upper = 'IS' OR (n.prev.upper = 'NOT' AND n.prev2.upper = 'IS')) THEN '?'
   WHEN n.token.upper = 'NULL' AND n.prev.upper NOT IN ('IS', 'NOT', 'SET') THEN '?'
   WHEN n.token.kind IN ('keyword', 'call', 'truth') THEN n.token.upper
+  WHEN n.token.upper = 'NO' AND n.prev.upper = 'FOR' THEN 'NO'
   WHEN n.prev.upper = '::' AND n.token.upper IN ({_words(CAST_TYPES)}) THEN n.token.upper
   WHEN n.typed AND n.token.upper IN ({_words(TYPED_LITERAL_WORDS)}) THEN n.token.upper
   WHEN n.token.raw = '!=' THEN '<>'
@@ -270,7 +262,8 @@ def plausible(shape: Column) -> Column:
     """Whether a shape could be SQL: a truncated first line is the usual one that could not.
 
     Closed quotes and brackets, a first word that begins statements, and no end
-    on an operator, a comma or a word that wants more.  This is no grammar: what
+    on an operator, a comma or a word that wants more (but for the few forms that
+    end on one).  This is no grammar: what
     passes may still be wrong SQL.
     """
     opaque = rf"(?s){ESCAPE_STRING}|{PREFIXED_STRING}|{_dollar(1)}|{STRING}|{QUOTED_NAME}|{LINE_COMMENT}|{BLOCK_COMMENT}"
@@ -278,7 +271,8 @@ def plausible(shape: Column) -> Column:
     balanced = (F.regexp_count(bare, F.lit(r"\(")) == F.regexp_count(bare, F.lit(r"\)"))) & ~bare.rlike("['\"]|/\\*")
     begins = bare.rlike(rf"(?i)^[\s(;]*+(?:q\s++)*+[(\s]*+(?:{'|'.join(FIRST_WORDS)})\b")
     ends = bare.rlike(rf"(?i)(?:[,=<>+(|~!%^&@#]|(?<!\*)/|\b(?:{'|'.join(OPEN_WORDS)}))[\s;]*+$")
-    return balanced & begins & ~ends
+    whole = bare.rlike(rf"(?i)(?:\b|(?=[=]))(?:{WHOLE_ENDS})[\s;]*+$")
+    return balanced & begins & (~ends | whole)
 
 
 def regex_fingerprint(sql: Column) -> Column:

@@ -12,6 +12,18 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# SQL comments (fixed values). Block comments nest; three levels are followed.
+LINE_COMMENT = r"--[^\n]*+"
+COMMENT_DEPTH = 3
+
+
+def _block_comment(depth: int) -> str:
+    inner = f"|{_block_comment(depth - 1)}" if depth > 1 else ""
+    return rf"/\*(?:[^*/]|\*(?!/)|/(?!\*){inner})*+\*/"
+
+
+BLOCK_COMMENT = _block_comment(COMMENT_DEPTH)
+
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space; SQL ``trim`` alone removes blanks only."""

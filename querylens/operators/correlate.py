@@ -194,8 +194,7 @@ def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROW
         "application_name",
         "queryid",
         "statement",
-        "parsed",
-        "shape",
+        "is_sql",
         F.when(inline, F.col("duration_ms")).when(closed, F.col("_closer.ms")).alias("duration_ms"),
         closer_record.alias("duration_record"),
         F.when(inline | F.coalesce(closed, F.lit(False)), "Exact")

@@ -22,7 +22,7 @@ from querylens.operators.families import (
     shape_dictionary,
 )
 from querylens.operators.percentiles import value_profile
-from querylens.session import broadcast_if_small, settled
+from querylens.session import bounded, settled
 
 FAMILY = (*IDENTITY, "normalized_sql")
 METRICS = ("execution_count", "total_duration_ms", "avg_duration_ms", "p95_duration_ms",
@@ -53,7 +53,7 @@ def landed_metrics(paired: DataFrame, dictionary: DataFrame) -> DataFrame:
     # Absent identity fields are never '' themselves, so '' can stand for NULL in join keys.
     identity = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY]
     texts = dictionary.withColumns(
-        {"text_a": F.xxhash64("normalized_sql"), "text_b": F.xxhash64("normalized_sql", F.lit(1))}
+        {"text_a": F.xxhash64("normalized_sql"), "text_b": F.xxhash64(F.lit(1), "normalized_sql")}
     )
     named = labelled(paired, texts.drop("normalized_sql"))
     rows = named.select(
@@ -190,8 +190,8 @@ def slow_query_diff(executions: DataFrame, options: DiffOptions = DiffOptions())
 
     target = paired.where(F.col("source_window") == "target")
     return (
-        evidence_of(best, target, dictionary)
-        .join(broadcast_if_small(best), "family_id")
+        evidence_of(best, options.limit, target, dictionary)
+        .join(bounded(best, options.limit), "family_id")
         .select(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             F.concat(F.lit("slow_query_diff:"), F.col("family_id")).alias("finding_id"),

@@ -45,16 +45,10 @@ def typed_events(entries: DataFrame) -> DataFrame:
 
     ``text`` is what message searches see: the statement without its prefix,
     nothing for durations, the message otherwise.  A duration entry without a
-    readable number counts as 0 ms.  ``parsed`` separates SQL statements from
-    STATEMENT-level context lines and from text that cannot be SQL, which are kept
-    as they are.
+    readable number counts as 0 ms.  ``is_sql`` separates SQL statements from
+    STATEMENT-level context lines.
     """
     statement = F.when(is_query(), F.coalesce(F.col("statement"), F.col("message")))
-    blanked = F.when(is_query() & F.col("statement").isNotNull(), literal_shape(F.col("statement")))
-    entries = computed_once(entries, _blanked=blanked)
-    entries = computed_once(entries, _plausible=F.coalesce(plausible(F.col("_blanked")), F.lit(False)))
-    parsed = F.when(is_query(), F.col("_plausible"))
-    shape = F.when(F.col("_plausible"), F.col("_blanked")).otherwise(statement)
     return entries.select(
         "source_window",
         "record_index",
@@ -71,8 +65,7 @@ def typed_events(entries: DataFrame) -> DataFrame:
         event_kind().alias("kind"),
         F.lit(None).cast("string").alias("queryid"),
         statement.alias("statement"),
-        parsed.alias("parsed"),
-        F.when(is_query(), shape).alias("shape"),
+        F.when(is_query(), F.col("statement").isNotNull()).alias("is_sql"),
         F.when(is_query(), F.col("duration_ms"))
         .when(is_duration(), F.coalesce(F.col("duration_ms"), F.lit(0.0)))
         .alias("duration_ms"),
@@ -83,5 +76,24 @@ def typed_events(entries: DataFrame) -> DataFrame:
     )
 
 
+def with_shapes(rows: DataFrame) -> DataFrame:
+    """Add ``parsed`` and ``shape`` to rows that carry ``statement`` and ``is_sql``.
+
+    ``parsed`` separates SQL statements from context lines and from text that cannot be
+    SQL, which keep their text as shape.  Generators are never pruned, so only what
+    reads shapes calls this.
+    """
+    if "shape" in rows.columns:
+        return rows
+    blanked = F.when(F.col("is_sql"), literal_shape(F.col("statement")))
+    rows = computed_once(rows, _blanked=blanked)
+    rows = computed_once(rows, _plausible=F.coalesce(plausible(F.col("_blanked")), F.lit(False)))
+    named = {
+        "parsed": F.when(F.col("statement").isNotNull(), F.col("_plausible")),
+        "shape": F.when(F.col("_plausible"), F.col("_blanked")).otherwise(F.col("statement")),
+    }
+    return rows.withColumns(named).drop("_blanked", "_plausible")
+
+
 def mentions_connection(text: Column) -> Column:
     return F.lower(text).contains("connection")

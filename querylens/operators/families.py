@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from querylens.functions.fingerprint import family_sql
 from querylens.operators.correlate import EXECUTION_ORDER
+from querylens.operators.events import with_shapes
 from querylens.operators.next_sql import next_sql
-from querylens.session import broadcast_if_small, computed_once, kept, settled
+from querylens.session import bounded, computed_once, kept, measured, settled
 
 SCHEMA_VERSION = 1
 IDENTITY = ("database", "user", "application_name")
@@ -51,26 +52,27 @@ def shape_key() -> Column:
 def landed(executions: DataFrame) -> DataFrame:
     """What findings need of the executions, paired once and kept, with their shape keys."""
     columns = ("source_window", *IDENTITY, "parsed", "shape", "duration_ms", "confidence")
-    rows = executions.select(*columns, *EXECUTION_ORDER, "evidence")
+    rows = with_shapes(executions).select(*columns, *EXECUTION_ORDER, "evidence")
     return kept(rows.withColumn("shape_key", shape_key()), "paired")
 
 
 def shape_dictionary(paired: DataFrame) -> DataFrame:
     """Canonical text per distinct shape of landed executions, computed once and kept.
 
-    Each task sends a shape once, however many executions have it.
+    Each task sends a shape once, however many executions have it: grouped without an
+    aggregate, so rows are hashed and not sorted with their text.
     """
-    shapes = paired.groupBy("shape_key").agg(F.first("parsed").alias("parsed"), F.first("shape").alias("shape"))
-    return settled(shapes.select("shape_key", family_sql().alias("normalized_sql")))
+    shapes = paired.select("shape_key", "parsed", "shape").distinct()
+    return measured(shapes.select("shape_key", family_sql().alias("normalized_sql")))
 
 
 def labelled(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Add normalized_sql through the shape dictionary.
 
-    The dictionary is broadcast while it is small, else both sides are shuffled by
-    the key; rows carry no text there.
+    The dictionary (``shape_dictionary``) is broadcast while it is small, else both sides
+    are shuffled by the key; rows carry no text there.
     """
-    return rows.join(broadcast_if_small(dictionary), "shape_key")
+    return rows.join(dictionary, "shape_key")
 
 
 def family_totals(executions: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -83,6 +85,7 @@ def family_totals(executions: DataFrame, dictionary: DataFrame | None = None) ->
     """
     exact = (F.col("confidence") == "Exact").cast("bigint")
     shape = ("parsed", "shape") if dictionary is None else ("shape_key",)
+    executions = with_shapes(executions) if dictionary is None else executions
     shaped = executions.groupBy(*IDENTITY, *shape).agg(
         F.count(F.lit(1)).alias("execution_count"),
         F.sum("duration_ms").alias("total_duration_ms"),
@@ -117,7 +120,7 @@ def family_evidence(executions: DataFrame, limit: int = EVIDENCE_LIMIT) -> DataF
 
     ``limit`` executions always cover ``limit`` references.
     """
-    shaped = executions.select(*IDENTITY, "parsed", "shape", *EXECUTION_ORDER, "evidence")
+    shaped = with_shapes(executions).select(*IDENTITY, "parsed", "shape", *EXECUTION_ORDER, "evidence")
     early = first_by(shaped, (*IDENTITY, "parsed", "shape"), EXECUTION_ORDER, limit)
     early = first_by(with_family(early), ("family_id",), EXECUTION_ORDER, limit)
     return gathered_evidence(early, limit)
@@ -162,19 +165,19 @@ def ranked(df: DataFrame, score: str, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(numbering))
 
 
-def evidence_of(best: DataFrame, paired: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Evidence of the chosen families only.
+def evidence_of(best: DataFrame, limit: int, paired: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Evidence of the chosen families (at most ``limit``) only.
 
     Their shapes are found in the dictionary first, so executions of other
     families are dropped where they are read.
     """
     null_safe = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in IDENTITY]
-    chosen = settled(
-        dictionary.join(broadcast_if_small(best.select("normalized_sql", "family_id", *null_safe)), "normalized_sql")
-        .select("shape_key", "family_id", *[f"_{c}" for c in IDENTITY])
+    few = bounded(best.select("normalized_sql", "family_id", *null_safe), limit)
+    chosen = measured(
+        dictionary.join(few, "normalized_sql").select("shape_key", "family_id", *[f"_{c}" for c in IDENTITY])
     )
     rows = paired.select("shape_key", *null_safe, *EXECUTION_ORDER, "evidence").join(
-        broadcast_if_small(chosen), ["shape_key", *[f"_{c}" for c in IDENTITY]]
+        chosen, ["shape_key", *[f"_{c}" for c in IDENTITY]]
     )
     early = first_by(rows, ("family_id",), EXECUTION_ORDER, EVIDENCE_LIMIT)
     return gathered_evidence(early, EVIDENCE_LIMIT)
@@ -210,8 +213,8 @@ def top_query_families(executions: DataFrame, limit: int = 10) -> DataFrame:
         "p95_duration_ms:double,max_duration_ms:double>"
     )
     return (
-        evidence_of(best, paired, dictionary)
-        .join(broadcast_if_small(best), "family_id")
+        evidence_of(best, limit, paired, dictionary)
+        .join(bounded(best, limit), "family_id")
         .select(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             F.concat(F.lit("query_family:"), F.col("family_id")).alias("finding_id"),

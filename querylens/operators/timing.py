@@ -116,18 +116,6 @@ def hourly_distribution(entries: DataFrame) -> DataFrame:
     )
 
 
-def connection_totals(entries: DataFrame) -> DataFrame:
-    """One row: entries that mention a connection, how many are errors, the ratio."""
-    hits = entries.where(mentions_connection(F.col("message")))
-    return hits.agg(
-        F.count(F.lit(1)).alias("total_connections"),
-        F.count_if(is_error()).alias("connection_errors"),
-    ).withColumn(
-        "error_rate",
-        F.coalesce(F.try_divide("connection_errors", "total_connections"), F.lit(0.0)),
-    )
-
-
 def connection_analysis(entries: DataFrame) -> DataFrame:
     """Connection mentions per hour and weekday cell with their error count.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querylens.functions.classify import nine_way_class, statement_class
 from querylens.functions.fingerprint import canonical_sql, family_sql, split_statements
 from querylens.operators.correlate import EXECUTION_ORDER
-from querylens.operators.events import is_query, mentions_connection
+from querylens.operators.events import is_query, mentions_connection, with_shapes
 from querylens.operators.percentiles import value_profile
 from querylens.session import beside, computed_once
 
@@ -59,7 +59,7 @@ def workload_summary(executions: DataFrame) -> DataFrame:
 
 def _statements_by_shape(rows: DataFrame) -> DataFrame:
     """Occurrences per (shape, statement in it); unparsed text has no statements."""
-    shaped = rows.where(F.col("parsed")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+    shaped = with_shapes(rows).where(F.col("parsed")).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
     return shaped.select("n", F.explode(split_statements("shape")).alias("sql"))
 
 
@@ -86,7 +86,7 @@ def slowest_queries(
         .limit(limit)
     )
     return computed_once(
-        best.select("shape", "parsed", "duration_ms", *EXECUTION_ORDER),
+        with_shapes(best).select("shape", "parsed", "duration_ms", *EXECUTION_ORDER),
         query=family_sql(),
     ).select("query", "duration_ms", *EXECUTION_ORDER)
 

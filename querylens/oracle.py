@@ -14,7 +14,7 @@ from querylens.catalog import (
     SAMPLE_LINES,
     SLOW_MS,
 )
-from querylens.sources.derived import LEVEL_WORDS, TARGET_START
+from querylens.sources.derived import BUSY_FACTOR, BUSY_HOURS, FACTOR, FORMS as FORM_COUNT, LEVEL_WORDS, TARGET_START
 
 # --- the log as columns -----------------------------------------------------
 
@@ -54,6 +54,8 @@ lg AS (
   FROM ev)
 """
 DEFAULT = LOG.format(ts="ts", app="'app' || (user_id % 4)")
+BUSY_VALUE = f"value * CASE WHEN hour(ts) IN {BUSY_HOURS} THEN {BUSY_FACTOR} ELSE {FACTOR} END"
+BUSY = DEFAULT.replace("printf('%.3f', value)", f"printf('%.3f', {BUSY_VALUE})")
 RDS = LOG.format(ts="date_trunc('second', ts)", app="CAST(NULL AS VARCHAR)")
 
 EXECUTIONS = """,
@@ -284,6 +286,15 @@ FORMS = [
     ["SELECT id FROM t WHERE id = ?"],
     ["SELECT $$x y$$ AS s, ?"],
     ["SELECT X'1F' AS b FROM t WHERE id = ?"],
+    ["SELECT total FROM orders WHERE id = ? FOR UPDATE"],
+    ["SELECT total FROM orders WHERE id = ? FOR NO KEY UPDATE"],
+    ["INSERT INTO audit DEFAULT VALUES"],
+    ["SELECT stock FROM shelves WHERE id = ?"],
+    ["UPDATE orders SET total = ? WHERE id = ?"],
+    ["VACUUM FULL items"],
+    ["SET enable_seqscan = ON"],
+    ["SELECT total FROM orders WHERE id IN (?,"],
+    ["UPDATE orders SET total = ? WHERE"],
 ]
 REGEX_FORMS = [
     "SELECT * FROM items WHERE id=N",
@@ -306,28 +317,39 @@ REGEX_FORMS = [
     "SELECT /* a /* b */ c */ id FROM t WHERE id = N",
     "SELECT $$x y$$ AS s, N",
     "SELECT XS AS b FROM t WHERE id = N -- done",
+    "SELECT total FROM orders WHERE id = N FOR UPDATE",
+    "select total from orders where id = N for no key update;",
+    "INSERT INTO audit DEFAULT VALUES",
+    "/* page N */ SELECT stock FROM shelves WHERE id = N",
+    "/* job */ UPDATE orders SET total = N WHERE id = N",
+    "VACUUM FULL items",
+    "SET enable_seqscan = ON",
+    "SELECT total FROM orders WHERE id IN (N,",
+    "UPDATE orders SET total = N WHERE",
 ]
 STATEMENT_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "DDL", "DDL", "DDL", "DDL",
-                     "OTHER", "OTHER", "OTHER", "SELECT", "SELECT", "OTHER", *["SELECT"] * 5]
+                     "OTHER", "OTHER", "OTHER", "SELECT", "SELECT", "OTHER", *["SELECT"] * 7, "INSERT", "SELECT",
+                     "UPDATE", "OTHER", "OTHER", "SELECT", "UPDATE"]
 PREFIX_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "DDL", "DDL", "DDL", "DDL",
-                  "DDL", "OTHER", "OTHER", "OTHER", "SELECT", "OTHER", *["SELECT"] * 5]
+                  "DDL", "OTHER", "OTHER", "OTHER", "SELECT", "OTHER", *["SELECT"] * 7, "INSERT", "OTHER",
+                  "OTHER", "OTHER", "OTHER", "SELECT", "UPDATE"]
 NINE_CLASSES = ["SELECT", "SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER",
                 "OTHER", "OTHER", "TRANSACTION", "TRANSACTION", "OTHER", "SELECT", "OTHER",
-                *["SELECT"] * 5]
+                *["SELECT"] * 7, "INSERT", "OTHER", "OTHER", "OTHER", "OTHER", "SELECT", "UPDATE"]
 
 
 def _quoted(text: str) -> str:
     literal = "'" + text.replace("'", "''") + "'"
-    return literal.replace("{k}", "' || k || '")
+    return literal.replace("{k}", "' || k || '").replace("{v}", "' || v || '")
 
 
 def _by_form(texts: list[str]) -> str:
     arms = " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(texts))
-    return f"CASE k % 20 {arms} END"
+    return f"CASE k % {FORM_COUNT} {arms} END"
 
 
 def _class_sql(classes: list[str]) -> str:
-    return f"""WITH {EV} SELECT CAST(k % 20 AS INTEGER) AS form, {_by_form(classes)} AS query_type,
+    return f"""WITH {EV} SELECT CAST(k % {FORM_COUNT} AS INTEGER) AS form, {_by_form(classes)} AS query_type,
   count(*) AS statement_count FROM ev GROUP BY ALL"""
 
 
@@ -338,10 +360,14 @@ _rows = [
 ]
 FORM_ROWS = " UNION ALL ".join(
     f"SELECT k, {size} AS pieces, {_quoted(text)} AS norm, '{kind}' AS query_type "
-    f"FROM ev WHERE k % 20 = {form}"
+    f"FROM ev WHERE k % {FORM_COUNT} = {form}"
     for form, size, text, kind in _rows
 )
 
+# What forms that cannot be SQL keep: their own text.
+RAW_FORMS = {27: "SELECT total FROM orders WHERE id IN ({k},", 28: "UPDATE orders SET total = {v} WHERE"}
+PARSED_FORMS = [RAW_FORMS.get(i, ";".join(texts)) for i, texts in enumerate(FORMS)]
+
 SQL_TEXT = "'SELECT total FROM orders WHERE id = ' || k"
 
 HOUR = "CAST(hour(ts) AS INTEGER)"
@@ -395,10 +421,13 @@ WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00
     "sql_unparsed_text": f"""WITH {EV} SELECT k % 3 <> 0 AS parsed,
   'SELECT total FROM orders WHERE id =' || CASE WHEN k % 3 <> 0 THEN ' ?' ELSE '' END AS query,
   count(*) AS statement_count FROM ev GROUP BY ALL""",
-    "slowest_queries_default": f"""WITH {DEFAULT}{EXECUTIONS} SELECT norm AS query,
+    "sql_parsed_forms": f"""WITH {EV}
+SELECT k % {FORM_COUNT} NOT IN {tuple(RAW_FORMS)} AS parsed, {_by_form(PARSED_FORMS)} AS query,
+  count(*) AS statement_count FROM ev GROUP BY ALL""",
+    "slowest_queries_default": f"""WITH {BUSY}{EXECUTIONS} SELECT norm AS query,
   ms AS duration_ms, ts FROM ex WHERE ms > 1000.0
 ORDER BY ms DESC, ts, emit_index, emit_part LIMIT 10""",
-    "peak_hours_default": f"""WITH {DEFAULT}, h AS (SELECT {HOUR} AS hour, sum(dur) AS total
+    "peak_hours_default": f"""WITH {BUSY}, h AS (SELECT {HOUR} AS hour, sum(dur) AS total
   FROM lg WHERE dur IS NOT NULL GROUP BY 1)
 SELECT hour, round(total, 6) AS total_duration_ms FROM h
 WHERE total > (SELECT avg(total) FROM h) * 1.5""",

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from querylens import __version__
 from querylens.operators import timing, workload
+from querylens.operators.events import with_shapes
 from querylens.schemas import FINDINGS
 from querylens.session import beside, broadcast_if_small, kept, settled
 
@@ -164,7 +165,7 @@ def workload_document(
     too (``log_entries`` keeps them).
     """
     executions = kept(
-        executions.select("shape", "parsed", "duration_ms", *workload.EXECUTION_ORDER),
+        with_shapes(executions).select("shape", "parsed", "duration_ms", *workload.EXECUTION_ORDER),
         "executions",
     )
     parts = workload_parts(executions, events, options)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side table handed to ``broadcast``; anything beyond either bound is
 # left to a shuffled join.
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Rows of a result limited by an argument that are broadcast unmeasured.
+BOUNDED_ROWS = 10_000
 
 
 def local_session(cpus: str = "8", name: str = "querylens") -> SparkSession:
@@ -107,6 +109,25 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """Settle a side table, and mark it for broadcast if its measure allows; rows and bytes are counted on the way."""
+    shared_dir(df.sparkSession)
+    text = sum(
+        (F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in df.dtypes if kind == "string"),
+        F.lit(16 * len(df.columns)),
+    )
+    seen = Observation()
+    size = (F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes"))
+    settled_df = df.observe(seen, *size).checkpoint(eager=True)
+    small = seen.get["rows"] <= MAX_BROADCAST_ROWS and seen.get["bytes"] <= MAX_BROADCAST_BYTES
+    return F.broadcast(settled_df) if small else settled_df
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a settled table of at most ``rows`` rows; a bound too large to go by is measured."""
+    return F.broadcast(df) if rows <= BOUNDED_ROWS else broadcast_if_small(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a source's rows out when it comes in fewer splits than there are cores.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from querylens.session import scratch_path, spread
 
-FORMS = 20
+FORMS = 29
 TARGET_START = "2024-01-16 00:00:00"
 
 
@@ -35,8 +35,8 @@ def _value() -> Column:
     return F.format_string("%.3f", F.col("value"))
 
 
-def message() -> Column:
-    k, v, user = _k(), _value(), F.col("user_id").cast("string")
+def message(value: Column | None = None) -> Column:
+    k, v, user = _k(), _value() if value is None else value, F.col("user_id").cast("string")
     kind = F.col("event_type")
     text = F.concat
     lit = F.lit
@@ -60,8 +60,18 @@ def message() -> Column:
     )
 
 
+# Hours of day in which the busy log's durations are longer still.
+BUSY_HOURS, BUSY_FACTOR, FACTOR = (9, 10), 16, 4
+
+
+def busy_message() -> Column:
+    """The message with longer durations, longest in BUSY_HOURS."""
+    factor = F.when(F.hour("ts").isin(*BUSY_HOURS), F.lit(BUSY_FACTOR)).otherwise(F.lit(FACTOR))
+    return message(F.format_string("%.3f", F.col("value") * factor))
+
+
 def varied_statement() -> Column:
-    """One of twenty statement forms, chosen by the row's ``k``."""
+    """One of ``FORMS`` statement forms, chosen by the row's ``k``."""
     k, v = _k(), _value()
     form = k.cast("int") % FORMS
     lit, text = F.lit, F.concat
@@ -87,6 +97,15 @@ def varied_statement() -> Column:
         text(lit("SELECT /* a /* b */ c */ id FROM t WHERE id = "), k),
         text(lit("SELECT $$x y$$ AS s, "), k),
         text(lit("SELECT X'1F' AS b FROM t WHERE id = "), k, lit(" -- done")),
+        text(lit("SELECT total FROM orders WHERE id = "), k, lit(" FOR UPDATE")),
+        text(lit("select total from orders where id = "), k, lit(" for no key update;")),
+        lit("INSERT INTO audit DEFAULT VALUES"),
+        text(lit("/* page "), k, lit(" */ SELECT stock FROM shelves WHERE id = "), k),
+        text(lit("/* job */ UPDATE orders SET total = "), v, lit(" WHERE id = "), k),
+        lit("VACUUM FULL items"),
+        lit("SET enable_seqscan = ON"),
+        text(lit("SELECT total FROM orders WHERE id IN ("), k, lit(",")),
+        text(lit("UPDATE orders SET total = "), v, lit(" WHERE")),
     ]
     picked = F.when(form == 0, forms[0])
     for i, one in enumerate(forms[1:], start=1):

@@ -5,7 +5,7 @@ import math
 import random
 
 import pytest
-from conftest import SAMPLE_LOG
+from log_samples import SAMPLE_LOG
 from pyspark.sql import functions as F
 
 from querylens.operators import timing, workload
@@ -46,20 +46,21 @@ def test_profile_of_random_groups(spark):
 
 
 def test_percentile_list(spark):
-    df = spark.createDataFrame([(float(v),) for v in range(10, 101, 10)], "v double")
-    rows = timing.percentiles(df, "v", [0.5, 0.95, 0.99]).collect()
-    assert [tuple(r) for r in rows] == [(0.5, 60.0), (0.95, 100.0), (0.99, 100.0)]
+    # Seven values in no order; ranks floor(7 * p): 0, 2, 4 and the last.
+    df = spark.createDataFrame([(v,) for v in (9.5, -1.0, 4.0, 4.0, 30.25, 7.0, 2.5)], "v double")
+    rows = timing.percentiles(df, "v", [0.1, 0.3, 0.6, 1.0]).collect()
+    assert [tuple(r) for r in rows] == [(0.1, -1.0), (0.3, 4.0), (0.6, 7.0), (1.0, 30.25)]
     with pytest.raises(ValueError, match="Invalid percentile"):
         timing.percentiles(df, "v", [1.5])
     with pytest.raises(Exception, match="No response times"):
-        timing.percentiles(df.where("v < 0"), "v", [0.5]).collect()
+        timing.percentiles(df.where("v < -5"), "v", [0.5]).collect()
 
 
 def test_metrics(spark):
-    values = [10.0, 20.0, 30.0, 40.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0]
+    values = [3.5] * 18 + [0.25, 81.0, 640.5, 7.0, 7.0, 12.0]  # 24 values; ranks 22 and 23
     df = spark.createDataFrame([(v,) for v in values], "duration_ms double")
     row = workload.duration_metrics(df).first()
-    assert tuple(row) == (10.0, 2000.0, 395.0, 2000.0, 2000.0, 10, 3950.0)
+    assert tuple(row) == (0.25, 640.5, 810.75 / 24, 81.0, 640.5, 24, 810.75)
     empty = workload.duration_metrics(df.where("duration_ms < 0")).first()
     assert tuple(empty) == (0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0)
 
@@ -145,7 +146,7 @@ def test_connection_views(parse):
     assert views[("total", -1)] == (4, 1)
     assert views[("hour", 11)] == (2, 1) and views[("hour", 12)] == (1, 0)
     assert views[("weekday", 6)] == (2, 0)
-    assert tuple(timing.connection_totals(parse(ENTRIES)).first()) == (4, 1, 0.25)
+    assert views[("total", -1)][1] / views[("total", -1)][0] == 0.25
 
 
 def test_hourly_distribution_and_peak_usage(parse):

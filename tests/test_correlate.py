@@ -11,14 +11,14 @@ from querylens.operators.correlate import (
     hot_backends,
     lane_table,
 )
-from querylens.operators.events import typed_events
+from querylens.operators.events import typed_events, with_shapes
 
-START = datetime(2024, 8, 15, 10, 30)
+START = datetime(2022, 4, 9, 21, 15)
 
 
 def line(ms, pid, message):
     stamp = (START + timedelta(milliseconds=ms)).strftime("%Y-%m-%d %H:%M:%S.%f")
-    return f"{stamp} UTC [{pid}] postgres@testdb psql: LOG:  {message}"
+    return f"{stamp} UTC [{pid}] miller@grain scale-2: LOG:  {message}"
 
 
 def pair(parse, lines, hot_rows=None):
@@ -77,7 +77,7 @@ def test_statement_level_context_line_flushes(parse):
         line(1, 1, "").replace("LOG:  ", "STATEMENT:  SELECT  raw"),
         line(2, 1, "duration: 1.2.3 ms"),
     ]
-    df = correlate_by_process_order(typed_events(parse(lines)), None).orderBy("record_index")
+    df = with_shapes(correlate_by_process_order(typed_events(parse(lines)), None)).orderBy("record_index")
     rows = df.select("shape", "parsed", "duration_ms").collect()
     assert [tuple(r) for r in rows] == [("SELECT ?", True, None), ("SELECT  raw", False, 0.0)]
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import BASELINE_LOG, RDS_LOG, SAMPLE_LOG, TARGET_LOG
+from log_samples import BASELINE_LOG, RDS_LOG, SAMPLE_LOG, TARGET_LOG
 from pyspark.sql import functions as F
 
 from querylens.operators.diff import DiffOptions, slow_query_diff
@@ -184,7 +184,7 @@ def test_diff_of_executions_needs_both_windows_only_by_column(parse):
 
 def test_next_sql_escapes(spark):
     df = spark.createDataFrame(
-        [("select * from orders where note = 'abc_%'", None, "app_db", "app'user", "api%worker"),
+        [("SELECT pot FROM shed WHERE label LIKE '5%_x\\'", None, "garden", "o'neil", "till_7%"),
          ("SELECT ?", "42", None, None, None)],
         "sql string, queryid string, db string, usr string, app string",
     )
@@ -192,7 +192,7 @@ def test_next_sql_escapes(spark):
         next_sql(*[F.col(c) for c in ("sql", "queryid", "db", "usr", "app")]).alias("n")
     ).collect()
     first, second = [r.n for r in texts]
-    assert "note = ''abc\\_\\%''%' order by" in first[0]
-    assert "where datname = 'app_db' and usename = 'app''user' and application_name = 'api%worker' order" in first[1]
+    assert "label LIKE ''5\\%\\_x\\\\''%' order by" in first[0]
+    assert "where datname = 'garden' and usename = 'o''neil' and application_name = 'till_7%' order" in first[1]
     assert second[0].endswith("from pg_stat_statements where queryid = 42;")
     assert "where state <> 'idle' order by" in second[1]

@@ -4,7 +4,7 @@ import json
 from datetime import datetime, timezone
 
 import pytest
-from conftest import RDS_LOG, SAMPLE_LOG
+from log_samples import RDS_LOG, SAMPLE_LOG
 
 from querylens.plans.investigate import top_families
 from querylens.sources import cloudwatch, files

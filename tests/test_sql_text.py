@@ -73,6 +73,13 @@ def test_raw_text_is_kept_when_not_parsed(spark):
     ("SELECT u.name FROM users u WHERE", False), ("SELECT (1", False), ("SELECT 'abc", False), ("INSERT INTO t VALUES (1,", False),
     ("hello world", False), ("SELECT a FROM t ORDER BY", False), ("UPDATE t SET a =", False), ("", False),
     ("SELECT '(' , E'\\'(' FROM t", True), ("SELECT \"a(\" FROM t", True),
+    ("SELECT a FROM t FOR UPDATE", True), ("select a from t for  update;", True), ("SELECT a FROM t FOR NO KEY UPDATE", True),
+    ("INSERT INTO t DEFAULT VALUES", True), ("INSERT INTO t default values ;", True), ("VACUUM FULL", True),
+    ("VACUUM ANALYZE FULL", True), ("ALTER TABLE t REPLICA IDENTITY FULL", True), ("SET a = on", True), ("SET a TO ON", True),
+    ("SET LOCAL a=ON;", True), ("SELECT a FROM t FOR UPDATE OF t", True), ("SELECT a FROM t FOR SHARE", True),
+    ("SELECT a FROM t FOR", True), ("INSERT INTO t VALUES", False), ("INSERT INTO t (a) VALUES", False),
+    ("SELECT a FROM t JOIN u ON", False), ("SELECT a FROM t LEFT JOIN u ON t.a = u.a AND", False), ("UPDATE", False),
+    ("SELECT a FROM t FULL", False), ("SELECT xfor update", False), ("/* a */ -- b\n SELECT 1", True),
 ])
 def test_text_that_cannot_be_sql(spark, sql, could_be):
     df = spark.createDataFrame([(sql,)], "sql string")
@@ -125,6 +132,10 @@ CLASSES = [
     ("rollback", "OTHER", "OTHER", "TRANSACTION"),
     ("EXPLAIN SELECT 1", "OTHER", "OTHER", "OTHER"),
     ("VACUUM", "OTHER", "OTHER", "OTHER"),
+    ("/* app=x */ SELECT 1", "SELECT", "OTHER", "OTHER"),
+    ("/* a /* b */ c */ -- d\n (UPDATE t SET a = 1", "UPDATE", "OTHER", "OTHER"),
+    ("--\nDROP TABLE t", "DDL", "OTHER", "OTHER"),
+    ("/* only */", "OTHER", "OTHER", "OTHER"),
 ]
 
 
