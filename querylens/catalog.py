@@ -509,6 +509,18 @@ def correlate_executions(spark, sf):
     )
 
 
+# Rows from which on a backend is cut into lanes, in the query that shows them.
+LANE_ROWS = 50
+
+
+@query
+def correlate_bursty_backend(spark, sf):
+    """A backend with one early record and a late burst, paired in lanes."""
+    lines = derived.bursty_lines(spark, sf)
+    paired = executions_from_lines(lines, hot_rows=LANE_ROWS, line_count=derived.line_count(spark, sf))
+    return paired.select("execution_id", "process_id", "duration_ms", "emit_index", references("evidence").alias("evidence"))
+
+
 @query
 def correlation_confidence(spark, sf):
     return executions(spark, sf, "rds").select(

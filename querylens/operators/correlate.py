@@ -10,9 +10,9 @@ share it, then a filter to the statement rows; nothing is aggregated.
 
 A backend with very many records would make that one task.  Such backends are
 cut into lanes at statement boundaries, where no wait can cross: the records of
-a backend are sliced evenly, a lane runs from the first statement of one slice to
-the first statement of the next slice that has any.  The side tables have about
-(all records / ``HOT_ROWS``) rows.
+a backend are cut into slices of about equally many rows (``sliced``), a lane runs
+from the first statement of one slice to the first statement of the next slice that
+has any.  The side tables have some tens of (all records / ``HOT_ROWS``) rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from querylens.session import broadcast_if_small, kept, settled
 
 BACKEND = ("source_window", "process_id")
 HOT_ROWS = 4_000_000
+# Each refinement of a histogram cuts a bin into 2 ** REFINED.
+REFINED = 5
 
 Correlator = Callable[[DataFrame], DataFrame]
 
@@ -35,26 +37,71 @@ def _is_statement() -> Column:
 
 
 def hot_backends(paired: DataFrame, hot_rows: int) -> DataFrame:
-    """Backends above ``hot_rows`` records and how many slices each is cut into."""
+    """Backends above ``hot_rows`` records, with their records' range."""
     return (
         paired.groupBy(*BACKEND)
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.min("record_index").alias("hot_first"),
-            F.max("record_index").alias("hot_last"),
+            F.min("record_index").alias("first"),
+            F.max("record_index").alias("last"),
         )
         .where(F.col("rows") > hot_rows)
-        .select(
-            *BACKEND,
-            "hot_first",
-            "hot_last",
-            F.ceil(F.col("rows") / F.lit(hot_rows)).cast("bigint").alias("hot_slices"),
-        )
     )
 
 
-def lane_table(paired: DataFrame, hot: DataFrame) -> DataFrame:
-    """How the slices of hot backends make lanes; one row per slice.
+def histogram(paired: DataFrame, hot: DataFrame, hot_rows: int) -> list[tuple[int, DataFrame]]:
+    """Bins of the hot backends' record ranges with their rows, by bin width (2 ** shift): no bin over hot_rows / 2.
+
+    Bins start wide, and what is too full is counted again ``REFINED`` times finer, so records that come late in
+    one burst are told apart as well as evenly spread ones, and a backend has bins in proportion to its rows.
+    """
+    reach = hot.agg(F.max("last")).first()[0]
+    shift = max(int(reach or 0).bit_length() - REFINED, 0)
+    full = hot.select(*BACKEND, F.lit(0).cast("bigint").alias("within"))
+    within = F.lit(0).cast("bigint")
+    bins = []
+    while True:
+        inside = paired.select(*BACKEND, "record_index", within.alias("within")).join(
+            broadcast_if_small(full), [*BACKEND, "within"]
+        )
+        counted = settled(
+            inside.groupBy(*BACKEND, F.shiftright("record_index", shift).alias("bin")).agg(
+                F.count(F.lit(1)).alias("rows")
+            )
+        )
+        over = (2 * F.col("rows") > hot_rows) & F.lit(shift > 0)
+        bins.append((shift, counted.where(~over)))
+        full = counted.where(over).select(*BACKEND, F.col("bin").alias("within"))
+        if full.isEmpty():
+            return bins
+        within, shift = F.shiftright("record_index", shift), max(shift - REFINED, 0)
+
+
+def sliced(paired: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
+    """Records with the slice they are in; NULL for backends that are not hot.
+
+    Slices follow the running count of the bins, so each has at most one and a half times ``hot_rows`` records.
+    """
+    bins = histogram(paired, hot, hot_rows)
+    every = None
+    for shift, level in bins:
+        level = level.withColumns({"shift": F.lit(shift), "low": F.shiftleft("bin", shift)})
+        every = level if every is None else every.unionByName(level)
+    before = Window.partitionBy(*BACKEND).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("rows").over(before), F.lit(0))
+    slices = settled(every.select(*BACKEND, "shift", "bin", F.floor(ahead / hot_rows).alias("in_slice")))
+    found = F.lit(None).cast("bigint")
+    for shift, _ in bins:
+        level = slices.where(F.col("shift") == shift).select(*BACKEND, "bin", F.col("in_slice").alias(f"_slice_{shift}"))
+        paired = paired.withColumn("bin", F.shiftright("record_index", shift)).join(
+            broadcast_if_small(level), [*BACKEND, "bin"], "left"
+        )
+        found = F.coalesce(found, F.col(f"_slice_{shift}"))
+    return paired.withColumn("slice", found).drop("bin", *[f"_slice_{shift}" for shift, _ in bins])
+
+
+def lane_table(records: DataFrame) -> DataFrame:
+    """How the slices of hot backends make lanes; one row per slice.  ``records`` carry their slice.
 
     Two narrow passes over the records of the hot backends:
 
@@ -64,9 +111,7 @@ def lane_table(paired: DataFrame, hot: DataFrame) -> DataFrame:
        that open statement; all other durations there can never pair, so a run
        of millions of durations without a statement adds one row per slice.
     """
-    busy = paired.join(hot, list(BACKEND)).select(
-        *BACKEND, "record_index", "ts", "kind", slice_number().alias("slice")
-    )
+    busy = records.where("slice IS NOT NULL").select(*BACKEND, "record_index", "ts", "kind", "slice")
     slices = busy.groupBy(*BACKEND, "slice").agg(
         F.min(F.when(_is_statement(), F.col("record_index"))).alias("first_statement"),
         F.max_by("ts", F.when(_is_statement(), F.col("record_index"))).alias("last_ts"),
@@ -103,29 +148,18 @@ def _in_front() -> Column:
     )
 
 
-def slice_number() -> Column:
-    """Equal-width slice of a hot backend's record range; NULL for other backends."""
-    return F.expr(
-        "CAST(FLOOR((record_index - hot_first) / ((hot_last - hot_first + 1) / hot_slices))"
-        " AS BIGINT)"
-    )
-
-
 def _with_lane(paired: DataFrame, hot_rows: int | None) -> DataFrame:
     """Records with the lane they are paired in; lane -1 is a whole backend."""
-    sizes = hot_backends(paired, hot_rows) if hot_rows else None
-    if sizes is None or sizes.isEmpty():
+    if not hot_rows or hot_backends(paired, hot_rows).isEmpty():
         return paired.withColumns(
             {"lane": F.lit(-1).cast("bigint"), "next_cut": F.lit(None).cast("bigint")}
         )
-    # Three more passes follow, so the records are parsed once and kept.
+    # Several more passes follow, so the records are parsed once and kept.
     paired = kept(paired, "paired-records")
-    hot = broadcast_if_small(settled(hot_backends(paired, hot_rows)))
-    lanes = broadcast_if_small(lane_table(paired, hot))
+    records = sliced(paired, settled(hot_backends(paired, hot_rows)), hot_rows)
+    lanes = broadcast_if_small(lane_table(records))
     return (
-        paired.join(hot, list(BACKEND), "left")
-        .withColumn("slice", slice_number())
-        .join(lanes, [*BACKEND, "slice"], "left")
+        records.join(lanes, [*BACKEND, "slice"], "left")
         .where(
             F.col("slice").isNull() | ~_in_front() | (F.col("record_index") == F.col("closer"))
         )

@@ -54,6 +54,10 @@ lg AS (
   FROM ev)
 """
 DEFAULT = LOG.format(ts="ts", app="'app' || (user_id % 4)")
+BURSTY = DEFAULT.replace(
+    "CAST(user_id AS VARCHAR) AS pid",
+    "CASE WHEN event_id = 0 OR event_id >= (SELECT count(*) FROM ev) * 2 // 3 THEN '0' ELSE CAST(user_id AS VARCHAR) END AS pid",
+)
 BUSY_VALUE = f"value * CASE WHEN hour(ts) IN {BUSY_HOURS} THEN {BUSY_FACTOR} ELSE {FACTOR} END"
 BUSY = DEFAULT.replace("printf('%.3f', value)", f"printf('%.3f', {BUSY_VALUE})")
 RDS = LOG.format(ts="date_trunc('second', ts)", app="CAST(NULL AS VARCHAR)")
@@ -523,6 +527,9 @@ SELECT fam AS family_id, {BY_TEXT} AS by_text, {ACTIVITY} AS activity FROM tot""
   CASE kind WHEN 'Statement' THEN stmt WHEN 'Duration' THEN '' ELSE msg END AS text FROM lg""",
     "correlate_executions": f"""WITH {DEFAULT}{EXECUTIONS} SELECT 'stderr:' || ri AS execution_id,
   ts, pid AS process_id, stmt AS statement, ms AS duration_ms FROM ex""",
+    "correlate_bursty_backend": f"""WITH {BURSTY}{EXECUTIONS} SELECT 'stderr:' || ri AS execution_id,
+  pid AS process_id, ms AS duration_ms, emit_index,
+  'Stderr:' || ri || coalesce(',Stderr:' || dri, '') AS evidence FROM ex""",
     "correlation_confidence": f"""WITH {RDS}{EXECUTIONS} SELECT 'aws-rds:' || ri AS execution_id,
   conf AS confidence, 'AwsRds:' || ri || coalesce(',AwsRds:' || dri, '') AS evidence FROM ex""",
     "execution_order": f"""WITH {RDS}{EXECUTIONS} SELECT 'aws-rds:' || ri AS execution_id, ts,

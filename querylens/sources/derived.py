@@ -134,10 +134,11 @@ def truncated_message() -> Column:
     )
 
 
-def _default_prefix() -> Column:
+def _default_prefix(process: Column | None = None) -> Column:
     user = F.col("user_id")
     return F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC ["), user.cast("string"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" UTC ["),
+        user.cast("string") if process is None else process,
         F.lit("] u"), (user % 5).cast("string"), F.lit("@db"), (user % 3).cast("string"),
         F.lit(" app"), (user % 4).cast("string"), F.lit(": "),
     )
@@ -169,6 +170,13 @@ def log_lines(
     )
 
 
+def bursty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with one backend that has the first record and, after a silence, the last third of all."""
+    late = line_count(spark, sf_dir) * 2 // 3
+    process = F.when((F.col("event_id") == 0) | (F.col("event_id") >= late), "0").otherwise(F.col("user_id").cast("string"))
+    return custom_lines(spark, sf_dir, F.concat(_default_prefix(process), message()))
+
+
 def two_window_lines(spark: SparkSession, sf_dir: str, style: str = "default") -> DataFrame:
     """Baseline (before 16 January 2024) and target lines, each counted from 0."""
     rows = events_table(spark, sf_dir).withColumn(

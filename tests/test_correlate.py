@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from querylens.operators.correlate import (
+    REFINED,
     correlate_by_process_order,
+    histogram,
     hot_backends,
     lane_table,
+    sliced,
 )
 from querylens.operators.events import typed_events, with_shapes
 
@@ -151,8 +154,38 @@ def test_lanes_split_the_hot_backend(parse):
     )
     hot = hot_backends(events, 60)
     assert "1" in {r.process_id for r in hot.collect()}
-    lanes = lane_table(events, hot).where("process_id = '1'").orderBy("slice").collect()
+    lanes = lane_table(sliced(events, hot, 60)).where("process_id = '1'").orderBy("slice").collect()
     assert len(lanes) >= 3
     firsts = [r.first_statement for r in lanes if r.first_statement is not None]
     assert firsts == sorted(firsts)
     assert [r.next_cut for r in lanes if r.first_statement is not None] == firsts[1:] + [None]
+
+
+def burst(seed, size):
+    """One early record of backend 1 and, after a long silence, nothing but its records."""
+    rng = random.Random(seed)
+    quiet = [(rng.randint(2, 9), rng.choice("SD"), i, None if rng.random() < 0.5 else 4.0) for i in range(size * 3)]
+    quiet = [(pid, kind, ts, ms if kind == "S" else 4.0) for pid, kind, ts, ms in quiet]
+    loud = [(1, "S" if rng.random() < 0.6 else "D", 3 * size + i, None) for i in range(size)]
+    loud = [(pid, kind, ts, None if kind == "S" else 7.0) for pid, kind, ts, _ in loud]
+    return [(1, "S", 0, None), *quiet, *loud]
+
+
+@pytest.mark.parametrize("hot_rows", [7, 50])
+def test_late_burst_is_cut_evenly(parse, hot_rows):
+    events = burst(3, 300)
+    assert pair(parse, rendered(events), hot_rows) == machine(events)
+    typed = typed_events(parse(rendered(events))).where(F.col("kind").isin("Statement", "Duration"))
+    counts = sliced(typed, hot_backends(typed, hot_rows), hot_rows).where("process_id = '1'").groupBy("slice").count().collect()
+    assert sum(r["count"] for r in counts) == 301
+    assert max(r["count"] for r in counts) <= 1.5 * hot_rows
+    assert len(counts) <= 301 / hot_rows + 1
+
+
+def test_bins_follow_rows_not_the_range(spark):
+    """A range of 2 ** 40 records with a burst at its end: few bins, none too full."""
+    rows = [("w", "1", 0), ("w", "1", 77)] + [("w", "1", (1 << 40) + i) for i in range(400)] + [("w", "2", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "source_window string, process_id string, record_index bigint")
+    bins = histogram(df, hot_backends(df, 40), 40)
+    counted = [r.rows for _, level in bins for r in level.collect()]
+    assert sum(counted) == 402 and max(counted) <= 20 and len(counted) <= 2**REFINED * 402 / 20
