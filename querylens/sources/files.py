@@ -16,19 +16,23 @@ import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import broadcast_if_small, kept, settled
+from querylens.session import broadcast_if_small, kept, scratch_path, settled
 
 SPLIT = ("source_window", "file", "block_start")
 # Paths in a list file, and how many are looked up at once.
 MAX_LISTED = 1_000_000
 STATUS_THREADS = 32
-# Files whose heads are read one by one.
+# Files whose heads one job reads, each by a limit of its own, and jobs at a time.
 HEAD_FILES = 256
+HEAD_JOBS = 4
+_splits_changed = RLock()
 # What counts as a log file in a directory.
 LOG_FILE_NAME = r"(?i)^(?:.+\.(?:log|txt)|\.?[^.]*(?:postgres|pg)[^.]*)$"
 
@@ -169,9 +173,9 @@ def _file_order() -> Column:
 def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None) -> DataFrame:
     """One row per split: first place, rows before it in the file and in earlier files.
 
-    Files with a broken row are left out.  The last window runs over all splits
-    of a log in one task: a row per split of 128 MB or so, as many as the driver
-    schedules tasks for anyway.
+    Files with a broken row are left out.  Rows before a split are summed in two levels
+    (``running_rows``), so no task holds the splits of a whole log; a window over one
+    file's splits has a row per 128 MB of it.
     """
     broken = F.lit(False) if broken is None else broken
     splits = rows.groupBy(*SPLIT).agg(
@@ -180,7 +184,6 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
         F.max(broken.cast("int")).alias("broken"),
     )
     file = Window.partitionBy("source_window", "file")
-    log = Window.partitionBy("source_window").orderBy("file_order", "block_start")
     before = (Window.unboundedPreceding, -1)
     splits = splits.select(
         "*",
@@ -188,22 +191,38 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
         F.sum("rows").over(file.orderBy("block_start").rowsBetween(*before)).alias("in_file"),
         _file_order().alias("file_order"),
     ).where(F.col("file_broken") == 0)
-    placed = splits.select(
-        *SPLIT,
-        "first_row",
-        F.coalesce("in_file", F.lit(0)).alias("before_split"),
-        F.coalesce(F.sum("rows").over(log.rowsBetween(*before)), F.lit(0)).alias("in_log"),
-    )
+    placed = running_rows(splits, ("source_window",), ("file_order", "block_start"))
+    before_split = F.coalesce("in_file", F.lit(0))
     return settled(
         placed.select(
             *SPLIT,
             "first_row",
-            "before_split",
-            (F.col("in_log") - F.col("before_split")).alias("before_file"),
+            before_split.alias("before_split"),
+            (F.col("in_log") - before_split).alias("before_file"),
         )
     )
 
 
+def running_rows(counted: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Add ``in_log``: the sum of ``rows`` over what comes before, per key, however many rows there are.
+
+    Ranges of the order are summed first; the sums of earlier ranges (one row per key and range) are added to the
+    running sum inside each range.
+    """
+    ranges = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down once: where ranges begin is drawn from a sample.
+    dealt = settled(counted.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    before = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*before)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("rows").alias("rows"))
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*before)
+    here = F.coalesce(F.sum("rows").over(inside), F.lit(0))
+    return dealt.join(broadcast_if_small(settled(sums)), [*keys, "_range"]).withColumn(
+        "in_log", here + F.col("_earlier")
+    ).drop("_range", "_earlier")
+
+
 @contextmanager
 def _split_per_task(spark: SparkSession):
     """Plan scans with whole files (up to a terabyte) as splits, one split to a task."""
@@ -212,6 +231,7 @@ def _split_per_task(spark: SparkSession):
         "spark.sql.files.openCostInBytes": str(1 << 40),
         "spark.sql.files.maxPartitionNum": None,
     }
+    _splits_changed.acquire()
     before = {key: spark.conf.get(key, None) for key in ours}
     try:
         for key, value in ours.items():
@@ -220,36 +240,40 @@ def _split_per_task(spark: SparkSession):
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        _splits_changed.release()
 
 
 def landed_heads(lines: DataFrame, size: int) -> DataFrame:
     """The first ``size`` lines of every file of one window, written to the shared folder.
 
-    Up to HEAD_FILES files each get a limit of their own, and a limit stops its task,
-    so what is read is bounded by the heads.  More files are read whole: then the
-    heads are no small part of them, or sampling does not pay.
+    Each file has a limit of its own, and a limit stops its task, so what is read is
+    bounded by the heads.  Files are dealt to jobs, HEAD_FILES to each.
     """
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
-    place = (F.col("block_start"), F.col("_row"))
-    with _split_per_task(lines.sparkSession):
-        # Spark lists files as file:///x and tells a row its file as file:/x.
-        names = sorted({re.sub("^([a-z0-9]+):///", r"\1:/", name) for name in lines.inputFiles()})
-        if len(names) > HEAD_FILES:
-            first = Window.partitionBy("source_window", "file").orderBy(*place)
-            ranked = lines.withColumn("_n", F.row_number().over(first))
-            return kept(ranked.where(F.col("_n") <= size).drop("_n"), "heads")
-        # Without the row number the file's name prunes the scan; it is given anew behind
-        # the limit, which keeps the order of the file's one split.
-        bare = lines.drop("_row")
+    spark = lines.sparkSession
+    path = scratch_path(spark, "heads")
+    # Without the row number the file's name prunes the scan; it is given anew behind
+    # the limit, which keeps the order of the file's one split.
+    bare = lines.drop("_row")
+
+    def land(names: list[str]) -> None:
         heads = [
             bare.where(F.col("file") == name).limit(size).withColumn("_row", row_in_task())
             for name in names
         ]
-        every = heads[0] if heads else lines.limit(0)
-        for more in heads[1:]:
-            every = every.union(more)
-        return kept(every.select(*lines.columns), "heads")
+        reduce(DataFrame.union, heads).select(*lines.columns).write.mode("append").parquet(path)
+
+    with _split_per_task(spark):
+        # Spark lists files as file:///x and tells a row its file as file:/x.
+        names = sorted({re.sub("^([a-z0-9]+):///", r"\1:/", name) for name in lines.inputFiles()})
+        jobs = [names[k : k + HEAD_FILES] for k in range(0, len(names), HEAD_FILES)]
+        if not jobs:
+            return lines.limit(0)
+        land(jobs[0])
+        with ThreadPoolExecutor(HEAD_JOBS) as pool:
+            list(pool.map(land, jobs[1:]))
+    return spark.read.schema(lines.schema).parquet(path)
 
 
 def head_sample(lines: DataFrame, size: int | None) -> DataFrame:

@@ -104,6 +104,43 @@ def test_a_sample_reads_heads_only(spark, tmp_path):
     assert read < (tmp_path / "a.log").stat().st_size / 4
 
 
+def test_heads_of_many_files(spark, tmp_path, monkeypatch):
+    """Several jobs, and still no file is read beyond its head."""
+    monkeypatch.setattr(files, "HEAD_FILES", 8)
+    rows = {f"f{i:02d}__log": big_log(3_000 + i) for i in range(20)}
+    folder = write(tmp_path, **rows, big__log=big_log(5_000) * 200)
+    lines = files.directory_lines(spark, folder)
+    before = {s.stageId() for s in stages(spark)}
+    heads = files.head_sample(lines, 5)
+    read = sum(s.inputBytes() for s in stages(spark) if s.stageId() not in before)
+    assert read < sum(p.stat().st_size for p in tmp_path.iterdir()) / 4
+    numbered = files.numbered_lines(heads, landed=True).collect()
+    assert len(numbered) == 5 * 21 and {r.line_no for r in numbered} == set(range(5))
+    for name in ("f00.log", "f13.log", "big.log"):
+        mine = sorted((r.line_no, r.value) for r in numbered if r.file.endswith(name))
+        assert [v for _, v in mine] == (tmp_path / name).read_text().split("\n")[:5]
+
+
+@pytest.mark.parametrize("ranges", ["1", "3", "8"])
+def test_running_rows_of_two_levels(spark, ranges):
+    import random
+
+    rng = random.Random(1)
+    rows = [(w, [rng.choice("abc"), str(i % 7)], i, rng.randint(0, 5)) for w in ("x", "y") for i in range(200)]
+    df = spark.createDataFrame(rows, "w string, path array<string>, at bigint, rows bigint").repartition(5)
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = {(r.w, r["at"]): r.in_log for r in files.running_rows(df, ("w",), ("path", "at")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", default)
+    for w in ("x", "y"):
+        total = 0
+        for _, _, at, n in sorted(r for r in rows if r[0] == w):
+            assert got[w, at] == total
+            total += n
+
+
 def stages(spark):
     store = spark.sparkContext._jsc.sc().statusStore()
     found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
