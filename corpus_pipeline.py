@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Rows without doc_id are scored and deduplicated like others; they pass near-dedup, which needs ids, untouched.
-Rows that repeat a doc_id with the same text are decided alike by every stage.
+Stages decide about rows, not about ids: rows whose doc_id is null or shared are told apart by numbers drawn for
+them (``with_row_ids``), which come after all ids. So of rows repeated whole one stays, rows that share an id but
+not the text are decided each for itself, and rows without id are deduplicated like others.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm.common import documents, kept
+from querylens.llm.common import documents, kept, with_row_ids
 from querylens.llm.exact_dedup import exact_groups
 from querylens.llm.mixing import sampled
 from querylens.llm.near_dedup import near_classes
@@ -19,10 +20,12 @@ from querylens.llm.quality import accepted, fit_quality
 from querylens.llm.sentence_pieces import encoded, model_bytes
 
 
-def _only(docs: DataFrame, decided: DataFrame, column: str) -> DataFrame:
-    """Rows whose id was decided for."""
-    ids = decided.where(column).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _decided(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], column: str) -> DataFrame:
+    """The rows that an operator decides for; it is given a table whose doc_id is unique."""
+    rows = with_row_ids(docs)
+    decisions = decide(rows.withColumn("doc_id", F.col("_row_id")).drop("_row_id"))
+    ids = decisions.where(column).select(F.col("doc_id").alias("_row_id"))
+    return rows.join(ids, "_row_id", "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +35,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space."""
-    return _only(docs, exact_groups(docs), "kept")
+    return _decided(docs, exact_groups, "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts alike by four fifths of their five-word shingles."""
-    return _only(docs, near_classes(docs), "kept")
+    return _decided(docs, near_classes, "kept")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet target shares of sources, languages and topics."""
-    return _only(docs, sampled(docs), "sampled")
+    return _decided(docs, sampled, "sampled")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return encoded(docs, model_bytes(), spans=False).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """Token ids of every document, the bytes each piece came from, and the text decoded from the ids."""
+    return encoded(docs, model_bytes(), decoded=True).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -19,7 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY_SHARE = 1000
 
 __all__ = [
-    "HEAVY_SHARE", "SPACE", "WORD", "bucket_of", "documents", "join_groups", "kept", "text_buffers", "whole_text",
+    "HEAVY_SHARE", "SPACE", "WORD", "bucket_of", "documents", "join_groups", "kept", "text_buffers",
+    "whole_text", "with_row_ids",
 ]
 
 
@@ -68,3 +69,29 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     at_home = rows.where(few).join(F.broadcast(groups.where(few)), keys)
     moved = rows.where(~few).join(groups.where(~few), keys)
     return at_home.unionByName(moved.select(*at_home.columns))
+
+
+def with_row_ids(docs: DataFrame, name: str = "_row_id") -> DataFrame:
+    """Add a bigint that no other row has: doc_id, but for rows whose doc_id is null or not theirs alone.
+
+    Those rows get numbers beyond all ids, so that they come last where the smallest id is preferred. The numbers
+    are drawn once and written down with the rows; where every id is unique nothing is written.
+    """
+    ident = F.col("doc_id").cast("bigint")
+    counts = docs.groupBy(ident.alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    shared = kept(counts.where("_id IS NULL OR _n > 1"), "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn(name, ident)
+    total, high = docs.agg(F.count(F.lit(1)), F.max(ident)).first()
+    beyond = max(high or 0, 0) + 1
+    if beyond >= 1 << 62:
+        raise ValueError("no room for row numbers beyond the ids")
+    # Ids of at least one row in HEAVY_SHARE, and null, are few; their rows stay where they are.
+    heavy = shared.where((F.col("_id").isNotNull()) & (F.col("_n") * HEAVY_SHARE >= total)).select("_id").collect()
+    at_home = ident.isNull() | (ident.isin([r[0] for r in heavy]) if heavy else F.lit(False))
+    at_home = F.coalesce(at_home, F.lit(True))
+    known = shared.where("_id IS NOT NULL").select("_id", F.lit(True).alias("_shared"))
+    moved = docs.where(~at_home).withColumn("_id", ident).join(known, "_id", "left").drop("_id")
+    every = docs.where(at_home).withColumn("_shared", F.lit(True)).unionByName(moved)
+    drawn = F.lit(beyond) + F.monotonically_increasing_id()
+    return kept(every.withColumn(name, F.when(F.col("_shared"), drawn).otherwise(ident)).drop("_shared"), "numbered")

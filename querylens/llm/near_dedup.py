@@ -3,8 +3,8 @@
 A document's set is its distinct k-word shingles (ASCII letters lower-cased), as 64-bit hashes. All signature
 coordinates come from two permutations: the first, s, scatters shingles over 2**32 places, and coordinate k is
 the least p(s(x) + k mod 2**32) over the set, one second permutation p shifted circularly. Documents that agree
-in all ``ROWS`` coordinates of one of ``BANDS`` bands meet in a bucket; two documents of similarity 0.85 miss
-every bucket once in about four million pairs.
+in all coordinates of one of the bands meet in a bucket; bands and their rows are chosen so that two documents at
+the limit of similarity miss every bucket at most once in 1 / ``MISSED`` pairs (``bands_for``).
 
 Links are confirmed on full sets, without comparing all pairs of a bucket:
 
@@ -27,6 +27,8 @@ component null, kept. Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from querylens.llm.common import documents, join_groups, kept, text_buffers, whole_text
 from querylens.llm.words import blocks, mixed, word_hashes
 
-BANDS, ROWS = 32, 6
+# Coordinates at most, and how rarely a pair at the limit may share no bucket.
+COORDINATES, MISSED = 192, 3e-7
 SMALL = 400
 # Shingles sent to one site, and distinct shared shingles of a small bucket handled at a time.
 SITE_SHINGLES = 150_000
@@ -67,10 +70,18 @@ def shingle_sets(array: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates of a non-empty set."""
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows a band may have for a limit of percent / 100, and as many bands as that takes."""
+    for rows in range(8, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log(1 - min(percent / 100, 0.999) ** rows))
+        if bands * rows <= COORDINATES or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def signature(shingles: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """n coordinates of a non-empty set."""
     places = (mixed(shingles ^ _ODD[0]) >> np.uint64(32)).astype(np.uint32)
-    n = BANDS * ROWS
     least = np.full(n, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(places), 4096):
         part = places[at : at + 4096]
@@ -86,10 +97,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[1]
-    for i in range(ROWS):
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    rows = least.reshape(bands, -1).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _ODD[1]
+    for i in range(rows.shape[1]):
         key = mixed(key ^ (rows[:, i] + np.uint64(1)) * _ODD[2])
     return key.view(np.int64)
 
@@ -101,12 +112,12 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, n_bands: int, n_rows: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
             keys = [set_key(s) for s in sets]
-            bands = [band_keys(signature(s)) if len(s) else [] for s in sets]
+            bands = [band_keys(signature(s, n_bands * n_rows), n_bands) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -405,14 +416,15 @@ def linked_nodes(docs: DataFrame, rows: DataFrame, n_rows: int, k: int, percent:
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Links: Jaccard similarity of at least percent / 100."""
     key = ["n_shingles", "set_a", "set_b"]
-    prints = kept(signatures(docs, k), "signatures")
+    n_bands, n_rows = bands_for(percent)
+    prints = kept(signatures(docs, k, n_bands, n_rows), "signatures")
     named = prints.where("doc_id is not null")
     nodes = kept(
         named.groupBy(*key).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_same"), F.first("bands").alias("bands")), "nodes"
     )
     sized = nodes.where("n_shingles > 0")
     n_nodes = sized.count()
-    labels = linked_nodes(docs, sized.select(F.explode("bands").alias("key"), "id"), n_nodes * BANDS, k, percent)
+    labels = linked_nodes(docs, sized.select(F.explode("bands").alias("key"), "id"), n_nodes * n_bands, k, percent)
     if labels is None:
         labels = nodes.limit(0).select("id", F.col("id").alias("label"))
     full = nodes.drop("bands").join(labels, "id", "left").withColumn("component_id", F.coalesce("label", "id"))

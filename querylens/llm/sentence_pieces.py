@@ -470,8 +470,13 @@ def texts_encoded(m: Model, array: pa.Array) -> Iterator[tuple[np.ndarray, np.nd
             yield ids, np.concatenate([[0], np.cumsum(fast.in_source[ids]) - 1]) if b > a else np.zeros(1, np.int64), True
 
 
-def encoded(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
-    """Per row: its columns but text, ids (with begin and end), and each piece's original byte span."""
+def decoded_bytes(m: Model, ids: np.ndarray, fast: bool) -> bytes:
+    """The decoded text of ids with begin and end; ``fast``: they were encoded the fast way."""
+    return m.batch.decode(ids[~np.isin(ids, sorted(m.control))])[1:] if fast else m.decode(ids.tolist()).encode()
+
+
+def encoded(docs: DataFrame, model: bytes, spans: bool = True, decoded: bool = False) -> DataFrame:
+    """Per row: its columns but text, ids (with begin and end), each piece's original byte span, and the decoded text."""
 
     def run(batches):
         m = loaded(model)
@@ -481,13 +486,15 @@ def encoded(docs: DataFrame, model: bytes, spans: bool = True) -> DataFrame:
             columns = [batch.column("_row"), pa.array(ids, pa.list_(pa.int32()))]
             if spans:
                 columns += [pa.array([e[:-1] for _, e, _ in rows], pa.list_(pa.int64())), pa.array([e[1:] for _, e, _ in rows], pa.list_(pa.int64()))]
+            if decoded:
+                columns.append(pa.array([decoded_bytes(m, i, fast).decode() for i, (_, _, fast) in zip(ids, rows)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["_row", "ids", "begins", "ends"][: 4 if spans else 2]
+    names = ["_row", "ids", *["begins", "ends"] * spans, *["decoded"] * decoded]
     others = [c for c in docs.columns if c not in ("text", *names[1:])]
     rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("_row"), whole_text().alias("_text"))
     kinds = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_row {kinds}, ids array<int>" + ", begins array<bigint>, ends array<bigint>" * spans)
+    out = rows.mapInArrow(run, f"_row {kinds}, ids array<int>" + ", begins array<bigint>, ends array<bigint>" * spans + ", decoded string" * decoded)
     return out.select("_row.*", *names[1:])
 
 
@@ -496,12 +503,11 @@ def digests(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches):
         m = loaded(model)
-        control = np.array(sorted(m.control))
         for batch in batches:
             counts, id_digests, text_digests, spans = [], [], [], []
             for ids, edges, fast in texts_encoded(m, batch.column("text")):
                 ids = np.concatenate([[m.begin], ids, [m.end]])
-                text = m.batch.decode(ids[~np.isin(ids, control)])[1:] if fast else m.decode(ids.tolist()).encode()
+                text = decoded_bytes(m, ids, fast)
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_digests.append(hashlib.sha256(text).hexdigest())

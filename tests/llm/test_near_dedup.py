@@ -106,3 +106,10 @@ def test_signature_estimates_similarity():
     x = random.integers(0, 2**63, 4000).astype(np.uint64)
     a, b = np.unique(x[:3000]), np.unique(x[1000:])
     assert abs((n.signature(a) == n.signature(b)).mean() - 0.5) < 0.12
+
+
+def test_bands_follow_the_limit():
+    for percent in (50, 70, 80, 85, 95, 100):
+        bands, rows = n.bands_for(percent)
+        assert (1 - min(percent / 100, 0.999) ** rows) ** bands <= n.MISSED and bands * rows <= n.COORDINATES
+    assert n.bands_for(85) == (32, 6) and n.bands_for(80) == (38, 5)

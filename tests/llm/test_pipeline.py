@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pytest
 import sentencepiece
-from conftest_llm import duck_rows
+from conftest import WORD, order_of
+from conftest_llm import canonical_rows, duck_rows
 
 import corpus_pipeline as c
+from querylens.llm.common import with_row_ids
 from querylens.llm.mixing import OP1_SQL
 from querylens.llm.quality import fit_quality, quality_scores
 
@@ -36,13 +39,59 @@ def test_stages_against_brute_force(spark):
     texts = {r[0]: r[1] for r in inputs["encoding"]}
     for r in steps[-1][2].collect():
         assert r.ids == library.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True) and r.n_tokens == len(r.ids)
+        assert r.decoded == library.decode(r.ids)
+        raw = (texts[r.doc_id] or "").encode()
+        assert b"".join(raw[a:b] for a, b in zip(r.begins, r.ends)) == raw
     assert ids["encoding"] == ids["mixing"]
     assert {r.doc_id for r in c.run(spark, SF).collect()} == ids["encoding"]
 
 
 def test_odd_rows(spark, odd, none):
+    """Rows without id, rows repeated whole and ids shared by different texts: one row of each group stays."""
+    from test_near_dedup import brute as near
+
     rows, df = odd
-    for docs in (df, none):
+    rows = rows + [(12, "x " * 3 + rows[0][1]), (None, "alone without id " * 9), (None, "alone without id " * 9)]
+    extra = spark.createDataFrame(rows[-3:], "doc_id bigint, text string")
+    docs = df.unionByName(extra, allowMissingColumns=True)
+    exact = c.exact_dedup(spark, docs, SF)
+    assert exact.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in exact.collect()]
+    groups = {}
+    for i, text, *_ in rows:
+        groups.setdefault("".join(WORD.findall(text or "")), []).append((i, text))
+    best = [min(g, key=lambda r: (-len(r[1] or ""), order_of(r[0]))) for g in groups.values()]
+    assert canonical_rows((i, t or "") for i, t in best) == canonical_rows((i, t or "") for i, t in found)
+
+    docs = c.kept(exact, "exact")
+    kept = [(r.doc_id, r.text) for r in c.near_dedup(spark, docs, SF).collect()]
+    ordered = sorted(found, key=lambda r: (order_of(r[0]), r[1] or ""))
+    numbered = [(k, t) for k, (_, t) in enumerate(ordered)]
+    components = {}
+    for k, _, component, _ in near(numbered, 5, 80):
+        components.setdefault(component, []).append(ordered[k])
+    assert len(kept) == len(components)
+    for members in components.values():
+        ids = [m[0] for m in members]
+        stays = [r for r in kept if r in members]
+        assert len(stays) == 1
+        if ids.count(min(ids, key=order_of)) == 1:
+            assert stays[0][0] == min(ids, key=order_of)
+
+    for start in (docs, none):
+        docs = start
         for _, stage in c.STAGES:
             docs = c.kept(stage(spark, docs, SF), "odd")
-        assert docs.count() <= len(rows)
+        assert docs.count() <= len(found)
+
+
+def test_row_ids(spark):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (7, "d"), *[(5, f"e{i}") for i in range(40)]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = with_row_ids(df).collect()
+    assert len({r._row_id for r in out}) == len(out) == len(rows)
+    assert {(r.doc_id, r._row_id) for r in out if r.doc_id in (1, 7)} == {(1, 1), (7, 7)}
+    assert all(r._row_id > 7 for r in out if r.doc_id not in (1, 7))
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted((str(i), t) for i, t in rows)
+    with pytest.raises(ValueError, match="no room"):
+        with_row_ids(spark.createDataFrame([(2**63 - 1, "a"), (None, "b")], "doc_id bigint, text string"))
