@@ -21,7 +21,8 @@ from querylens.functions.fingerprint import (
     regex_fingerprint,
     split_statements,
 )
-from querylens.operators import diff, families, timing, workload
+from querylens.operators import diff, families, state, timing, workload
+from querylens.operators.correlate import read_in_order, write_in_order
 from querylens.operators.events import typed_events, with_shapes
 from querylens.operators.parse import candidate_lines, parse_lines
 from querylens.plans import documents
@@ -248,6 +249,19 @@ def findings_lookup(spark, sf):
     )
 
 
+@query
+def findings_store_lookup(spark, sf):
+    """Two runs in one store, and a finding of each looked up by rank."""
+    path = scratch_path(spark, "findings-store")
+    documents.store_findings(families.top_query_families(executions(spark, sf)), "families", path)
+    documents.store_findings(diff.slow_query_diff(both_windows(spark, sf), DIFF_OPTIONS), "changes", path)
+    stored = documents.stored_findings(spark, path)
+    asked = (F.col("run") == "families") & (F.col("rank") == 1) | (F.col("run") == "changes") & (F.col("rank") == 2)
+    return stored.where(asked).select(
+        "run", F.col("rank").cast("int").alias("rank"), "finding_id", "kind", "title", F.array_join("next_sql", "\n").alias("next_sql")
+    )
+
+
 REPORT = (
     "metadata struct<total_log_entries:bigint>, "
     "summary struct<total_queries:bigint,total_duration_ms:double,avg_duration_ms:double,"
@@ -533,6 +547,14 @@ def execution_order(spark, sf):
     return executions(spark, sf, "rds").select("execution_id", "ts", "emit_index", "emit_part")
 
 
+@query
+def ordered_executions(spark, sf):
+    """Executions written in order and read back with their place in it."""
+    path = scratch_path(spark, "ordered")
+    write_in_order(executions(spark, sf, "rds"), path)
+    return read_in_order(spark, path).select("position", "execution_id", "ts")
+
+
 @query
 def family_identity(spark, sf):
     totals = families.family_totals(executions(spark, sf, "rds"))
@@ -586,9 +608,8 @@ def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     return diff.family_deltas(diff.window_family_metrics(both_windows(spark, sf)))
 
 
-@query
-def diff_deltas(spark, sf):
-    return _deltas(spark, sf).select(
+def _delta_columns(deltas: DataFrame) -> DataFrame:
+    return deltas.select(
         "family_id",
         F.col("delta_execution_count").alias("delta_count"),
         rounded("delta_total_duration_ms"),
@@ -598,6 +619,11 @@ def diff_deltas(spark, sf):
     )
 
 
+@query
+def diff_deltas(spark, sf):
+    return _delta_columns(_deltas(spark, sf))
+
+
 DIFF_OPTIONS = diff.DiffOptions(
     limit=15, min_target_count=2, min_target_total_ms=50.0, min_p95_delta_ms=1.0
 )
@@ -627,6 +653,43 @@ def slow_query_diff(spark, sf):
     return _flat_changes(diff.slow_query_diff(both_windows(spark, sf), DIFF_OPTIONS))
 
 
+def _state_of_two_logs(spark: SparkSession, sf: str) -> state.State:
+    """The whole log, added up in two: what comes before the target window, then the target window."""
+    both = derived.two_window_lines(spark, sf).withColumn("_window", F.col("source_window"))
+    lines = both.withColumn("source_window", F.lit("target"))
+    early, late = (typed_events(parse_lines(lines.where(F.col("_window") == w).drop("_window"))) for w in ("baseline", "target"))
+    return state.added(state.new_state(early), late)
+
+
+@query
+def state_family_totals(spark, sf):
+    totals = state.state_totals(_state_of_two_logs(spark, sf))
+    return totals.select(
+        "family_id", "execution_count", rounded("total_duration_ms"), "max_duration_ms",
+        F.col("correlated_execution_count").alias("correlated_count"),
+        F.col("uncorrelated_execution_count").alias("uncorrelated_count"),
+    )
+
+
+@query
+def state_summary(spark, sf):
+    found = state.state_summary(_state_of_two_logs(spark, sf))
+    return found.select(
+        "query_type", "query_count", "total_queries", rounded("total_duration"), rounded("average_duration"),
+        "p95_duration", "p99_duration", "error_count", "connection_count",
+    )
+
+
+@query
+def state_diff(spark, sf):
+    """The target window's log against the baseline's state; the baseline's log is not read again."""
+    both = typed_events(parse_lines(derived.two_window_lines(spark, sf)))
+    stored = state.new_state(both.where("source_window = 'baseline'"))
+    target = state.new_state(both.where("source_window = 'target'"))
+    metrics = state.state_metrics(stored, "baseline").unionByName(state.state_metrics(target, "target"))
+    return _delta_columns(diff.family_deltas(metrics))
+
+
 # --- workload -------------------------------------------------------------
 
 

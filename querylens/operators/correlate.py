@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.session import broadcast_if_small, kept, settled
+from querylens.session import broadcast_if_small, kept, running_rows, settled
 
 BACKEND = ("source_window", "process_id")
 HOT_ROWS = 4_000_000
@@ -252,3 +252,23 @@ def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROW
 
 
 EXECUTION_ORDER = ("ts", "emit_index", "emit_part", "record_index")
+
+
+def write_in_order(executions: DataFrame, path: str, parts: int | None = None) -> None:
+    """Write executions so that parts follow each other in execution order and each is in order itself.
+
+    Ranges are cut by the whole order, not by time alone, so that equal timestamps do not gather in one part.
+    """
+    parts = parts or int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = executions.repartitionByRange(parts, *EXECUTION_ORDER)
+    ranged.sortWithinPartitions(*EXECUTION_ORDER).write.mode("overwrite").parquet(path)
+
+
+def read_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_in_order`` wrote, with ``position`` (from 0) in the whole order; nothing is sorted again."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
+    rows = spark.read.parquet(path).select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    counted = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("rows")).withColumn("_all", F.lit(0))
+    places = running_rows(counted, ("_all",), ("_part",)).select("_part", "in_log")
+    placed = rows.join(broadcast_if_small(settled(places)), "_part")
+    return placed.withColumn("position", F.col("in_log") + F.col("_row")).drop("_part", "_row", "in_log")

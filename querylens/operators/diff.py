@@ -50,36 +50,39 @@ def landed_metrics(paired: DataFrame, dictionary: DataFrame) -> DataFrame:
     Families are told apart by a 128-bit key of identity and canonical text, which
     is what the exchanges carry; the text joins the finished rows.
     """
-    # Absent identity fields are never '' themselves, so '' can stand for NULL in join keys.
-    identity = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in IDENTITY]
     texts = dictionary.withColumns(
         {"text_a": F.xxhash64("normalized_sql"), "text_b": F.xxhash64(F.lit(1), "normalized_sql")}
     )
     named = labelled(paired, texts.drop("normalized_sql"))
     rows = named.select(
         "source_window",
-        *identity,
+        *IDENTITY,
         "text_a",
         "text_b",
         "duration_ms",
         (F.col("confidence") == "Exact").cast("bigint").alias("exact"),
     )
-    by_text = texts.groupBy("text_a", "text_b").agg(F.first("normalized_sql").alias("normalized_sql"))
+    by_text = texts.select("text_a", "text_b", "normalized_sql").distinct()
+    return family_profile(rows, ("text_a", "text_b")).join(by_text, ["text_a", "text_b"]).select(
+        "source_window", *FAMILY, *METRICS, "correlated_execution_count", "uncorrelated_execution_count"
+    )
+
+
+def family_profile(rows: DataFrame, text: tuple[str, ...] = ("normalized_sql",), weight: str | None = None) -> DataFrame:
+    """Metrics per window, identity and ``text`` of rows with ``duration_ms`` and ``exact``; ``weight`` as in ``value_profile``."""
+    # Absent identity fields are never '' themselves, so '' can stand for NULL in join keys.
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in IDENTITY})
     profile = value_profile(
-        rows,
-        ["source_window", *IDENTITY, "text_a", "text_b"],
-        "duration_ms",
-        {"p95": 0.95},
-        ["exact"],
+        rows, ["source_window", *IDENTITY, *text], "duration_ms", {"p95": 0.95}, ["exact"], weight
     )
 
     def or_zero(column: Column) -> Column:
         return F.coalesce(column, F.lit(0.0))
 
-    return profile.join(by_text, ["text_a", "text_b"]).select(
+    return profile.select(
         "source_window",
         *[F.nullif(F.col(c), F.lit("")).alias(c) for c in IDENTITY],
-        "normalized_sql",
+        *text,
         F.col("value_count").alias("execution_count"),
         or_zero(F.col("value_total")).alias("total_duration_ms"),
         or_zero(F.try_divide("value_total", "value_count")).alias("avg_duration_ms"),

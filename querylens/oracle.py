@@ -446,6 +446,10 @@ WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00
     "sink_findings_json": TOP,
     "findings_lookup": f"""SELECT rank, finding_id, kind, title, next_sql FROM ({TOP})
 WHERE rank = 2""",
+    "findings_store_lookup": f"""SELECT 'families' AS run, rank, finding_id, kind, title, next_sql FROM ({TOP}) WHERE rank = 1
+UNION ALL SELECT 'changes', rank, finding_id, kind, title, next_sql FROM ({DIFF}) WHERE rank = 2""",
+    "ordered_executions": f"""WITH {RDS}{EXECUTIONS} SELECT
+  row_number() OVER (ORDER BY ts, emit_index, emit_part, ri) - 1 AS position, 'aws-rds:' || ri AS execution_id, ts FROM ex""",
     "report_workload_json": f"""WITH {DEFAULT}{EXECUTIONS}, s AS ({SUMMARY}),
 freq AS (SELECT norm, count(*) AS n FROM ex GROUP BY 1 ORDER BY n DESC, norm LIMIT 20),
 slow AS (SELECT norm, ms FROM ex WHERE ms > 1000.0 ORDER BY ms DESC, ts, emit_index LIMIT 10)
@@ -551,6 +555,20 @@ SELECT fam AS family_id, evidence FROM evid""",
   round(total - btotal, 6) AS delta_total_duration_ms,
   round(mean - bmean, 6) AS delta_avg_duration_ms,
   round(p95 - bp95, 6) AS delta_p95_duration_ms,
+  round(peak - bpeak, 6) AS delta_max_duration_ms FROM del""",
+    "state_family_totals": f"""WITH {DEFAULT}{EXECUTIONS}{TOTALS} SELECT fam AS family_id,
+  n AS execution_count, round(total, 6) AS total_duration_ms, peak AS max_duration_ms,
+  exact AS correlated_count, n - exact AS uncorrelated_count FROM tot""",
+    "state_summary": f"""WITH {DEFAULT}{EXECUTIONS}, s AS ({SUMMARY}),
+c AS (SELECT count(*) FILTER (WHERE kind = 'Error') AS e, count(*) FILTER (WHERE kind = 'Log') AS l FROM lg)
+SELECT split_part(norm, ' ', 1) AS query_type, count(*) AS query_count, any_value(total_queries) AS total_queries,
+  round(any_value(total_duration), 6) AS total_duration, round(any_value(average_duration), 6) AS average_duration,
+  any_value(p95_duration) AS p95_duration, any_value(p99_duration) AS p99_duration,
+  any_value(e) AS error_count, any_value(l) AS connection_count FROM ex, s, c GROUP BY 1""",
+    "state_diff": f"""WITH {DELTAS} SELECT fam AS family_id, n - bn AS delta_count,
+  round(total - btotal, 6) AS delta_total_duration_ms,
+  round(mean - bmean, 6) AS delta_avg_duration_ms,
+  round(p95 - bp95, 6) AS delta_p95_duration_ms,
   round(peak - bpeak, 6) AS delta_max_duration_ms FROM del""",
     "diff_flags": f"""WITH {FLAGS} SELECT fam AS family_id, absent AS absent_in_baseline,
   slower AS p95_regressed, costlier AS runtime_increased, round(score, 6) AS score FROM cand""",

@@ -88,6 +88,26 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.inline("findings"))
 
 
+def store_findings(findings: DataFrame, run: str, path: str) -> None:
+    """Keep the findings of one run in a Parquet store; storing a run again replaces it and no other."""
+    (
+        findings.select(*FINDINGS.fieldNames())
+        .withColumn("run", F.lit(run))
+        .repartition(1)
+        .sortWithinPartitions("rank")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .parquet(path)
+    )
+
+
+def stored_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of all runs in a store.  Runs are folders; filters on id and rank reach the Parquet files."""
+    schema = T.StructType([*FINDINGS.fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).parquet(path)
+
+
 def select_finding(
     findings: DataFrame, finding_id: str | None = None, rank: int | None = None
 ) -> DataFrame:
@@ -100,7 +120,8 @@ def select_finding(
         chosen, missing = F.col("finding_id") == finding_id, f"Finding id not found: {finding_id}"
     else:
         chosen, missing = F.col("rank") == rank, f"Finding rank not found: {rank}"
-    found = findings.where(chosen).select("finding_id", "rank", "kind", "title", "next_sql").limit(1)
+    wanted = ("finding_id", "rank", "kind", "title", "next_sql")
+    found = findings.where(chosen).select(*wanted).limit(1)
     if found.isEmpty():
         raise ValueError(missing)
     return found

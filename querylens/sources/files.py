@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import broadcast_if_small, kept, scratch_path, settled
+from querylens.session import broadcast_if_small, kept, running_rows, scratch_path, settled
 
 SPLIT = ("source_window", "file", "block_start")
 # Paths in a list file, and how many are looked up at once.
@@ -203,26 +203,6 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
     )
 
 
-def running_rows(counted: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """Add ``in_log``: the sum of ``rows`` over what comes before, per key, however many rows there are.
-
-    Ranges of the order are summed first; the sums of earlier ranges (one row per key and range) are added to the
-    running sum inside each range.
-    """
-    ranges = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Written down once: where ranges begin is drawn from a sample.
-    dealt = settled(counted.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()))
-    before = (Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*before)
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum("rows").alias("rows"))
-    sums = sums.select(*keys, "_range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_earlier"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(*before)
-    here = F.coalesce(F.sum("rows").over(inside), F.lit(0))
-    return dealt.join(broadcast_if_small(settled(sums)), [*keys, "_range"]).withColumn(
-        "in_log", here + F.col("_earlier")
-    ).drop("_range", "_earlier")
-
-
 @contextmanager
 def _split_per_task(spark: SparkSession):
     """Plan scans with whole files (up to a terabyte) as splits, one split to a task."""

@@ -125,13 +125,15 @@ def test_heads_of_many_files(spark, tmp_path, monkeypatch):
 def test_running_rows_of_two_levels(spark, ranges):
     import random
 
+    from querylens.session import running_rows
+
     rng = random.Random(1)
     rows = [(w, [rng.choice("abc"), str(i % 7)], i, rng.randint(0, 5)) for w in ("x", "y") for i in range(200)]
     df = spark.createDataFrame(rows, "w string, path array<string>, at bigint, rows bigint").repartition(5)
     default = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
     try:
-        got = {(r.w, r["at"]): r.in_log for r in files.running_rows(df, ("w",), ("path", "at")).collect()}
+        got = {(r.w, r["at"]): r.in_log for r in running_rows(df, ("w",), ("path", "at")).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", default)
     for w in ("x", "y"):
