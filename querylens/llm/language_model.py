@@ -290,6 +290,7 @@ def scored(docs: DataFrame) -> DataFrame:
             dealt, ask, answer_counts, ask_again, answer_bigrams, finish,
             "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double, distinct bigint",
             _SCHEMA.empty_table(),
+            shards,
         ),
         "scores",
     )

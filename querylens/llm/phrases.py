@@ -221,7 +221,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     return rounds(
         dealt, ask, answer_recurring, ask_again, answer_first, finish,
-        "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", _SCHEMA.empty_table(),
+        "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", _SCHEMA.empty_table(), shards,
     )
 
 

@@ -448,7 +448,7 @@ def cut(docs: DataFrame) -> DataFrame:
 
     return rounds(
         dealt, ask, answer_recurring, ask_again, answer_strings, finish,
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _SCHEMA.empty_table(),
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", _SCHEMA.empty_table(), shards,
     )
 
 

@@ -125,7 +125,7 @@ def test_hot_anchor(spark, monkeypatch):
     assert max(groups) <= substrings.ARRAY_BYTES // 80
 
 
-def here(tables, ask, answer, ask_again, answer_again, finish, *_):
+def here(tables, ask, answer, ask_again, answer_again, finish, *_, **__):
     """Both rounds in this process."""
     dealt = [exchange.Unit(t) for t in tables]
 
@@ -145,3 +145,48 @@ def here(tables, ask, answer, ask_again, answer_again, finish, *_):
         asked += rows
     second = answers(asked, answer_again)
     return [finish(u, second[u.number], state[u.number]) for u in dealt]
+
+
+def test_relays_give_the_same(odd, small, monkeypatch):
+    """Many tiny units, by way of relays: results as before."""
+    monkeypatch.setattr(exchange, "DIRECT", 4)
+    for module in (substrings, phrases):
+        monkeypatch.setattr(module, "UNIT_BYTES", 20_000)
+    for rows, df in (odd, small):
+        assert canonical_rows(substrings.cut(df).collect()) == brute_substrings(rows)
+        assert canonical_rows(phrases.deduplicated(df).collect()) == brute_phrases(rows)
+
+
+def test_relayed_rows_grow_by_less_than_a_square(spark):
+    """Packed rows between n units and n shards: n ** 1.5 on either side of a relay, all of them delivered."""
+    sent = {}
+    for n in (16, 64, 256):
+        block = int(n**0.5)
+        messages = [[(s, u, bytes([u % 251])) for s in range(n)] for u in range(n)]
+        hop = pa.concat_tables([exchange._packed(m, block, "shard") for m in messages])
+        groups = {}
+        for k, row in enumerate(zip(hop.column("block_s").to_pylist(), hop.column("block_u").to_pylist())):
+            groups.setdefault(row, []).append(k)
+        relayed = pa.concat_tables([exchange._sorted_by("shard")(hop.take(pa.array(k))) for k in groups.values()])
+        sent[n] = (hop.num_rows, relayed.num_rows)
+        by_shard = {}
+        for shard, data in zip(relayed.column("shard").to_pylist(), relayed.column("rows")):
+            by_shard.setdefault(shard, []).append(data)
+        for shard in (0, n // 2, n - 1):
+            rows = exchange._unpacked(pa.table({"rows": by_shard[shard]}))
+            assert sorted(rows) == [(shard, u, bytes([u % 251])) for u in range(n)]
+        assert max(len(k) for k in groups.values()) == block and len(by_shard[0]) == block
+    assert all(a == b == n**1.5 for n, (a, b) in sent.items())
+
+
+def test_missing_and_shared_ids_are_spread(spark):
+    """A third of the rows have no id and a third share one: no unit gets more than its part."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * 30) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    dealt, count = exchange.units(df, 10_000)
+    sizes = [r["count"] for r in dealt.groupBy("unit").count().collect()]
+    assert count > 50 and max(sizes) < 3 * len(rows) / count
+    few = rows[:60] + [(5, rows[1][1] + rows[4][1])]
+    small = spark.createDataFrame(few, "doc_id bigint, text string")
+    assert canonical_rows(substrings.cut(small).collect()) == brute_substrings(few)
+    assert canonical_rows(phrases.deduplicated(small).collect()) == brute_phrases(few)
