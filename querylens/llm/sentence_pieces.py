@@ -30,6 +30,8 @@ from querylens.llm.words import BYTE_VALUES, blocks, spans_hashed
 
 SPACE_MARK = "▁"
 CACHE_ENTRIES = 400_000
+# Pieces after which encoded rows are handed on; a longer text makes a batch of its own.
+BATCH_PIECES = 1 << 16
 _NEVER = 1 << 60
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -481,14 +483,24 @@ def encoded(docs: DataFrame, model: bytes, spans: bool = True, decoded: bool = F
     def run(batches):
         m = loaded(model)
         for batch in batches:
-            rows = list(texts_encoded(m, batch.column("_text")))
-            ids = [np.concatenate([[m.begin], i, [m.end]]).astype(np.int32) for i, _, _ in rows]
-            columns = [batch.column("_row"), pa.array(ids, pa.list_(pa.int32()))]
-            if spans:
-                columns += [pa.array([e[:-1] for _, e, _ in rows], pa.list_(pa.int64())), pa.array([e[1:] for _, e, _ in rows], pa.list_(pa.int64()))]
-            if decoded:
-                columns.append(pa.array([decoded_bytes(m, i, fast).decode() for i, (_, _, fast) in zip(ids, rows)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            done, pieces, rows = 0, 0, []
+            for row in texts_encoded(m, batch.column("_text")):
+                rows.append(row)
+                pieces += len(row[0])
+                if pieces >= BATCH_PIECES:
+                    yield told(m, batch.column("_row").slice(done, len(rows)), rows)
+                    done, pieces, rows = done + len(rows), 0, []
+            if rows:
+                yield told(m, batch.column("_row").slice(done), rows)
+
+    def told(m: Model, others: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        ids = [np.concatenate([[m.begin], i, [m.end]]).astype(np.int32) for i, _, _ in rows]
+        columns = [others, pa.array(ids, pa.list_(pa.int32()))]
+        if spans:
+            columns += [pa.array([e[:-1] for _, e, _ in rows], pa.list_(pa.int64())), pa.array([e[1:] for _, e, _ in rows], pa.list_(pa.int64()))]
+        if decoded:
+            columns.append(pa.array([decoded_bytes(m, i, fast).decode() for i, (_, _, fast) in zip(ids, rows)], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["_row", "ids", *["begins", "ends"] * spans, *["decoded"] * decoded]
     others = [c for c in docs.columns if c not in ("text", *names[1:])]
