@@ -31,11 +31,14 @@ _TWO = (1 << 32) | 1
 
 
 def paragraph_hashes(text: Column) -> Column:
-    """For each non-empty paragraph of a text its hashes, one for each pair of lanes or word of counters."""
+    """For each non-empty paragraph of a text its hashes, one for each pair of lanes or word of counters.
+
+    A hash's number comes first, as its seed, so that each one reads the paragraph anew.
+    """
     parts = F.filter(F.split(text, PARAGRAPH_END), lambda p: p != "")
     return F.transform(
         parts,
-        lambda p: F.struct(*[F.xxhash64(p, F.lit(i)).alias(f"h{i}") for i in range(HASH_LANES + COUNT_HASHES)]),
+        lambda p: F.struct(*[F.xxhash64(F.lit(i), p).alias(f"h{i}") for i in range(HASH_LANES + COUNT_HASHES)]),
     )
 
 
@@ -85,12 +88,9 @@ def combined(a: str, b: str, sign: int = 1) -> Column:
 
 
 def as_text(vector: str) -> Column:
-    """Fingerprint as text: lanes modulo 2**32 and counters modulo 2**8, in hexadecimal."""
+    """Fingerprint as text: lanes and counters, all modulo 2**32, in hexadecimal: what ``likeness`` compares, whole."""
     lanes = F.transform(F.col(f"{vector}.lanes"), lambda x: F.lpad(F.hex(x), 8, "0"))
-    counters = F.transform(
-        F.col(f"{vector}.counters"),
-        lambda x: F.concat(F.lpad(F.hex(F.shiftrightunsigned(x, 32) % 256), 2, "0"), F.lpad(F.hex(x % 256), 2, "0")),
-    )
+    counters = F.transform(F.col(f"{vector}.counters"), lambda x: F.lpad(F.hex(x), 16, "0"))
     return F.lower(F.concat(F.array_join(lanes, ""), F.array_join(counters, "")))
 
 

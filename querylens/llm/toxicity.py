@@ -4,12 +4,13 @@ Words (ASCII letters lower-cased, punctuation left out) are hashed to rows of an
 once by their first bytes, and the two rows are added. Filters of one, two and three words
 slide over the whole text, each filter keeps its highest response (max pooling), and a logistic layer turns the
 pooled responses into a probability. Embeddings start from how much likelier a bucket's words make label 1,
-seen in the training sample, and everything is then trained together by Adam; gradients of max pooling touch
-only the winning places. Scores are calibrated on a part of the sample that training does not see, where a
+seen in the training sample, and everything is then trained together: filters and weights by Adam, the embedding
+rows, of which a step touches few, by plain gradient steps; gradients of max pooling touch only the winning places. Scores are calibrated on a part of the sample that training does not see, where a
 threshold for each language is chosen too (column ``flagged``; the contract's ``predicted`` is score >= 0.7).
 
 Labels come only from rows outside the held-out third, at most ``SAMPLE_ROWS`` of them, chosen by a hash of the
-id; a document with conflicting labels counts as toxic. The model has a fixed size, so it travels with the
+id; a document with conflicting labels counts as toxic, and one with several texts is learnt from the shortest. A text
+of more than ``SAMPLE_BYTES / LONGEST`` is scored like others but not learnt from. The model has a fixed size, so it travels with the
 tasks. Null and empty texts have no words: all responses are 0 and the score is the classifier's at that point.
 Without labels of both classes every score is the share of label 1 (0 without any). Repeated rows are scored
 alike; columns other than doc_id, text and lang are not read, and lang only picks the threshold.
@@ -32,6 +33,7 @@ from querylens.llm.words import BYTE_VALUES, blocks, lowered, spans_hashed, word
 SAMPLE_ROWS = 6000
 # Sampled texts come to the driver, so their number of bytes is bounded too; whole texts, never cut.
 SAMPLE_BYTES = 64 << 20
+LONGEST = 64
 FOLDS, HELD_OUT = 3, 1
 WORD_BUCKETS, HEAD_BUCKETS, HEAD_BYTES = 1 << 18, 1 << 16, 4
 BUCKETS, WIDTH = WORD_BUCKETS + HEAD_BUCKETS, 8
@@ -215,10 +217,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, si
                 ["doc_id", "lang", "label", "bytes", "words"],
             )
 
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(
+    sampled = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select(
         "doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "label",
         F.octet_length(whole_text()).cast("bigint").alias("bytes"), whole_text().alias("text"),
     )
+    # One text of an id, so that the sample is the same each time; one long text does not take the place of many.
+    least = F.min(F.struct("bytes", "text", "lang", "label")).alias("_least")
+    texts = sampled.where(F.col("bytes") <= size // LONGEST).groupBy("doc_id").agg(least).select("doc_id", "_least.*")
     before = F.sum("bytes").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     words = texts.mapInArrow(hashed, "doc_id bigint, lang string, label int, bytes bigint, words binary")
     table = words.limit(rows).withColumn("_so_far", before).where(F.col("_so_far") <= size).orderBy(order, "doc_id").collect()

@@ -51,3 +51,37 @@ def test_gradients_lower_the_loss():
     # Whole texts count: the word is found wherever it stands.
     long = np.concatenate([np.tile(texts[0], (9000, 1)), bad])
     assert net.score(long) > scores[0::2].max()
+
+
+def test_long_texts_do_not_displace_others(spark):
+    """A huge labelled text and a repeated id: the other labelled documents are learnt from, the same each time."""
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(words[i % 40 :] + ["vile"] * (i % 2)), "en") for i in range(400)]
+    rows += [(-i, "long text " * 40_000, "en") for i in range(1, 20)] + [(3, "another " * 60, "en")] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, abs(i) % 2) for i in range(-19, 400)], "doc_id bigint, toxic int")
+    net = t.fit_toxicity(df, labels, size=4 << 20)
+    scores = {(r.doc_id, r.predicted) for r in t.toxicity_scores(df.where("doc_id > 3"), net).collect()}
+    assert np.mean([p == i % 2 for i, p in scores]) > 0.95
+    again = t.fit_toxicity(df.repartition(7), labels, size=4 << 20)
+    assert net.thresholds == again.thresholds and np.array_equal(net.weights, again.weights)
+
+
+def test_forward_pass_against_loops(small):
+    """Pooled responses and the score, filter by filter and word by word."""
+    random = np.random.default_rng(4)
+    words = np.stack([random.integers(0, t.WORD_BUCKETS, 40), t.WORD_BUCKETS + random.integers(0, t.HEAD_BUCKETS, 40)], 1).astype(np.int32)
+    net = t.trained([words, words[:7], words[3:], words[::2]] * 6, np.array([0.0, 1, 0, 1] * 6))
+    for text in (words, words[:2], words[:1]):
+        vectors = [net.embedding[a].astype(float) + net.embedding[b] for a, b in text]
+        pooled = []
+        for k, size in enumerate(t.SIZES):
+            for f in range(t.FILTERS):
+                best = 0.0
+                for i in range(len(text) - size + 1):
+                    response = np.concatenate(vectors[i : i + size]) @ net.filters[k][:, f] + net.offsets[k * t.FILTERS + f]
+                    best = max(best, float(response))
+                pooled.append(best)
+        assert np.allclose(net.pooled(text), pooled, atol=1e-4)
+        raw = np.array(pooled) @ net.weights + net.bias
+        assert abs(net.score(text) - 1 / (1 + np.exp(-(net.scale * raw + net.shift)))) < 1e-4
