@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.session import beside, computed_once
+from querylens.session import beside, computed_once, settled
 
 BINS_PER_E_FOLD = 16384.0
 
@@ -66,6 +66,7 @@ def value_profile(
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.groupBy(*group, F.col(value).alias("_value"), *flags).agg(rows.alias("_n"))
     counted = computed_once(counted, _bin=scale_bin(F.col("_value")))
+    counted = settled(counted)
     bars = counted.groupBy(*group, "_bin").agg(
         F.sum("_n").alias("_rows"),
         F.sum(F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(F.lit(0))).alias("_n"),
