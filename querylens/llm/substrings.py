@@ -124,9 +124,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class Strings:
     """Anchors of a unit's documents and the surroundings they are sent with."""
 
-    def __init__(self, unit: Unit):
+    def __init__(self, unit: Unit, place: np.ndarray | None = None):
+        """``place``: where the anchors are, if that is known already."""
         self.unit = unit
-        n = len(unit.data)
+        self.place, hashes = self.found() if place is None else (place, self.at(place))
+        self.anchor = hashes >> np.uint64(64 - 8 * ANCHOR_BYTES)
+        self.document = np.searchsorted(unit.offsets, self.place, "right") - 1
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """Hashes of the anchors at given places."""
+        hashes, data = np.zeros(len(place), np.uint64), self.unit.data
+        for low in range(0, len(data), SLICE):
+            i, j = np.searchsorted(place, [low, low + SLICE])
+            if j > i:
+                mine = place[i:j] - low
+                hashes[i:j] = spans_hashed(BYTE_VALUES[data[low : low + SLICE + ANCHOR]], mine, mine + ANCHOR) | np.uint64(1)
+        return hashes
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all anchors."""
+        unit, n = self.unit, len(self.unit.data)
         places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for low in range(0, n, SLICE):
             a, b = max(low - LENGTH, 0), min(low + SLICE + 2 * LENGTH, n)
@@ -142,9 +159,7 @@ class Strings:
             mine = mine[(mine >= low) & (mine < low + SLICE)]
             places.append(mine)
             hashes.append(h[mine - a])
-        self.place = np.concatenate(places)
-        self.anchor = np.concatenate(hashes) >> np.uint64(64 - 8 * ANCHOR_BYTES)
-        self.document = np.searchsorted(unit.offsets, self.place, "right") - 1
+        return np.concatenate(places), np.concatenate(hashes)
 
     def asked(self, shards: int):
         """Distinct anchors in order of shard: hash, shard, whether in several documents, and each place's."""
@@ -409,10 +424,12 @@ def cut(docs: DataFrame) -> DataFrame:
             text = b"".join([raw[i : i + LENGTH] for i in start[h].tolist()])
             rows[s] = [*rows.get(s, [b""] * 4)[:4], planes(unit.ids[document[h]]), text]
         rows = [(s, unit.number, *parts) for s, parts in rows.items()]
-        return rows, [np.packbits(chosen).tobytes(), np.packbits(hot).tobytes()]
+        # Most gaps fit a byte, so a unit's places are told by a byte each, and looked for only twice.
+        gaps = np.diff(strings.place, prepend=0)
+        return rows, [np.packbits(chosen).tobytes(), np.packbits(hot).tobytes(), planes(gaps.astype(np.int64), 5)]
 
     def finish(unit: Unit, answers: dict, state: list[bytes]) -> pa.Table:
-        strings = Strings(unit)
+        strings = Strings(unit, np.cumsum(from_planes(state[2], np.int64, 5)))
         chosen, hot = (np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8), count=len(strings.place))) for x in state[:2])
         begin, end, document, _, head, to, each = strings.surroundings(chosen, shards)
         packed = np.concatenate([np.zeros(0, np.uint32), *[from_planes(answers[s][0], np.uint32) for s, _, _ in runs(to)]])
