@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from querylens.llm import fingerprints as f
@@ -76,3 +79,68 @@ def test_order_insertion_and_deletion(spark):
 def test_native(odd):
     plan = f.edited_fingerprints(odd[1])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def brute_vector(text):
+    """(n, lanes, counters of 128 bits) with the hashes worked out from their definition: seeded by their number."""
+    lanes, counters, n = [0] * (2 * f.HASH_LANES), [0] * (64 * f.COUNT_HASHES), 0
+    for paragraph in re.split(r"\n+|(?<=[.!?])[ \t]+", text):
+        if not paragraph:
+            continue
+        n += 1
+        for i in range(f.HASH_LANES + f.COUNT_HASHES):
+            seed = xxhash.xxh64(struct.pack("<i", i), seed=42).intdigest()
+            h = xxhash.xxh64(paragraph.encode(), seed=seed).intdigest()
+            if i < f.HASH_LANES:
+                lanes[2 * i] += h % 2**32
+                lanes[2 * i + 1] += h >> 32
+            else:
+                for k in range(64):
+                    counters[64 * (i - f.HASH_LANES) + k] += h >> k & 1
+    return n, [x % 2**32 for x in lanes], counters
+
+
+def printed(vector):
+    _, lanes, counters = vector
+    words = [counters[k : k + 64] for k in range(0, len(counters), 64)]
+    pairs = [(w[k + 32], w[k]) for w in words for k in range(32)]
+    return "".join(f"{x:08x}" for x in lanes) + "".join(f"{high:08x}{low:08x}" for high, low in pairs)
+
+
+def alike(a, b):
+    if a[1] == b[1]:
+        return 1.0
+    x, y = ([2 * c - v[0] for c in v[2]] for v in (a, b))
+    both = sum(c * c for c in x) + sum(c * c for c in y)
+    return min(1.0, max(0.0, 1 - sum((c - d) ** 2 for c, d in zip(x, y)) / both)) if both else 0.0
+
+
+def test_fingerprints_and_likeness_by_definition(odd, small):
+    """What is printed, and the likeness of what is printed, for whole tables; also beyond 255 paragraphs."""
+    for rows, df in (odd, small):
+        texts = {}
+        for i, t, *_ in rows:
+            if i is not None:
+                texts[i] = max(texts.get(i, ""), t or "")
+        ids = sorted(texts)
+        after = dict(zip(ids, ids[1:] + ids[:1]))
+        prints = {}
+        for r in f.edited_fingerprints(df).collect():
+            prints.setdefault(r.doc_id, []).append(r)
+        for i, t, *_ in rows:
+            t = t or ""
+            half = len(t) // 2
+            mine, new = brute_vector(t), brute_vector(t[: len(t) - half] + (texts[after[i]][:half] if i is not None else ""))
+            near_next = alike(mine, brute_vector(texts[after[i]])) if i is not None else 0.0
+            want = (printed(mine), printed(new), alike(mine, new), near_next)
+            assert any(
+                (r.fingerprint, r.edited_fingerprint) == want[:2] and abs(r.near_edited - want[2]) < 1e-9 and abs(r.near_next - want[3]) < 1e-9
+                for r in prints[i]
+            )
+
+
+def test_many_paragraphs(spark):
+    texts = ["\n".join(f"line {i % 400}" for i in range(3000)), "\n".join(f"line {i % 390}" for i in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    v = f.with_vector(df.withColumnRenamed("text", "_text"), "_text", "vector").select("doc_id", f.as_text("vector").alias("fp"))
+    assert {r.doc_id: r.fp for r in v.collect()} == {i: printed(brute_vector(t)) for i, t in enumerate(texts)}

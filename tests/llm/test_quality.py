@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -62,3 +64,36 @@ def test_compiled_score_equals_numpy(spark):
         total += weight * holds
     assert np.allclose(sorted(got), sorted(1 / (1 + np.exp(-total))))
     assert np.mean((np.array(sorted(got)) >= 0.5)) == pytest.approx(y[:50].mean(), abs=0.1)
+
+
+def brute_statistics(text):
+    n = max(len(text), 1)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    some = max(len(words), 1)
+
+    def share(pattern):
+        return len(re.findall(pattern, text)) / n
+
+    parts, lines = text.split(" "), text.split("\n")
+    return {
+        "log_chars": math.log10(n), "word_chars": (n - share(r"[\x20\x09-\x0D]") * n) / some, "upper": share("[A-Z]"),
+        "bangs": share("[!?]"), "bars": share(r"[|<>{}\[\]\\/_*#=]"), "digits": share("[0-9]"),
+        "stops": len(re.findall(r"[.!?](?=[ \t\n\x0b\f\r]|\Z|\n\Z)", text)) / some, "commas": share("[,;:]"), "lines": len(lines) / some,
+        "distinct_words": math.log1p(len(set(parts))) / math.log1p(len(parts)), "distinct_lines": len(set(lines)) / len(lines),
+    }
+
+
+def test_scores_of_documents_by_rules_in_python(spark, small, odd):
+    """Statistics and the compiled score of every document against loops over the same rules."""
+    model = q.fit_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.rules
+    for rows, df in (small, odd):
+        texts = [(i, t or "") for i, t, *_ in rows]
+        want = []
+        for i, text in texts:
+            stats = brute_statistics(text)
+            total = model.bias + sum(w for rule, w in model.rules if all((stats[n] > v) == above for n, above, v in rule))
+            want.append((i, 1 / (1 + math.exp(-total))))
+        got = sorted(((r.doc_id, r.score) for r in q.quality_scores(df, model).collect()), key=repr)
+        for (i, a), (j, b) in zip(got, sorted(want, key=repr)):
+            assert i == j and abs(a - b) < 1e-6
