@@ -183,6 +183,15 @@ def src_response_window(spark, sf):
     return cloudwatch.response_entries(inside).select("record_index", "process_id", "level")
 
 
+@query
+def src_response_zones(spark, sf):
+    """The same window through a zone map: only files whose span meets it are read."""
+    responses = cloudwatch.read_responses(spark, derived.response_directory(spark, sf), one_per_file=False)
+    zones = kept(cloudwatch.zone_map(responses), "zones")
+    inside = cloudwatch.responses_between(spark, zones, *cloudwatch.time_bounds(*WINDOW), one_per_file=False)
+    return cloudwatch.response_entries(inside).select("record_index", "process_id", "level")
+
+
 @query
 def src_window_paths(spark, sf):
     """A folder against a file."""

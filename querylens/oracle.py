@@ -418,6 +418,10 @@ started AS (SELECT *, sum(CASE WHEN k % 10 = 0 THEN 2 ELSE 1 END) OVER (ORDER BY
 SELECT row_number() OVER (ORDER BY event_id) - 1 AS record_index,
   CAST(user_id AS VARCHAR) AS process_id, level FROM started WHERE start < {CLOUDWATCH_SAMPLE}""",
     "src_window_paths": DIFF,
+    "src_response_zones": f"""WITH {LINES} SELECT
+  row_number() OVER (ORDER BY event_id) - 1 AS record_index, CAST(user_id AS VARCHAR) AS process_id,
+  level FROM ln
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00.001'""",
     "src_response_window": f"""WITH {LINES} SELECT
   row_number() OVER (ORDER BY event_id) - 1 AS record_index, CAST(user_id AS VARCHAR) AS process_id,
   level FROM ln

@@ -68,6 +68,30 @@ def read_responses(
     )
 
 
+def zone_map(responses: DataFrame) -> DataFrame:
+    """(file, first_ms, last_ms): the time span of every file of responses, from one pass over them.
+
+    Write it beside an export once; ``responses_between`` then reads the files of a window only.
+    """
+    spans = responses.groupBy("file").agg(F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms"))
+    return spans.where("first_ms IS NOT NULL")
+
+
+def responses_between(
+    spark: SparkSession, zones: DataFrame, start_ms: int, end_ms: int, one_per_file: bool = True
+) -> DataFrame:
+    """Response events of the window, both ends included, from the files whose span meets it.
+
+    The scan takes its files as an argument, so the driver holds the paths of the window's files.
+    """
+    meets = (F.col("last_ms") >= start_ms) & (F.col("first_ms") <= end_ms)
+    path = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    paths = [r.path for r in zones.where(meets).select(path.alias("path")).orderBy("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "file string, block_start bigint, timestamp bigint, message string")
+    return in_time_window(read_responses(spark, paths, one_per_file), start_ms, end_ms)
+
+
 def in_time_window(events: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """Response events of the window, both ends included."""
     return events.where(F.col("timestamp").between(start_ms, end_ms))

@@ -254,6 +254,26 @@ def test_cloudwatch_pages(spark, tmp_path):
         cloudwatch.response_entries(responses, sample_size=0)
 
 
+def test_zone_map_prunes_files(spark, tmp_path):
+    """Files of other times are not opened; a window between files and one over all files, names with odd characters."""
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    for k in range(6):
+        events = [{"timestamp": 1000 * k + i, "message": "m" * 200 + str(i)} for i in range(500)]
+        (folder / f"page {k}+x.json").write_text(json.dumps({"events": events}))
+    (folder / "none.json").write_text("{}")
+    zones = cloudwatch.zone_map(cloudwatch.read_responses(spark, str(folder))).cache()
+    assert sorted((r.first_ms, r.last_ms) for r in zones.collect()) == [(1000 * k, 1000 * k + 499) for k in range(6)]
+    before = {s.stageId() for s in stages(spark)}
+    found = cloudwatch.responses_between(spark, zones, 2100, 3050)
+    assert sorted(r.timestamp for r in found.collect()) == [*range(2100, 2500), *range(3000, 3051)]
+    read = sum(s.inputBytes() for s in stages(spark) if s.stageId() not in before)
+    assert read < sum(p.stat().st_size for p in folder.iterdir()) / 2
+    assert cloudwatch.responses_between(spark, zones, 600, 900).count() == 0
+    assert cloudwatch.responses_between(spark, zones, 0, 10_000).count() == 3000
+    assert cloudwatch.response_entries(cloudwatch.responses_between(spark, zones, 600, 900)).count() == 0
+
+
 def test_time_bounds(spark):
     now = datetime(2024, 1, 10, tzinfo=timezone.utc)
     end = 1704844800000
