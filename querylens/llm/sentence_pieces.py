@@ -32,6 +32,8 @@ SPACE_MARK = "▁"
 CACHE_ENTRIES = 400_000
 # Pieces after which encoded rows are handed on; a longer text makes a batch of its own.
 BATCH_PIECES = 1 << 16
+# Bytes of text encoded at a time, which bounds what a worker holds beside its input.
+BLOCK_BYTES = 1 << 19
 _NEVER = 1 << 60
 # Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -457,7 +459,7 @@ def texts_encoded(m: Model, array: pa.Array) -> Iterator[tuple[np.ndarray, np.nd
     """For each text its ids, the original byte offsets between its pieces, and whether the fast way was taken."""
     data, offsets = text_buffers(array)
     fast = m.batch
-    for low, high in blocks(offsets):
+    for low, high in blocks(offsets, BLOCK_BYTES):
         at = offsets[low : high + 1] - offsets[low]
         part = data[offsets[low] : offsets[high]]
         raw = part.tobytes()
