@@ -2,15 +2,14 @@ from __future__ import annotations
 
 import os
 import random
-import re
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SMALL = "/root/testdata/sf0.001"
+from conftest_llm import SMALL  # noqa: E402
+
 # Names that the operators use inside, as columns of the caller's table.
 CLASHES = ("shard", "unit", "stats", "p", "kept", "id", "label", "ids", "key", "held_out", "_text", "_row", "_key", "fp", "topic")
 
@@ -35,11 +34,6 @@ def odd_rows() -> list[tuple]:
     return [(i, t, langs[k % 3], sources[k % 5], None if t is None else len(t)) for k, (i, t) in enumerate(texts)]
 
 
-def order_of(ident):
-    """Rows without id come last."""
-    return float("inf") if ident is None else ident
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """(rows, DataFrame with more columns, some with names used inside)."""

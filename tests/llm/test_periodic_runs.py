@@ -6,8 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from conftest import SMALL, WORD
-from conftest_llm import canonical_rows
+from conftest_llm import SMALL, WORD, canonical_rows
 
 from querylens.llm import periodic_runs as p
 

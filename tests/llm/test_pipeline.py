@@ -3,8 +3,7 @@ from __future__ import annotations
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import WORD, order_of
-from conftest_llm import canonical_rows, duck_rows
+from conftest_llm import WORD, canonical_rows, duck_rows, order_of
 
 import corpus_pipeline as c
 from querylens.llm.common import with_row_ids

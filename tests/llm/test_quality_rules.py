@@ -4,8 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import WORD
-from conftest_llm import canonical_rows, duck_rows
+from conftest_llm import WORD, canonical_rows, duck_rows
 
 from querylens.llm import quality_rules as q
 

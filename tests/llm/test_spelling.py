@@ -7,8 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import SMALL
-from conftest_llm import canonical_rows, duck_rows
+from conftest_llm import SMALL, canonical_rows, duck_rows
 
 from querylens.llm import spelling as s
 
