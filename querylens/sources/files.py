@@ -16,7 +16,6 @@ import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from functools import reduce
 from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -205,10 +204,10 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
 
 @contextmanager
 def _split_per_task(spark: SparkSession):
-    """Plan scans with whole files (up to a terabyte) as splits, one split to a task."""
+    """Plan scans with whole files (up to an exabyte) as splits, one split to a task."""
     ours = {
-        "spark.sql.files.maxPartitionBytes": str(1 << 40),
-        "spark.sql.files.openCostInBytes": str(1 << 40),
+        "spark.sql.files.maxPartitionBytes": str(1 << 60),
+        "spark.sql.files.openCostInBytes": str(1 << 60),
         "spark.sql.files.maxPartitionNum": None,
     }
     _splits_changed.acquire()
@@ -223,11 +222,20 @@ def _split_per_task(spark: SparkSession):
         _splits_changed.release()
 
 
+def _united(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union of frames as a tree of small depth: each union looks at all that is below it."""
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return _united(frames[:half]).union(_united(frames[half:]))
+
+
 def landed_heads(lines: DataFrame, size: int) -> DataFrame:
     """The first ``size`` lines of every file of one window, written to the shared folder.
 
     Each file has a limit of its own, and a limit stops its task, so what is read is
-    bounded by the heads.  Files are dealt to jobs, HEAD_FILES to each.
+    bounded by the heads.  Files are dealt to jobs, HEAD_FILES to each.  Jobs run side by side
+    and each has a folder of its own: the first to end clears the unfinished work in its folder.
     """
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
@@ -237,23 +245,23 @@ def landed_heads(lines: DataFrame, size: int) -> DataFrame:
     # the limit, which keeps the order of the file's one split.
     bare = lines.drop("_row")
 
-    def land(names: list[str]) -> None:
+    def land(job: int) -> str:
         heads = [
             bare.where(F.col("file") == name).limit(size).withColumn("_row", row_in_task())
-            for name in names
+            for name in names[job : job + HEAD_FILES]
         ]
-        reduce(DataFrame.union, heads).select(*lines.columns).write.mode("append").parquet(path)
+        folder = f"{path}/{job:012d}"
+        _united(heads).select(*lines.columns).write.parquet(folder)
+        return folder
 
     with _split_per_task(spark):
         # Spark lists files as file:///x and tells a row its file as file:/x.
         names = sorted({re.sub("^([a-z0-9]+):///", r"\1:/", name) for name in lines.inputFiles()})
-        jobs = [names[k : k + HEAD_FILES] for k in range(0, len(names), HEAD_FILES)]
-        if not jobs:
+        if not names:
             return lines.limit(0)
-        land(jobs[0])
         with ThreadPoolExecutor(HEAD_JOBS) as pool:
-            list(pool.map(land, jobs[1:]))
-    return spark.read.schema(lines.schema).parquet(path)
+            folders = list(pool.map(land, range(0, len(names), HEAD_FILES)))
+    return spark.read.schema(lines.schema).parquet(*folders)
 
 
 def head_sample(lines: DataFrame, size: int | None) -> DataFrame:

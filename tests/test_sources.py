@@ -121,6 +121,24 @@ def test_heads_of_many_files(spark, tmp_path, monkeypatch):
         assert [v for _, v in mine] == (tmp_path / name).read_text().split("\n")[:5]
 
 
+def test_head_jobs_do_not_share_a_folder(spark, tmp_path, monkeypatch):
+    """Jobs that append to one folder at a time remove each other's unfinished work."""
+    monkeypatch.setattr(files, "HEAD_FILES", 2)
+    bodies = {f"f{i:02d}.log": b"%d \xff\xfe first\nsecond\n%d third" % (i, i) for i in range(40)}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "none.log").write_bytes(b"")
+    lines = files.directory_lines(spark, str(tmp_path))
+    heads = files.head_sample(lines, 2)
+    assert len({f.rpartition("/")[0] for f in heads.inputFiles()}) >= 20
+    first_two = lines.where("value NOT LIKE '%third'")
+    columns = ("file", "hex(value)")
+    assert sorted(heads.selectExpr(*columns).collect()) == sorted(first_two.selectExpr(*columns).collect())
+    numbered = files.numbered_lines(heads, landed=True)
+    assert sorted(r.line_no for r in numbered.collect()) == [0] * 40 + [1] * 40
+    assert numbered.where("line_no = 1 AND value <> 'second'").count() == 0
+
+
 @pytest.mark.parametrize("ranges", ["1", "3", "8"])
 def test_running_rows_of_two_levels(spark, ranges):
     import random
