@@ -50,7 +50,10 @@ def timestamp(text: Column) -> Column:
 
 
 def metadata(text: Column) -> Column:
-    trimmed = strip(text)
+    return present(strip(text))
+
+
+def present(trimmed: Column) -> Column:
     return F.when(~trimmed.isin(*ABSENT_METADATA), trimmed)
 
 

@@ -173,6 +173,11 @@ def _with_lane(paired: DataFrame, hot_rows: int | None) -> DataFrame:
     )
 
 
+def pairing_events(events: DataFrame) -> DataFrame:
+    """The events that pairing looks at, without the columns it does not."""
+    return events.where(F.col("kind").isin("Statement", "Duration")).drop("level", "entry_message", "text")
+
+
 def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Executions, one per statement event.
 
@@ -180,10 +185,7 @@ def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROW
     ``emit_part`` order executions with equal timestamps the way a pass over
     the records would finish them.
     """
-    paired = events.where(F.col("kind").isin("Statement", "Duration")).drop(
-        "level", "entry_message", "text"
-    )
-    paired = _with_lane(paired, hot_rows)
+    paired = _with_lane(pairing_events(events), hot_rows)
     backend = Window.partitionBy(*BACKEND, "lane").orderBy("record_index")
     so_far = backend.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = f"OVER (PARTITION BY {', '.join(BACKEND)}, lane ORDER BY record_index)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylens.functions.fingerprint import literal_shape, plausible
+from querylens.functions.fingerprint import bare_text, literal_shape, plausible_bare
 from querylens.operators.parse import SOURCE_KINDS
 from querylens.session import computed_once
 
@@ -87,12 +87,14 @@ def with_shapes(rows: DataFrame) -> DataFrame:
         return rows
     blanked = F.when(F.col("is_sql"), literal_shape(F.col("statement")))
     rows = computed_once(rows, _blanked=blanked)
-    rows = computed_once(rows, _plausible=F.coalesce(plausible(F.col("_blanked")), F.lit(False)))
+    # A generator computes an expression as often as it occurs, so what occurs often is a column of its own.
+    rows = computed_once(rows, _bare=bare_text(F.col("_blanked")))
+    rows = computed_once(rows, _plausible=F.coalesce(plausible_bare(F.col("_bare")), F.lit(False)))
     named = {
         "parsed": F.when(F.col("statement").isNotNull(), F.col("_plausible")),
         "shape": F.when(F.col("_plausible"), F.col("_blanked")).otherwise(F.col("statement")),
     }
-    return rows.withColumns(named).drop("_blanked", "_plausible")
+    return rows.withColumns(named).drop("_blanked", "_bare", "_plausible")
 
 
 def mentions_connection(text: Column) -> Column:

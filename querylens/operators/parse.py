@@ -29,7 +29,7 @@ def candidate_lines(lines: DataFrame) -> DataFrame:
 
 
 def line_pieces(lines: DataFrame, log_format: str = "auto") -> DataFrame:
-    """Add ``pieces`` (prefix fields), ``rds`` and ``parts`` (message); drop misses.
+    """Add ``pieces`` (prefix fields), ``rds``, ``names`` (trimmed) and ``parts`` (message); drop misses.
 
     The regex results leave through a generator.  Optimizer rules push filters
     below projections by copying the expressions they use, which would run the
@@ -62,6 +62,8 @@ def line_pieces(lines: DataFrame, log_format: str = "auto") -> DataFrame:
     found = F.struct(
         F.col("_pieces").alias("pieces"),
         (~is_default).alias("rds"),
+        # Each name is compared and shown; here it is trimmed once.
+        F.struct(*[strip(F.get(F.col("_pieces"), F.lit(i))).alias(f"n{i}") for i in (2, 3, 4)]).alias("names"),
         logline.message_parts(message, F.col("_timed"), F.col("_executed")).alias("parts"),
     )
     hits = F.when(logline.matched(F.col("_pieces")), F.array(found))
@@ -79,10 +81,10 @@ def entry_columns() -> dict[str, Column]:
     return {
         "ts": logline.timestamp(_piece(0)),
         "process_id": _piece(1),
-        "user": logline.metadata(_piece(2)),
-        "database": logline.metadata(_piece(3)),
+        "user": logline.present(F.col("names.n2")),
+        "database": logline.present(F.col("names.n3")),
         "client_host": F.when(F.col("rds"), logline.rds_host(_piece(4))),
-        "application_name": F.when(~F.col("rds"), logline.metadata(_piece(4))),
+        "application_name": F.when(~F.col("rds"), logline.present(F.col("names.n4"))),
         "level": F.when(form == "statement", "STATEMENT")
         .when(form == "duration", "DURATION")
         .otherwise(F.upper(_piece(5))),

@@ -27,7 +27,7 @@ from querylens.operators.diff import METRICS, family_profile
 from querylens.operators.events import mentions_connection, with_shapes
 from querylens.operators.families import IDENTITY, with_id
 from querylens.operators.workload import duration_metrics
-from querylens.session import beside, computed_once, kept, scratch_path
+from querylens.session import beside, computed_once, drop_scratch, kept, scratch_path
 
 # What an execution that nothing has completed is ordered by.
 STILL_WAITING = 2**63 - 1
@@ -67,7 +67,7 @@ def _seen(events: DataFrame) -> DataFrame:
     return events.agg(
         F.count(F.lit(1)).alias("entries"),
         F.count_if(error).alias("error_count"),
-        F.count_if(~error & mentions_connection(F.col("text"))).alias("connection_count"),
+        F.count_if(~error & F.col("connects")).alias("connection_count"),
     )
 
 
@@ -97,6 +97,9 @@ def added(state: State, events: DataFrame, path: str | None = None, hot_rows: in
 
 def _from(events: DataFrame, before: State | None, path: str | None, hot_rows: int | None) -> State:
     spark = events.sparkSession
+    # Parsed once: the counters, the search for hot backends, the pairing and the waiting statements read what is kept.
+    connects = mentions_connection(F.col("text")).alias("connects")
+    log = events = kept(events.select(*WAITING, connects), "state-events")
     seen = _seen(events)
     if before is not None:
         first = F.lit(before.seen.first().entries)
@@ -104,8 +107,7 @@ def _from(events: DataFrame, before: State | None, path: str | None, hot_rows: i
         events = events.withColumns({"record_index": F.col("record_index") + first, "event_id": numbered})
         events = events.select(*WAITING).unionByName(before.waiting)
         seen = seen.unionByName(before.seen).agg(*[F.sum(c).alias(c) for c in seen.columns])
-    columns = [c for c in WAITING if c in events.columns]
-    paired = correlate_by_process_order(events.select(*columns), hot_rows)
+    paired = correlate_by_process_order(events.select(*WAITING), hot_rows)
     # Paired once: the counts and the waiting statements both come from there.
     wanted = ("source_window", "record_index", *IDENTITY, "process_id", "statement", "is_sql", "duration_ms", "confidence")
     paired = kept(paired.select(*wanted, (F.col("emit_index") == STILL_WAITING).alias("open")), "state-paired")
@@ -115,7 +117,10 @@ def _from(events: DataFrame, before: State | None, path: str | None, hot_rows: i
     # At most one per backend: the record it is waiting with.
     still = paired.where("open").select("source_window", "process_id", "record_index")
     waiting = events.where("kind = 'Statement'").select(*WAITING).join(still, ["source_window", "process_id", "record_index"], "left_semi")
-    return _stored(State(counts, waiting.select(*WAITING), seen), path or scratch_path(spark, "state"))
+    stored = _stored(State(counts, waiting.select(*WAITING), seen), path or scratch_path(spark, "state"))
+    for table in (log, paired):
+        drop_scratch(spark, table)
+    return stored
 
 
 def executions_in(state: State) -> DataFrame:

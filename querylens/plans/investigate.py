@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylens.operators.correlate import HOT_ROWS, Correlator, correlate_by_process_order
+from querylens.operators.correlate import HOT_ROWS, Correlator, correlate_by_process_order, pairing_events
 from querylens.operators.diff import DiffOptions, slow_query_diff
 from querylens.operators.events import typed_events
 from querylens.operators.families import top_query_families
 from querylens.operators.parse import parse_lines
+from querylens.session import kept
 from querylens.sources.files import head_sample, log_entries, window_lines
 
 
@@ -37,7 +38,10 @@ def executions_from_lines(
     """
     line_count = lines.count() if line_count is None else line_count
     entries = parse_lines(lines, log_format)
-    return executions_of(entries, hot_rows=hot_rows if line_count > hot_rows else None)
+    if line_count <= hot_rows:
+        return executions_of(entries, hot_rows=None)
+    # Looking for hot backends is a pass of its own: both read lines that were parsed once.
+    return correlate_by_process_order(kept(pairing_events(typed_events(entries)), "events"), hot_rows)
 
 
 def top_families(

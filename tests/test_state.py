@@ -13,6 +13,8 @@ from querylens.operators.correlate import correlate_by_process_order
 from querylens.operators.diff import window_family_metrics
 from querylens.operators.events import typed_events
 from querylens.operators.families import family_totals
+from querylens.operators.parse import parse_lines
+from querylens.plans.investigate import executions_from_lines
 
 
 def cut(lines, seed, parts):
@@ -72,3 +74,35 @@ def test_state_is_read_back(spark, parse, tmp_path):
     assert state.state_summary(state.read_state(spark, path)).first().total_queries == 1
     plan = state.state_totals(state.read_state(spark, path))._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan and "Python" not in plan
+
+
+def counted_lines(spark, lines):
+    """The lines as a frame, and the number of times any of them is read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        reads.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([("target", i, text) for i, text in enumerate(lines)], 2).map(seen)
+    return spark.createDataFrame(rows, "source_window string, record_index bigint, value string"), reads
+
+
+def test_each_log_is_parsed_once(spark):
+    lines = rendered(stream(9, 60))
+    first, first_reads = counted_lines(spark, lines[:40])
+    second, second_reads = counted_lines(spark, lines[40:])
+    sums = state.added(state.new_state(typed_events(parse_lines(first))), typed_events(parse_lines(second)))
+    assert sums.seen.first().entries == len(lines)
+    assert (first_reads.value, second_reads.value) == (40, len(lines) - 40)
+
+
+def test_search_for_hot_backends_does_not_parse_again(spark):
+    lines = rendered(stream(10, 60))
+    frame, reads = counted_lines(spark, lines)
+    found = executions_from_lines(frame, hot_rows=50, line_count=len(lines))
+    whole = executions_from_lines(frame, hot_rows=1000, line_count=len(lines))
+    assert found.count() > 0
+    assert reads.value == len(lines)
+    columns = ("record_index", "duration_ms", "confidence")
+    assert plain(found, columns) == plain(whole, columns)
