@@ -14,6 +14,8 @@ MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Rows of a result limited by an argument that are broadcast unmeasured.
 BOUNDED_ROWS = 10_000
+# Tasks per core that a source of few splits is dealt out to.
+SPREAD_TASKS = 3
 
 
 def local_session(cpus: str = "8", name: str = "querylens") -> SparkSession:
@@ -148,14 +150,15 @@ def running_rows(counted: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
     ).drop("_range", "_earlier")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a source's rows out when it comes in fewer splits than there are cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a source's rows out by ``key`` when it comes in few splits.
 
-    Parsing is CPU work, and a small or unsplittable file would keep it on one
-    core.  A source with enough splits is left as it is.
+    Parsing is CPU work. A small or unsplittable file would keep it on one core, and splits of a file with large
+    row groups are uneven, many of them empty, which shows only when they are read.  A source with many splits is
+    left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = SPREAD_TASKS * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -115,7 +115,7 @@ def varied_statement() -> Column:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, form, sql): a statement of varied form for every event."""
-    return spread(events_table(spark, sf_dir)).select(
+    return spread(events_table(spark, sf_dir), "event_id").select(
         "event_id",
         "user_id",
         "ts",
@@ -163,7 +163,7 @@ def log_lines(
     spark: SparkSession, sf_dir: str, style: str = "default", body: Column | None = None
 ) -> DataFrame:
     """Lines of one window holding the whole table."""
-    return spread(events_table(spark, sf_dir)).select(
+    return spread(events_table(spark, sf_dir), "event_id").select(
         F.lit("target").alias("source_window"),
         F.col("event_id").alias("record_index"),
         line(style, body).alias("value"),
@@ -187,7 +187,7 @@ def two_window_lines(spark: SparkSession, sf_dir: str, style: str = "default") -
     )
     # Two rows: where each window starts.
     starts = rows.groupBy("source_window").agg(F.min("event_id").alias("start"))
-    return spread(rows).join(F.broadcast(starts), "source_window").select(
+    return spread(rows, "event_id").join(F.broadcast(starts), "source_window").select(
         "source_window",
         (F.col("event_id") - F.col("start")).alias("record_index"),
         line(style).alias("value"),
@@ -262,7 +262,7 @@ def odd_host_line() -> Column:
 
 
 def custom_lines(spark: SparkSession, sf_dir: str, value: Column) -> DataFrame:
-    return spread(events_table(spark, sf_dir)).select(
+    return spread(events_table(spark, sf_dir), "event_id").select(
         F.lit("target").alias("source_window"),
         F.col("event_id").alias("record_index"),
         value.alias("value"),
@@ -338,6 +338,30 @@ def log_directory(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "log-directory", write) + "/logs"
 
 
+def joined(spark: SparkSession, folder: str, path: str) -> None:
+    """Make one file of the text parts in a folder, in order of their names.
+
+    The file system joins them (``concat``), so that no task writes the whole file: HDFS links blocks, a local disk
+    copies. File systems that cannot join are refused.
+    """
+    context = spark.sparkContext
+    to_path = context._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(folder).getFileSystem(context._jsc.hadoopConfiguration())
+    parts = sorted((part.getPath() for part in fs.globStatus(to_path(f"{folder}/part-*"))), key=lambda p: p.getName())
+    if fs.getScheme() == "file":
+        # Behind the checksums; here all parts go into a new file.
+        fs = fs.getRawFileSystem()
+    else:
+        first, *parts = parts
+        if not fs.rename(first, to_path(path)):
+            raise OSError(f"{first} could not be renamed")
+    if parts:
+        listed = context._gateway.new_array(to_path, len(parts))
+        for i, part in enumerate(parts):
+            listed[i] = part
+        fs.concat(to_path(path), listed)
+
+
 def window_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The two windows of ``two_window_lines`` as a folder of files and as one file."""
 
@@ -354,8 +378,8 @@ def window_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
             .text(f"{path}/parts")
         )
         target = lines.where("source_window = 'target'").select("record_index", "value")
-        # One file is what this window is about.
-        target.coalesce(1).sortWithinPartitions("record_index").select("value").write.text(f"{path}/one")
+        pieces = target.repartitionByRange("record_index").sortWithinPartitions("record_index")
+        pieces.select("value").write.text(f"{path}/pieces")
         jvm = spark.sparkContext._jvm
         to_path = jvm.org.apache.hadoop.fs.Path
         fs = to_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -365,9 +389,8 @@ def window_paths(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
             new = f"{path}/baseline/pg_{int(old.getParent().getName().split('=')[1]):06d}.log"
             if not fs.rename(old, to_path(new)):
                 raise OSError(f"{old} could not be renamed")
-        (only,) = fs.globStatus(to_path(f"{path}/one/part-*"))
-        if not fs.rename(only.getPath(), to_path(f"{path}/target.log")):
-            raise OSError(f"{only.getPath()} could not be renamed")
+        # One file is what this window is about.
+        joined(spark, f"{path}/pieces", f"{path}/target.log")
 
     path = _once(spark, sf_dir, "windows", write)
     return f"{path}/baseline", f"{path}/target.log"

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from querylens.catalog import QUERIES
-from querylens.operators.events import typed_events
+from querylens.operators.events import typed_events, with_shapes
 from querylens.operators.parse import parse_lines
+from querylens.session import spread
 from querylens.sources import derived
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +115,23 @@ def test_dictionary_hashes_executions(spark):
     shapes = landed(executions(spark, SF)).select("shape_key", "parsed", "shape").distinct()
     plan = shapes._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_opaque_parts_of_a_shape_are_replaced_once(spark):
+    rows = spark.createDataFrame([("SELECT 1 FROM t WHERE a = 'x'", True)], "statement string, is_sql boolean")
+    plan = with_shapes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(",  q , 1)") == 1, plan
+
+
+def test_uneven_splits_are_dealt_out(spark, tmp_path):
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        source = spark.read.parquet(str(tmp_path / "one"))
+        # Many splits, and all rows in one of them.
+        assert source.rdd.getNumPartitions() >= 8
+        used = spread(source, "id").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert used >= 8

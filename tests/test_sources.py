@@ -5,9 +5,10 @@ from datetime import datetime, timezone
 
 import pytest
 from log_samples import RDS_LOG, SAMPLE_LOG
+from pyspark.sql import functions as F
 
 from querylens.plans.investigate import top_families
-from querylens.sources import cloudwatch, files
+from querylens.sources import cloudwatch, derived, files
 
 
 def write(folder, **contents):
@@ -304,3 +305,12 @@ def test_time_bounds(spark):
             cloudwatch.time_bounds(since, until, now)
     df = spark.createDataFrame([(1, "a"), (5, "b"), (9, "c")], "timestamp bigint, message string")
     assert cloudwatch.in_time_window(df, 5, 9).count() == 2
+
+
+def test_sorted_parts_become_one_file(spark, tmp_path):
+    lines = spark.range(5000).select(F.col("id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    pieces = lines.repartitionByRange(7, "id").sortWithinPartitions("id").select("value")
+    pieces.write.text(str(tmp_path / "pieces"))
+    derived.joined(spark, str(tmp_path / "pieces"), str(tmp_path / "target.log"))
+    assert (tmp_path / "target.log").read_text().splitlines() == [f"line {i}" for i in range(5000)]
+    assert spark.read.text(str(tmp_path / "target.log")).count() == 5000
