@@ -26,7 +26,8 @@ from querylens.session import computed_once
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 HASH_LANES, COUNT_HASHES = 4, 2
 _LOW = (1 << 32) - 1
-NO_ID = -(1 << 63)
+# Stands for a missing id where ids are text.
+NO_ID = ""
 _TWO = (1 << 32) | 1
 
 
@@ -151,14 +152,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of texts, of texts edited with the next document's beginning, and their likenesses."""
-    # Both joins take texts by this key, which is never null, so that they share one shuffle of the texts.
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_key")
-    bare = docs.select(key, F.col("doc_id").cast("bigint"), whole_text().alias("_text"))
+    # Both joins take texts by this key, which is never null and tells the id: with the same columns on both sides,
+    # and dealt out before either join, the texts are shuffled once.
+    key = F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit(NO_ID))
+    bare = docs.select(key.alias("_key"), whole_text().alias("_text")).repartition("_key")
     links, repeated = next_documents(docs)
-    links = kept(links, "links").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), "previous_id", "need")
+    links = kept(links, "links").select(F.col("doc_id").cast("string").alias("_key"), "previous_id", "need")
     source = bare.groupBy("_key").agg(F.max("_text").alias("_text")) if repeated else bare
     heads = with_vector(source.join(links, "_key"), "_text", "next_vector").select(
-        F.coalesce("previous_id", F.lit(NO_ID)).alias("_key"),
+        F.col("previous_id").cast("string").alias("_key"),
         F.substring("_text", F.lit(1), F.col("need").cast("int")).alias("_head"),
         "next_vector",
     )
@@ -166,7 +168,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     kept_part = F.substring("_text", F.lit(1), (F.length("_text") - half).cast("int"))
     head = F.coalesce(F.substring("_head", F.lit(1), half.cast("int")), F.lit(""))
     joined = with_vector(bare.join(heads, "_key", "left"), "_text", "vector").select(
-        "doc_id", F.length("_text").cast("bigint").alias("n_chars"), "vector", "next_vector", F.concat(kept_part, head).alias("_edited")
+        F.nullif("_key", F.lit(NO_ID)).cast("bigint").alias("doc_id"),
+        F.length("_text").cast("bigint").alias("n_chars"),
+        "vector",
+        "next_vector",
+        F.concat(kept_part, head).alias("_edited"),
     )
     both = with_vector(joined, "_edited", "edited_vector")
     return both.select(

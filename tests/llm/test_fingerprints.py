@@ -144,3 +144,24 @@ def test_many_paragraphs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     v = f.with_vector(df.withColumnRenamed("text", "_text"), "_text", "vector").select("doc_id", f.as_text("vector").alias("fp"))
     assert {r.doc_id: r.fp for r in v.collect()} == {i: printed(brute_vector(t)) for i, t in enumerate(texts)}
+
+
+def test_texts_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}.\nand more") for i in range(50)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = f.edited_fingerprints(docs)
+        assert len(frame.collect()) == 50
+        plan = frame._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("ReusedExchange") == 1, plan
+
+
+def test_smallest_id_is_no_missing_id(spark):
+    lowest = -(1 << 63)
+    rows = [(lowest, "first text. one"), (None, "text without an id"), (5, "second text. two")]
+    got = f.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got) == sorted((i is None, i or 0, len(t)) for i, t in rows)
+    assert [r.near_next for r in got if r.doc_id is None] == [0.0]
