@@ -288,7 +288,9 @@ def plausible_bare(bare: Column) -> Column:
     without = lambda bracket: F.octet_length(F.replace(bare, F.lit(bracket)))
     balanced = (without("(") == without(")")) & ~_has_any(bare, "'", '"', "/*")
     begins = bare.rlike(rf"(?i)^[\s(;]*+(?:q\s++)*+[(\s]*+(?:{'|'.join(FIRST_WORDS)})\b")
-    ends = bare.rlike(rf"(?i)(?:[,=<>+(|~!%^&@#]|(?<!\*)/|\b(?:{'|'.join(OPEN_WORDS)}))[\s;]*+$")
+    # Looking for the end tries every position; a value or a closing bracket there is no such end.
+    closed = bare.endswith("?") | bare.endswith(")")
+    ends = ~closed & bare.rlike(rf"(?i)(?:[,=<>+(|~!%^&@#]|(?<!\*)/|\b(?:{'|'.join(OPEN_WORDS)}))[\s;]*+$")
     whole = bare.rlike(rf"(?i)(?:\b|(?=[=]))(?:{WHOLE_ENDS})[\s;]*+$")
     return balanced & begins & (~ends | whole)
 

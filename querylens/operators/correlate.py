@@ -178,17 +178,29 @@ def pairing_events(events: DataFrame) -> DataFrame:
     return events.where(F.col("kind").isin("Statement", "Duration")).drop("level", "entry_message", "text")
 
 
+# What is asked of statements only.
+OF_STATEMENTS = ("source_kind", "event_id", "queryid", "user", "database", "client_host", "application_name")
+
+
+def lean(events: DataFrame) -> DataFrame:
+    """Events to be kept for pairing: what nothing asks of other events than statements is left empty there."""
+    return events.withColumns({c: F.when(_is_statement(), F.col(c)) for c in OF_STATEMENTS})
+
+
 def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Executions, one per statement event.
 
     ``hot_rows=None`` skips the check for hot backends.  ``emit_index`` and
     ``emit_part`` order executions with equal timestamps the way a pass over
-    the records would finish them.
+    the records would finish them.  Events that have shapes (``with_shapes``)
+    give executions that have them.
     """
     paired = _with_lane(pairing_events(events), hot_rows)
-    backend = Window.partitionBy(*BACKEND, "lane").orderBy("record_index")
+    # Rows are sorted by these columns in this order: the window has few values, so it does not come first.
+    keys = (*reversed(BACKEND), "lane")
+    backend = Window.partitionBy(*keys).orderBy("record_index")
     so_far = backend.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = f"OVER (PARTITION BY {', '.join(BACKEND)}, lane ORDER BY record_index)"
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY record_index)"
 
     waiting = F.struct(
         F.col("record_index").alias("record"),
@@ -231,6 +243,7 @@ def correlate_by_process_order(events: DataFrame, hot_rows: int | None = HOT_ROW
         "queryid",
         "statement",
         "is_sql",
+        *[c for c in ("parsed", "shape") if c in rows.columns],
         F.when(inline, F.col("duration_ms")).when(closed, F.col("_closer.ms")).alias("duration_ms"),
         closer_record.alias("duration_record"),
         F.when(inline | F.coalesce(closed, F.lit(False)), "Exact")

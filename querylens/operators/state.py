@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from querylens.functions.classify import nine_way_class
 from querylens.functions.fingerprint import family_sql
-from querylens.operators.correlate import HOT_ROWS, correlate_by_process_order
+from querylens.operators.correlate import HOT_ROWS, correlate_by_process_order, lean
 from querylens.operators.diff import METRICS, family_profile
 from querylens.operators.events import mentions_connection, with_shapes
 from querylens.operators.families import IDENTITY, with_id
@@ -99,7 +99,7 @@ def _from(events: DataFrame, before: State | None, path: str | None, hot_rows: i
     spark = events.sparkSession
     # Parsed once: the counters, the search for hot backends, the pairing and the waiting statements read what is kept.
     connects = mentions_connection(F.col("text")).alias("connects")
-    log = events = kept(events.select(*WAITING, connects), "state-events")
+    log = events = kept(lean(events.select(*WAITING, connects)), "state-events")
     seen = _seen(events)
     if before is not None:
         first = F.lit(before.seen.first().entries)

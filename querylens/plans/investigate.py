@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylens.operators.correlate import HOT_ROWS, Correlator, correlate_by_process_order, pairing_events
+from querylens.operators.correlate import HOT_ROWS, Correlator, correlate_by_process_order, lean, pairing_events
 from querylens.operators.diff import DiffOptions, slow_query_diff
 from querylens.operators.events import typed_events
 from querylens.operators.families import top_query_families
@@ -41,7 +41,7 @@ def executions_from_lines(
     if line_count <= hot_rows:
         return executions_of(entries, hot_rows=None)
     # Looking for hot backends is a pass of its own: both read lines that were parsed once.
-    return correlate_by_process_order(kept(pairing_events(typed_events(entries)), "events"), hot_rows)
+    return correlate_by_process_order(kept(lean(pairing_events(typed_events(entries))), "events"), hot_rows)
 
 
 def top_families(

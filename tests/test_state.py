@@ -106,3 +106,25 @@ def test_search_for_hot_backends_does_not_parse_again(spark):
     assert reads.value == len(lines)
     columns = ("record_index", "duration_ms", "confidence")
     assert plain(found, columns) == plain(whole, columns)
+
+
+def test_kept_events_carry_identity_for_statements_only(spark, monkeypatch):
+    """Durations and other entries are kept for pairing and counting: nothing else of them is written down."""
+    logs, really_kept = [], state.kept
+
+    def seen(df, label):
+        if label == "state-events":
+            logs.append([r.asDict() for r in df.collect()])
+        return really_kept(df, label)
+
+    monkeypatch.setattr(state, "kept", seen)
+    lines = rendered(stream(11, 60))
+    events = typed_events(parse_lines(spark.createDataFrame([("target", i, t) for i, t in enumerate(lines)], "source_window string, record_index bigint, value string")))
+    sums = state.new_state(events)
+    own = ("source_kind", "event_id", "user", "database", "client_host", "application_name")
+    others = [r for r in logs[0] if r["kind"] != "Statement"]
+    assert others and all(r[c] is None for r in others for c in own)
+    assert all(r["event_id"] == f"stderr:{r['record_index']}" for r in logs[0] if r["kind"] == "Statement")
+    whole = family_totals(correlate_by_process_order(events))
+    columns = ("family_id", "execution_count", "max_duration_ms", "correlated_execution_count")
+    assert plain(state.state_totals(sums), columns) == plain(whole, columns)
