@@ -177,17 +177,20 @@ def bursty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom_lines(spark, sf_dir, F.concat(_default_prefix(process), message()))
 
 
+def window_of_time() -> Column:
+    return F.when(F.col("ts") < F.lit(TARGET_START).cast("timestamp_ntz"), "baseline").otherwise("target")
+
+
+def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows: where in the whole log each window starts."""
+    rows = events_table(spark, sf_dir).withColumn("source_window", window_of_time())
+    return rows.groupBy("source_window").agg(F.min("event_id").alias("start"))
+
+
 def two_window_lines(spark: SparkSession, sf_dir: str, style: str = "default") -> DataFrame:
     """Baseline (before 16 January 2024) and target lines, each counted from 0."""
-    rows = events_table(spark, sf_dir).withColumn(
-        "source_window",
-        F.when(F.col("ts") < F.lit(TARGET_START).cast("timestamp_ntz"), "baseline").otherwise(
-            "target"
-        ),
-    )
-    # Two rows: where each window starts.
-    starts = rows.groupBy("source_window").agg(F.min("event_id").alias("start"))
-    return spread(rows, "event_id").join(F.broadcast(starts), "source_window").select(
+    rows = events_table(spark, sf_dir).withColumn("source_window", window_of_time())
+    return spread(rows, "event_id").join(F.broadcast(window_starts(spark, sf_dir)), "source_window").select(
         "source_window",
         (F.col("event_id") - F.col("start")).alias("record_index"),
         line(style).alias("value"),
