@@ -49,7 +49,8 @@ def prefix_class(sql: Column) -> Column:
 
 
 def nine_way_class(sql: Column) -> Column:
-    text = F.upper(strip(sql))
+    # No class word is longer than its first letters, so the rest of the text is left alone.
+    text = F.upper(F.substring(strip(sql), 1, max(map(len, TRANSACTION_WORDS))))
     by_word = F.when(text.startswith("SELECT"), "SELECT")
     for word in (*WRITE_WORDS, "CREATE", "DROP", "ALTER"):
         by_word = by_word.when(text.startswith(word), word)

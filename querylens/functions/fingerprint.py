@@ -66,6 +66,8 @@ def _dollar(ref: int) -> str:
 # What may stand between two literals ...
 NEUTRAL = "|".join(
     (
+        # The usual stretch comes first: a name that is no prefix of a string, and what is neutral after it.
+        rf"{NAME}(?!\s*+')[^'\"$\d.\p{{L}}_/-]*+",
         r"(?i:date|time|timestamp)\s*+'(?:[^']|'')*+'",
         ESCAPE_STRING,
         PREFIXED_STRING,

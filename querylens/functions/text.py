@@ -12,6 +12,8 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+ASCII_WHITE_SPACE = "".join(c for c in WHITE_SPACE if c.isascii())
+
 # SQL comments (fixed values). Block comments nest; three levels are followed.
 LINE_COMMENT = r"--[^\n]*+"
 COMMENT_DEPTH = 3
@@ -25,9 +27,18 @@ def _block_comment(depth: int) -> str:
 BLOCK_COMMENT = _block_comment(COMMENT_DEPTH)
 
 
-def strip(text: Column) -> Column:
-    """Trim Unicode white space; SQL ``trim`` alone removes blanks only."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+def strip(text: Column, kinds: Column | None = None) -> Column:
+    """Trim Unicode white space; SQL ``trim`` alone removes blanks only.  ``kinds``: see ``white_space_in``."""
+    return F.btrim(text, F.lit(WHITE_SPACE) if kinds is None else kinds)
+
+
+def white_space_in(text: Column) -> Column:
+    """The kinds of white space that the text and its parts may have.
+
+    Trimming compares both ends with each of them, and ASCII text can have few.
+    """
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, F.lit(ASCII_WHITE_SPACE)).otherwise(F.lit(WHITE_SPACE))
 
 
 def groups_of(text: Column, pattern: str, *groups: int) -> Column:

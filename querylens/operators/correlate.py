@@ -28,6 +28,9 @@ BACKEND = ("source_window", "process_id")
 HOT_ROWS = 4_000_000
 # Each refinement of a histogram cuts a bin into 2 ** REFINED.
 REFINED = 5
+# Backends fall into this many crowds per window; no crowd up to ``HOT_ROWS`` records has a backend above it.
+CROWDS = 1024
+PAIRING_KINDS = ("Statement", "Duration")
 
 Correlator = Callable[[DataFrame], DataFrame]
 
@@ -49,6 +52,16 @@ def hot_backends(paired: DataFrame, hot_rows: int) -> DataFrame:
     )
 
 
+def crowds(events: DataFrame, **counters: Column) -> DataFrame:
+    """Records that pairing looks at (``pairing_rows``) and other counters, by window and crowd of backends.
+
+    One narrow pass with few groups, however many backends there are: most logs need no other search for hot ones.
+    """
+    crowd = F.pmod(F.xxhash64("process_id"), F.lit(CROWDS)).alias("crowd")
+    pairing = F.count_if(F.col("kind").isin(*PAIRING_KINDS)).alias("pairing_rows")
+    return events.groupBy("source_window", crowd).agg(pairing, *[c.alias(name) for name, c in counters.items()])
+
+
 def histogram(paired: DataFrame, hot: DataFrame, hot_rows: int) -> list[tuple[int, DataFrame]]:
     """Bins of the hot backends' record ranges with their rows, by bin width (2 ** shift): no bin over hot_rows / 2.
 
@@ -175,7 +188,7 @@ def _with_lane(paired: DataFrame, hot_rows: int | None) -> DataFrame:
 
 def pairing_events(events: DataFrame) -> DataFrame:
     """The events that pairing looks at, without the columns it does not."""
-    return events.where(F.col("kind").isin("Statement", "Duration")).drop("level", "entry_message", "text")
+    return events.where(F.col("kind").isin(*PAIRING_KINDS)).drop("level", "entry_message", "text")
 
 
 # What is asked of statements only.

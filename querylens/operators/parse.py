@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylens.functions import logline
-from querylens.functions.text import strip
+from querylens.functions.text import strip, white_space_in
 
 SOURCE_KINDS = {"Stderr": "stderr", "AwsRds": "aws-rds", "Csvlog": "csvlog", "Jsonlog": "jsonlog"}
 
@@ -40,7 +40,8 @@ def line_pieces(lines: DataFrame, log_format: str = "auto") -> DataFrame:
     keep = [F.col(c) for c in lines.columns if c != "value"]
     # Both prefixes start with digits, so the patterns themselves turn away what
     # candidate_lines drops, at their first character.
-    cut = lines.withColumn("line", strip(F.col("value")))
+    cut = lines.withColumn("_kinds", white_space_in(F.col("value")))
+    cut = cut.withColumn("line", strip(F.col("value"), F.col("_kinds")))
     if log_format == "rds":
         cut = cut.withColumn("_default", F.array().cast("array<string>"))
     else:
@@ -63,15 +64,15 @@ def line_pieces(lines: DataFrame, log_format: str = "auto") -> DataFrame:
         F.col("_pieces").alias("pieces"),
         (~is_default).alias("rds"),
         # Each name is compared and shown; here it is trimmed once.
-        F.struct(*[strip(F.get(F.col("_pieces"), F.lit(i))).alias(f"n{i}") for i in (2, 3, 4)]).alias("names"),
+        F.struct(*[strip(_piece(i, "_pieces"), F.col("_kinds")).alias(f"n{i}") for i in (2, 3, 4)]).alias("names"),
         logline.message_parts(message, F.col("_timed"), F.col("_executed")).alias("parts"),
     )
     hits = F.when(logline.matched(F.col("_pieces")), F.array(found))
     return cut.select(*keep, F.inline(hits))
 
 
-def _piece(i: int) -> Column:
-    return F.get(F.col("pieces"), F.lit(i))
+def _piece(i: int, pieces: str = "pieces") -> Column:
+    return F.get(F.col(pieces), F.lit(i))
 
 
 def entry_columns() -> dict[str, Column]:

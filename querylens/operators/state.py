@@ -17,17 +17,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylens.functions.classify import nine_way_class
 from querylens.functions.fingerprint import family_sql
-from querylens.operators.correlate import HOT_ROWS, correlate_by_process_order, lean
+from querylens.operators.correlate import HOT_ROWS, correlate_by_process_order, crowds, lean
 from querylens.operators.diff import METRICS, family_profile
 from querylens.operators.events import mentions_connection, with_shapes
 from querylens.operators.families import IDENTITY, with_id
 from querylens.operators.workload import duration_metrics
-from querylens.session import beside, computed_once, drop_scratch, kept, scratch_path
+from querylens.session import beside, computed_once, drop_scratch, kept, measured, scratch_path, settled
 
 # What an execution that nothing has completed is ordered by.
 STILL_WAITING = 2**63 - 1
@@ -37,6 +37,7 @@ WAITING = (
     "source_window", "record_index", "source_kind", "ts", "process_id", "user", "database", "client_host",
     "application_name", "event_id", "kind", "queryid", "statement", "is_sql", "duration_ms",
 )
+RECORD = ("source_window", "process_id", "record_index")
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,8 @@ class State:
     seen: DataFrame
 
 
-def _counted(executions: DataFrame) -> DataFrame:
-    """Executions by GROUP: first by shape, which each task combines, then by canonical text."""
+def _shaped(executions: DataFrame, *others: Column) -> DataFrame:
+    """Executions counted by GROUP with shapes in place of canonical texts, and by ``others``; each task combines its own."""
     rows = with_shapes(executions).select(
         "source_window",
         *IDENTITY,
@@ -56,19 +57,23 @@ def _counted(executions: DataFrame) -> DataFrame:
         nine_way_class(F.col("statement")).alias("query_class"),
         "duration_ms",
         (F.col("confidence") == "Exact").cast("bigint").alias("exact"),
+        *others,
     )
-    shaped = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
-    named = computed_once(shaped, normalized_sql=family_sql())
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counted(executions: DataFrame) -> DataFrame:
+    """Executions by GROUP: first by shape, which each task combines, then by canonical text."""
+    named = computed_once(_shaped(executions), normalized_sql=family_sql())
     return named.groupBy(*GROUP).agg(F.sum("n").alias("n"))
 
 
-def _seen(events: DataFrame) -> DataFrame:
-    error = F.col("kind") == "Error"
-    return events.agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count_if(error).alias("error_count"),
-        F.count_if(~error & F.col("connects")).alias("connection_count"),
-    )
+def _named(shaped: DataFrame) -> DataFrame:
+    """``_shaped`` rows that were kept, by GROUP: one shape has many durations, and its text is printed once."""
+    shapes = shaped.select(F.col("parsed").alias("_parsed"), F.col("shape").alias("_shape")).distinct()
+    texts = measured(shapes.select("*", family_sql("_shape", "_parsed").alias("normalized_sql")))
+    same = F.col("parsed").eqNullSafe(F.col("_parsed")) & F.col("shape").eqNullSafe(F.col("_shape"))
+    return shaped.join(texts, same).select(*GROUP, "n")
 
 
 def _stored(state: State, path: str) -> State:
@@ -100,25 +105,31 @@ def _from(events: DataFrame, before: State | None, path: str | None, hot_rows: i
     # Parsed once: the counters, the search for hot backends, the pairing and the waiting statements read what is kept.
     connects = mentions_connection(F.col("text")).alias("connects")
     log = events = kept(lean(events.select(*WAITING, connects)), "state-events")
-    seen = _seen(events)
+    error = F.col("kind") == "Error"
+    counters = {"error_count": F.count_if(error), "connection_count": F.count_if(~error & F.col("connects"))}
+    crowded = settled(crowds(log, entries=F.count(F.lit(1)), **counters))
+    seen = crowded.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("entries", *counters)])
     if before is not None:
         first = F.lit(before.seen.first().entries)
         numbered = F.concat_ws(":", F.substring_index("event_id", ":", 1), (F.col("record_index") + first).cast("string"))
         events = events.withColumns({"record_index": F.col("record_index") + first, "event_id": numbered})
         events = events.select(*WAITING).unionByName(before.waiting)
         seen = seen.unionByName(before.seen).agg(*[F.sum(c).alias(c) for c in seen.columns])
-    paired = correlate_by_process_order(events.select(*WAITING), hot_rows)
-    # Paired once: the counts and the waiting statements both come from there.
-    wanted = ("source_window", "record_index", *IDENTITY, "process_id", "statement", "is_sql", "duration_ms", "confidence")
-    paired = kept(paired.select(*wanted, (F.col("emit_index") == STILL_WAITING).alias("open")), "state-paired")
-    counts = _counted(paired.where("NOT open"))
+    if hot_rows and crowded.where(F.col("pairing_rows") >= hot_rows).isEmpty():
+        hot_rows = None  # a backend has the records of its crowd at most, and the one that waited
+    # Paired once and counted as it is paired: what is kept has a row for each statement still open and each group.
+    still = F.col("emit_index") == STILL_WAITING
+    open_at = F.when(still, F.struct("process_id", "record_index")).alias("open_at")
+    grouped = kept(_shaped(correlate_by_process_order(events.select(*WAITING), hot_rows), open_at), "state-grouped")
+    counts = _named(grouped.where("open_at IS NULL"))
     if before is not None:
-        counts = counts.unionByName(before.counts).groupBy(*GROUP).agg(F.sum("n").alias("n"))
+        counts = counts.unionByName(before.counts)
+    counts = counts.groupBy(*GROUP).agg(F.sum("n").alias("n"))
     # At most one per backend: the record it is waiting with.
-    still = paired.where("open").select("source_window", "process_id", "record_index")
-    waiting = events.where("kind = 'Statement'").select(*WAITING).join(still, ["source_window", "process_id", "record_index"], "left_semi")
+    still = grouped.where("open_at IS NOT NULL").select("source_window", "open_at.*")
+    waiting = events.where("kind = 'Statement' AND duration_ms IS NULL").select(*WAITING).join(still, list(RECORD), "left_semi")
     stored = _stored(State(counts, waiting.select(*WAITING), seen), path or scratch_path(spark, "state"))
-    for table in (log, paired):
+    for table in (log, grouped):
         drop_scratch(spark, table)
     return stored
 

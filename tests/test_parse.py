@@ -3,6 +3,9 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
+
+from querylens.functions.text import ASCII_WHITE_SPACE, WHITE_SPACE, strip, white_space_in
 
 P = "2023-11-05 04:07:09.250 UTC [707] miller@grain scale-2: "
 
@@ -132,3 +135,12 @@ def test_format_choice(parse):
 def test_quoted_text_survives(parse):
     sql = "SELECT \"odd \\ name\", 'é: [x] @ y' FROM t"
     assert one(parse, P + "LOG:  statement: " + sql).statement == sql
+
+
+def test_parts_are_trimmed_by_the_kinds_of_white_space_a_text_may_have(spark):
+    texts = ["a", " a\t", "\x0ba b\x0c", "\u00a0a\u3000", "\u2003 \u00e9 \u0085", "\u1680", " ", "", "\x1fa\x1f", "\u200ba "]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    found = rows.select("t", strip(F.col("t"), white_space_in(F.col("t"))).alias("some"), strip(F.col("t")).alias("all"), white_space_in(F.col("t")).alias("kinds"))
+    for r in found.collect():
+        assert r["some"] == r["all"] == (None if r.t is None else r.t.strip(WHITE_SPACE))
+        assert r.kinds == (ASCII_WHITE_SPACE if r.t is not None and r.t.isascii() else WHITE_SPACE)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_correlate import line, rendered, stream
 
-from querylens.operators import state, workload
+from querylens.operators import correlate, state, workload
 from querylens.operators.correlate import correlate_by_process_order
 from querylens.operators.diff import window_family_metrics
 from querylens.operators.events import typed_events
@@ -128,3 +128,42 @@ def test_kept_events_carry_identity_for_statements_only(spark, monkeypatch):
     whole = family_totals(correlate_by_process_order(events))
     columns = ("family_id", "execution_count", "max_duration_ms", "correlated_execution_count")
     assert plain(state.state_totals(sums), columns) == plain(whole, columns)
+
+
+def test_executions_are_counted_as_they_are_paired(parse, monkeypatch):
+    """What is kept after pairing are groups and statements still open, not a row per execution."""
+    rows, really_kept = {}, state.kept
+
+    def seen(df, label):
+        table = really_kept(df, label)
+        rows[label] = table.count()
+        return table
+
+    monkeypatch.setattr(state, "kept", seen)
+    lines = [line(i, i % 5, f"duration: {i % 3} ms  statement: SELECT {i}") for i in range(300)]
+    sums = state.new_state(typed_events(parse([*lines, line(300, 7, "statement: SELECT 1"), line(301, 8, "statement: SELECT 2")])))
+    assert rows.pop("state-events") == 302
+    assert sum(rows.values()) == 3 + 2
+    assert sums.counts.agg(F.sum("n")).first()[0] == 300 and sums.waiting.count() == 2
+
+
+def test_hot_backends_are_looked_for_where_a_crowd_is_large(parse, monkeypatch):
+    """Counting by crowd settles that no backend is hot; a large crowd has its backends looked at, and nothing is lost."""
+    searched, really_search = [], correlate.hot_backends
+    monkeypatch.setattr(correlate, "hot_backends", lambda *a: searched.append(1) or really_search(*a))
+    lines = rendered(stream(12, 150))
+    first, second = (typed_events(parse(part)) for part in (lines[:80], lines[80:]))
+    calm = state.added(state.new_state(first, hot_rows=1000), second, hot_rows=1000)
+    assert not searched
+    hot = state.added(state.new_state(first, hot_rows=5), second, hot_rows=5)
+    assert searched
+    totals = family_totals(correlate_by_process_order(typed_events(parse(lines)), None))
+    expected = plain(totals, totals.columns)
+    assert plain(state.state_totals(calm), totals.columns) == expected
+    assert plain(state.state_totals(hot), totals.columns) == expected
+
+
+def test_empty_log_adds_nothing(parse):
+    empty = typed_events(parse([]))
+    sums = state.added(state.new_state(empty), empty)
+    assert tuple(sums.seen.first()) == (0, 0, 0) and sums.counts.count() == 0 and sums.waiting.count() == 0
