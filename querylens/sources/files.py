@@ -17,19 +17,25 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from threading import RLock
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylens.operators.parse import parse_lines
-from querylens.session import broadcast_if_small, kept, running_rows, scratch_path, settled
+from querylens.session import SPREAD_TASKS, broadcast_if_small, kept, running_rows, scratch_path, settled
 
 SPLIT = ("source_window", "file", "block_start")
 # Paths in a list file, and how many are looked up at once.
 MAX_LISTED = 1_000_000
 STATUS_THREADS = 32
-# Files whose heads one job reads, each by a limit of its own, and jobs at a time.
-HEAD_FILES = 256
+# Opening a file costs about as much as reading this many bytes (Spark's own estimate): up to here a file is read whole.
+HEAD_BYTES = 4 << 20
+# Files read whole by one job and about how many by a task; longer files, each by a limit of its own, in one job;
+# jobs at a time.
+HEAD_FILES = 4096
+TASK_FILES = 32
+LIMITS = 8
 HEAD_JOBS = 4
 _splits_changed = RLock()
 # What counts as a log file in a directory.
@@ -204,7 +210,10 @@ def split_table(rows: DataFrame, row: str = "_row", broken: Column | None = None
 
 @contextmanager
 def _split_per_task(spark: SparkSession):
-    """Plan scans with whole files (up to an exabyte) as splits, one split to a task."""
+    """Plan scans with whole files (up to an exabyte) as splits, one split to a task.
+
+    Tells whether the session took these settings.
+    """
     ours = {
         "spark.sql.files.maxPartitionBytes": str(1 << 60),
         "spark.sql.files.openCostInBytes": str(1 << 60),
@@ -215,7 +224,7 @@ def _split_per_task(spark: SparkSession):
     try:
         for key, value in ours.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-        yield
+        yield all(spark.conf.get(key, None) == value for key, value in ours.items())
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
@@ -230,37 +239,69 @@ def _united(frames: Sequence[DataFrame]) -> DataFrame:
     return _united(frames[:half]).union(_united(frames[half:]))
 
 
+def _long_files(spark: SparkSession, names: Sequence[str]) -> list[str]:
+    """Those of the files that are over HEAD_BYTES, by a listing of each folder."""
+
+    def look(folder: str) -> list[str]:
+        fs, hadoop_path = _filesystem(spark, unquote(folder))
+        return [s.getPath().toString() for s in fs.listStatus(hadoop_path) if s.getLen() > HEAD_BYTES]
+
+    with ThreadPoolExecutor(STATUS_THREADS) as pool:
+        found = {path for paths in pool.map(look, {n.rpartition("/")[0] for n in names}) for path in paths}
+    return [name for name in names if unquote(name) in found]
+
+
 def landed_heads(lines: DataFrame, size: int) -> DataFrame:
     """The first ``size`` lines of every file of one window, written to the shared folder.
 
-    Each file has a limit of its own, and a limit stops its task, so what is read is
-    bounded by the heads.  Files are dealt to jobs, HEAD_FILES to each.  Jobs run side by side
-    and each has a folder of its own: the first to end clears the unfinished work in its folder.
+    Files of up to HEAD_BYTES are read to their end, a file to a split, and their later lines left
+    out: one scan takes HEAD_FILES of them, by a range of names.  Each longer file has a limit of its
+    own, and a limit stops its task.  So what is read of a file is bounded by HEAD_BYTES or by its head,
+    and a plan has at most LIMITS scans, however many files there are: Spark keeps the plans of the last
+    thousand executions on the driver.  Jobs run side by side and each has a folder of its own: the first
+    to end clears the unfinished work in its folder.
     """
     if size <= 0:
         raise ValueError("Sample size must be greater than 0")
     spark = lines.sparkSession
     path = scratch_path(spark, "heads")
     # Without the row number the file's name prunes the scan; it is given anew behind
-    # the limit, which keeps the order of the file's one split.
+    # it, in the order of the file's one split.
     bare = lines.drop("_row")
+    tasks = SPREAD_TASKS * spark.sparkContext.defaultParallelism
+
+    def short_heads(first: int) -> DataFrame:
+        # Open at both ends: whatever a file is called, it is in one range.
+        mine = F.lit(True) if first == 0 else F.col("file") >= names[first]
+        if first + HEAD_FILES < len(names):
+            mine &= F.col("file") < names[first + HEAD_FILES]
+        apart = [name for name in names[first : first + HEAD_FILES] if name in limited]
+        rows = bare.where(mine & ~F.col("file").isin(apart) if apart else mine).withColumn("_row", row_in_task())
+        return rows.where(F.col("_row") < size).coalesce(max(tasks, HEAD_FILES // TASK_FILES))
+
+    def long_heads(some: Sequence[str]) -> DataFrame:
+        heads = [bare.where(F.col("file") == name).limit(size) for name in some]
+        return _united([head.withColumn("_row", row_in_task()) for head in heads])
 
     def land(job: int) -> str:
-        heads = [
-            bare.where(F.col("file") == name).limit(size).withColumn("_row", row_in_task())
-            for name in names[job : job + HEAD_FILES]
-        ]
+        first = job * HEAD_FILES
+        some = long[(job - ranges) * LIMITS : (job - ranges + 1) * LIMITS]
+        heads = short_heads(first) if job < ranges else long_heads(some)
         folder = f"{path}/{job:012d}"
-        _united(heads).select(*lines.columns).write.parquet(folder)
+        heads.select(*lines.columns).write.parquet(folder)
         return folder
 
-    with _split_per_task(spark):
+    with _split_per_task(spark) as whole:
         # Spark lists files as file:///x and tells a row its file as file:/x.
         names = sorted({re.sub("^([a-z0-9]+):///", r"\1:/", name) for name in lines.inputFiles()})
         if not names:
             return lines.limit(0)
+        # Where splits are not whole files, only a limit counts right.
+        long = _long_files(spark, names) if whole else names
+        limited = set(long)
+        ranges = -(-len(names) // HEAD_FILES) if whole else 0
         with ThreadPoolExecutor(HEAD_JOBS) as pool:
-            folders = list(pool.map(land, range(0, len(names), HEAD_FILES)))
+            folders = list(pool.map(land, range(ranges + -(-len(long) // LIMITS))))
     return spark.read.schema(lines.schema).parquet(*folders)
 
 

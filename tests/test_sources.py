@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import gzip
 import json
+from contextlib import nullcontext
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 import pytest
 from log_samples import RDS_LOG, SAMPLE_LOG
@@ -140,6 +143,50 @@ def test_head_jobs_do_not_share_a_folder(spark, tmp_path, monkeypatch):
     assert numbered.where("line_no = 1 AND value <> 'second'").count() == 0
 
 
+def test_plans_of_heads_do_not_grow_with_files(spark, tmp_path):
+    """The driver keeps every scan of a plan in memory."""
+    folder = write(tmp_path, **{f"f{i:03d}__log": big_log(9, i) for i in range(120)})
+    lines = files.directory_lines(spark, folder)
+    before = {s.stageId() for s in stages(spark)}
+    heads = files.head_sample(lines, 5)
+    assert max(s.rddIds().size() for s in stages(spark) if s.stageId() not in before) < 60
+    numbered = files.numbered_lines(heads, landed=True).collect()
+    assert sorted(r.line_no for r in numbered) == sorted([*range(5)] * 120)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_heads_of_short_and_long_files(spark, tmp_path, monkeypatch, whole):
+    """Short files in ranges of names, long ones by limits; all by limits where splits are not whole files."""
+    if not whole:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        monkeypatch.setattr(files, "_split_per_task", lambda _: nullcontext(False))
+    monkeypatch.setattr(files, "HEAD_FILES", 4)
+    monkeypatch.setattr(files, "HEAD_BYTES", 2_000)
+    monkeypatch.setattr(files, "LIMITS", 3)
+    sizes = {f"{stem}{n:05d}.log": n for stem in ("a", "b c+", "d%20", "\u00e9", "~") for n in (1, 3, 7, 40, 500)}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text(big_log(n), encoding="utf-8")
+    (tmp_path / "none.log").write_text("")
+    (tmp_path / "zip.log.gz").write_bytes(gzip.compress(big_log(500).encode()))
+    lines = files.read_lines(spark, str(tmp_path)).where("value NOT LIKE '%message 2'")
+    limits = []
+    union = files._united
+    monkeypatch.setattr(files, "_united", lambda frames: limits.append(len(frames)) or union(frames))
+    try:
+        heads = files.head_sample(lines, 8)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for row in files.numbered_lines(heads, landed=True).collect():
+        got.setdefault(unquote(row.file).rpartition("/")[2], {})[row.line_no] = row.value
+    want = {}
+    for name, n in (*sizes.items(), ("zip.log.gz", 500)):
+        every = [v for v in big_log(n).split("\n")[:-1] if not v.endswith("message 2")]
+        want[name] = dict(enumerate(every[:8]))
+    assert got == want
+    assert max(limits) <= 3 and (sum(limits) >= 27 if not whole else limits)
+
+
 @pytest.mark.parametrize("ranges", ["1", "3", "8"])
 def test_running_rows_of_two_levels(spark, ranges):
     import random
