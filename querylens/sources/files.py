@@ -35,7 +35,7 @@ HEAD_BYTES = 4 << 20
 # jobs at a time.
 HEAD_FILES = 4096
 TASK_FILES = 32
-LIMITS = 8
+LIMITS = 2
 HEAD_JOBS = 4
 _splits_changed = RLock()
 # What counts as a log file in a directory.
